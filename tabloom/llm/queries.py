@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, matroska, packed_ids, packing, secrets, token_counts
+from . import decontaminate, matroska, packed_ids, packing, secrets, simhash, token_counts
 from .common import table
 
 
@@ -44,5 +44,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op5_token_counts, op6_packed_ids, op7_secret_scans, op8_matroska, op9_decontamination)}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op5_token_counts, op6_packed_ids, op7_secret_scans, op8_matroska, op9_decontamination, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
