@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, matroska, packed_ids, packing, secrets, simhash, token_counts
+from . import decontaminate, lattice, matroska, packed_ids, packing, secrets, simhash, token_counts
 from .common import table
 
 
@@ -15,6 +15,11 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
+    return lattice.score(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), F.coalesce(train, F.lit(True)))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -48,5 +53,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op5_token_counts, op6_packed_ids, op7_secret_scans, op8_matroska, op9_decontamination, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_lattice_scores, op2_best_fit_packing, op5_token_counts, op6_packed_ids, op7_secret_scans, op8_matroska, op9_decontamination, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
