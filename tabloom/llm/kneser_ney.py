@@ -174,28 +174,32 @@ def perplexities(docs: DataFrame, model: Model, text: str = "text", name: str =
     return kept.mapInArrow(score, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = 20_000, order: int = 5, quantile: float = 0.995, id_column: str = "doc_id", text: str = "text", language: str = "lang", columns: list[str] | None = None) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample: int = 20_000, order: int = 5, quantile: float = 0.995, slack: float = 1.05, id_column: str = "doc_id", text: str = "text", language: str = "lang", columns: list[str] | None = None) -> DataFrame:
     """docs (or its `columns`) with perplexity, threshold and keep.
 
-    labels: (id, quality, toxic); documents of quality 1 that aren't toxic are trusted. sample: how many
-    labelled rows, least by a hash of their id, the model is fitted on at most; the thresholds, one for each language
-    (null is a language of its own), are the quantile over all trusted documents, or over those of all
-    languages where one has none. keep: perplexity up to the threshold; texts without words, null ones too, have
+    labels: (id, quality, toxic); documents of quality 1 that aren't toxic are trusted. One half of them by a hash of
+    the id is for the model, of which at most `sample` labelled rows, least by that hash, are used; the other half, whole,
+    is for the thresholds, as the model knows the words of those it has seen. A language's threshold
+    (null is a language of its own) is the quantile of its trusted documents, times slack; where there are fewer than 1 / (1 - quantile)
+    of them, the largest of that and of all languages' together counts. keep: perplexity up to the threshold; texts without words, null ones too, have
     neither perplexity nor quality and aren't kept; if no document is trusted, all others are kept. Of several labels of
     an id the worst counts; repeated rows are judged each.
     """
     columns = columns or docs.columns
     trusted = labels.groupBy(F.col(id_column).alias("_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("x")).where("q = 1 AND coalesce(x, 0) = 0").select("_id")
-    chosen = trusted.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    halved = trusted.withColumn("_fit", F.pmod(F.xxhash64("_id"), F.lit(2)) == 0)
+    trusted = halved.where(~F.col("_fit")).select("_id")
+    chosen = halved.where("_fit").select("_id").orderBy(F.xxhash64("_id"), "_id").limit(sample)
     fitted = docs.select(id_column, text).join(F.broadcast(chosen), F.col(id_column) == F.col("_id"), "left_semi")
     model = train(fitted, order, text)
     scored = perplexities(docs.select(*dict.fromkeys([*columns, id_column, language, text])), model, text)
     scored = written(scored.select(*dict.fromkeys([*columns, id_column, language]), "perplexity"), "scored")
     known = scored.select(F.col(id_column).alias("_id"), F.col(language).alias("_language"), "perplexity").join(trusted, "_id", "left_semi").where("perplexity IS NOT NULL")
     cut = F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000))
-    by_language = written(known.groupBy("_language").agg(cut.alias("_own")), "thresholds")
-    overall = known.agg(cut).first()[0]
+    by_language = written(known.groupBy("_language").agg((cut * slack).alias("_own"), F.count("*").alias("_n")), "thresholds")
+    overall = F.lit(known.agg(cut * slack).first()[0]).cast("double")
+    enough = F.col("_n") * (1 - quantile) >= 1
     few = F.broadcast(by_language) if by_language.limit(FEW + 1).count() <= FEW else by_language
     judged = scored.join(few, F.col(language).eqNullSafe(F.col("_language")), "left")
-    judged = judged.withColumn("threshold", F.coalesce("_own", F.lit(overall).cast("double"), F.lit(math.inf)))
+    judged = judged.withColumn("threshold", F.when(enough, F.col("_own")).otherwise(F.coalesce(F.greatest("_own", overall), F.lit(math.inf))))
     return judged.select(*columns, "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("keep"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kneser_ney, lattice, matroska, packed_ids, packing, secrets, simhash, token_counts
+from . import decontaminate, kneser_ney, lattice, matroska, packed_ids, packing, secrets, simhash, substrings, token_counts
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=["doc_id", "lang"])
 
@@ -57,5 +61,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lattice_scores, op2_best_fit_packing, op4_quality_classifier, op5_token_counts, op6_packed_ids, op7_secret_scans, op8_matroska, op9_decontamination, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_lattice_scores, op2_best_fit_packing, op3_substring_dedup, op4_quality_classifier, op5_token_counts, op6_packed_ids, op7_secret_scans, op8_matroska, op9_decontamination, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}

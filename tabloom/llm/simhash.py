@@ -174,3 +174,67 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_column:
     of = groups(prints, radius, id_column)
     digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
     return prints.join(of, "fingerprint").select(id_column, digits.alias("fingerprint"), "component_id")
+
+
+def _shingle_set(text: bytes | None, words: int) -> frozenset[int]:
+    return frozenset(shingle_hashes(text, words).tolist())
+
+
+class Firsts:
+    """Of texts given one after another, which are the first of their kind: similar to none kept before."""
+
+    def __init__(self, words: int, similarity: float):
+        self.words, self.similarity = words, similarity
+        self.sizes: list[int] = []
+        self.by_shingle: dict[int, list[int]] = {}
+        self.seen: set[bytes] = set()
+
+    def first(self, text: bytes | None) -> bool:
+        digest = xxhash.xxh128_digest(text or b"")
+        if digest in self.seen:
+            return False
+        self.seen.add(digest)
+        found = _shingle_set(text, self.words)
+        shared: dict[int, int] = {}
+        for s in found:
+            for k in self.by_shingle.get(s, ()):
+                shared[k] = shared.get(k, 0) + 1
+        if not found and 0 in self.sizes:
+            return False
+        if any(n >= self.similarity * (len(found) + self.sizes[k] - n) for k, n in shared.items()):
+            return False
+        for s in found:
+            self.by_shingle.setdefault(s, []).append(len(self.sizes))
+        self.sizes.append(len(found))
+        return True
+
+
+def first_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, feature_words: int = 2, radius: int = 7, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the documents that are similar to one that stays.
+
+    Candidates are the components of SimHash links (fingerprints over runs of feature_words words,
+    up to `radius` differing bits). In each, documents come by id; one whose set of runs of `words` words has a
+    Jaccard similarity of at least `similarity` with that of one kept before goes. Equal texts are similar, texts
+    without words too; of repeated rows one stays; rows with a null id all stay.
+    """
+    prints = written(fingerprints(docs.select(id_column, text), feature_words, text), "prints")
+    of = prints.join(groups(prints, radius, id_column), "fingerprint")
+    many = of.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    members = of.join(many, "component_id", "left_semi").where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id"), "component_id").distinct()
+    members = written(members, "members")
+    alone = docs.join(members, F.col(id_column) == F.col("_id"), "left_anti")
+    met = docs.join(members, F.col(id_column) == F.col("_id")).drop("_id")
+    columns, schema = docs.columns, docs.schema
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, firsts = None, Firsts(words, similarity)
+        for batch in batches:
+            of, mask = batch.column(batch.schema.get_field_index("component_id")).to_pylist(), []
+            for component, t in zip(of, bytes_of(batch, text)):
+                if component != now:
+                    now, firsts = component, Firsts(words, similarity)
+                mask.append(firsts.first(t))
+            yield batch.select(columns).filter(pa.array(mask, pa.bool_()))
+
+    kept = met.repartition("component_id").sortWithinPartitions("component_id", id_column).mapInArrow(keep, schema)
+    return alone.select(*columns).unionByName(kept)
