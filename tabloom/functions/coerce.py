@@ -10,7 +10,7 @@ from ..types import DataType
 
 INTEGER = r"^[+-]?[0-9]+\z"
 DATE = r"^[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}\z"
-TIMESTAMP = r"^([0-9]{4}([-/])[0-9]{2}\2[0-9]{2})[T ]([0-9]{2})(?::([0-9]{2})(?::([0-9]{2}))?|([0-9]{2})([0-9]{2})?)(?:\.([0-9]{0,6})(?:[0-9][^Z+-]*)?)?(?:Z[\s\S]*|([+-])([0-9]{2}):?(?:([0-9]{2})[\s\S]*|(?![0-9])[\s\S]*))?\z"
+TIMESTAMP = r"^([0-9]{4}([-/])[0-9]{2}\2[0-9]{2})[T ]([0-9]{2})(?::([0-9]{2})(?::([0-9]{2}))?|([0-9]{2})([0-9]{2})?)(?:\.([0-9]{0,6})(?:[0-9][^Z+-]*)?)?(?:Z[\s\S]*|([+-])([0-9]{2}):?+(?:([0-9]{2})[\s\S]*|(?![0-9])[\s\S]*))?\z"
 TIME = r"^([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:\.([0-9]*))?)?(?: ?\z| ([AaPp])[Mm]\z)"
 SECOND = 1_000_000
 

@@ -20,17 +20,17 @@ class CsvError(ValueError):
         self.errors = errors or []
 
 
-def numbered(records: DataFrame) -> DataFrame:
-    """records with `before`, the bytes of the file before each record.
+def numbered(records: DataFrame, first: int = 0) -> DataFrame:
+    """records with `before`, the bytes of the file before each record; first: those before the first one.
 
     A partition's running sum comes from a window over it; those before it are one number a partition.
     """
     part = F.shiftright("place", 33)
     sized = records.withColumn("part", part).withColumn("size", F.octet_length("line") + 1)
     totals = sorted(sized.groupBy("file", "part").agg(F.sum("size").alias("size"), F.min("block").alias("block")).collect(), key=lambda r: (r.file, r.block, r.part))
-    pairs, before, file = [], 0, None
+    pairs, before, file = [], first, None
     for r in totals:
-        before = before if r.file == file else 0
+        before = before if r.file == file else first
         pairs += [F.lit(r.part), F.lit(before)]
         before, file = before + r["size"], r.file
     running = F.coalesce(F.sum("size").over(Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -6,6 +6,7 @@ import hashlib
 import json
 from dataclasses import asdict
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from ..options import CsvOptions
@@ -31,16 +32,16 @@ def load_cache(spark: SparkSession, path: str, size: int, changed: int, o: CsvOp
     where, fs = _fs(spark, cache_path(path))
     if not fs.exists(where):
         return None
-    stream = fs.open(where)
-    try:
-        data = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
-    finally:
-        stream.close()
     try:
+        stream = fs.open(where)
+        try:
+            data = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
         kept = json.loads(data)
         fresh = (kept["size"], kept["changed"], kept["options"]) == (size, changed, _key(o))
         return kept if fresh and all(k in DataType.__members__ for k in kept["kinds"]) else None
-    except (ValueError, KeyError, TypeError):
+    except (ValueError, KeyError, TypeError, Py4JJavaError):
         return None
 
 

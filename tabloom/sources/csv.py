@@ -24,7 +24,7 @@ from .records import IN_PARTITION, decoded_lines, lines, read_head, records
 
 @dataclass
 class Start:
-    """What the start of a text tells. body: how many of its lines come before the first record."""
+    """What the start of a text tells. body, offset: how many of its lines and bytes come before the first record."""
 
     names: list[str]
     separator: str
@@ -33,6 +33,7 @@ class Start:
     dialect: Dialect
     warning: str
     sample: list[str]
+    offset: int = 0
 
 
 def physical(names: list[str]) -> list[str]:
@@ -86,7 +87,8 @@ def start_of(text: str, o: CsvOptions, ends: str, whole: bool) -> Start:
     names = raw if header else [f"V{i}" for i in range(1, len(raw) + 1)]
     rest = found_records[1:] if header else found_records
     kept = [r for r, _ in rest if (r or not o.skip_empty_rows) and not (comment and r.startswith(comment))]
-    return Start(names, dialect.separator, header, at + (n if header else 0), replace(dialect, comment=comment), warning, kept)
+    before = at + (n if header else 0)
+    return Start(names, dialect.separator, header, before, replace(dialect, comment=comment), warning, kept, sum(len(r.encode()) + 1 for r in rows[:before]))
 
 
 def join_python(rows: list[str], sep: str, quote: str, backslash: bool) -> list[tuple[str, int]]:
@@ -125,7 +127,7 @@ def table_of(rows: DataFrame, start: Start, o: CsvOptions, encoding: Encoding, s
     found = records(body, sep, quote, o.escape_backslash, o.multiline)
     in_order = found is body
     if o.error_mode != "disabled":
-        found = numbered(found)
+        found = numbered(found, start.offset)
     clean = F.regexp_replace("line", "\r\\z", "")
     if encoding.mark or encoding.name == "utf-8":
         clean = F.when((F.col("block") == 0) & (index == 0), F.regexp_replace(clean, "^\ufeff", "")).otherwise(clean)
@@ -267,6 +269,6 @@ def read_csv_lines(rows: DataFrame, sample: str, options: CsvOptions | None = No
     """
     o = replace(options or CsvOptions(), **named)
     o.check()
-    start = replace(start_of(sample, o, "\n", True), body=0)
+    start = replace(start_of(sample, o, "\n", True), body=0, offset=0)
     placed = rows.select(F.lit("").alias("file"), F.lit(1).cast("long").alias("block"), F.monotonically_increasing_id().alias("place"), F.col(rows.columns[0]).alias("line"))
     return table_of(placed, start, o, Encoding("utf-8"), "<lines>", 0, schema)
