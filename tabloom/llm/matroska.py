@@ -205,7 +205,7 @@ def laced(parts: list[bytes], lacing: int) -> bytes:
     head = bytes([len(parts) - 1])
     if lacing == XIPH:
         head += b"".join(b"\xff" * (len(p) // 255) + bytes([len(p) % 255]) for p in parts[:-1])
-    elif lacing == EBML_LACING:
+    elif lacing == EBML_LACING and len(parts) > 1:
         head += vint(len(parts[0]))
         for p, q in zip(parts, parts[1:-1]):
             step, length = len(q) - len(p), 1
