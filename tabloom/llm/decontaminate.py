@@ -107,7 +107,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 8, least_item
     def judged(source: DataFrame, shingled: dict[tuple[bytes, ...], set], places_too: bool) -> DataFrame:
         counts = document_counts(source, frozenset(w for s in shingled for w in s), text) if shingled else {}
         index = source.sparkSession.sparkContext.broadcast(Index(shingled, counts))
-        schema = with_fields(source, added | ({"places": "array<int>"} if places_too else {}))
+        schema = with_fields(source, added | ({"__places": "array<int>"} if places_too else {}))
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, text):
@@ -117,7 +117,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 8, least_item
                     places, found = index.value.hits(words)
                     rows.append((len(words), len(places), len(found), sorted(found), *([sorted(places)] * places_too)))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], [*batch.schema.names, *list(added), *(["places"] * places_too)])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], [*batch.schema.names, *list(added), *(["__places"] * places_too)])
 
         return source.mapInArrow(search, schema)
 
@@ -129,12 +129,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 8, least_item
         # several blocks: each pass adds its places and items to what the earlier ones found
         out = judged(kept, first, True)
         while second is not None:
-            earlier = out.withColumnsRenamed({"places": "places_0", "item_ids": "items_0"}).drop("n_words", "n_hit", "n_items")
+            earlier = out.withColumnsRenamed({"__places": "__places_0", "item_ids": "__items_0"}).drop("n_words", "n_hit", "n_items")
             out = judged(earlier, second, True)
-            out = out.withColumn("places", F.array_union("places_0", "places")).withColumn("item_ids", F.array_sort(F.array_union("items_0", "item_ids"))).drop("places_0", "items_0")
-            out = out.withColumn("n_hit", F.size("places").cast("long")).withColumn("n_items", F.size("item_ids").cast("long"))
+            out = out.withColumn("__places", F.array_union("__places_0", "__places")).withColumn("item_ids", F.array_sort(F.array_union("__items_0", "item_ids"))).drop("__places_0", "__items_0")
+            out = out.withColumn("n_hit", F.size("__places").cast("long")).withColumn("n_items", F.size("item_ids").cast("long"))
             second = next(blocks, None)
-        out = out.drop("places")
+        out = out.drop("__places")
     return out.withColumn("contaminated", F.col("n_items") >= least_items)
 
 

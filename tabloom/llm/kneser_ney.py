@@ -183,8 +183,9 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 20_000, order: in
     (null is a language of its own) is the quantile of its trusted documents, times slack; where there are fewer than 1 / (1 - quantile)
     of them, the largest of that and of all languages' together counts. keep: perplexity up to the threshold; texts without words, null ones too, have
     neither perplexity nor quality and aren't kept; if no document is trusted, all others are kept. Of several labels of
-    an id the worst counts; repeated rows are judged each.
+    an id the worst counts; repeated rows are judged each; of the input's columns, those with the added names are replaced.
     """
+    docs = docs.drop("perplexity", "threshold", "keep")
     columns = columns or docs.columns
     trusted = labels.groupBy(F.col(id_column).alias("_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("x")).where("q = 1 AND coalesce(x, 0) = 0").select("_id")
     halved = trusted.withColumn("_fit", F.pmod(F.xxhash64("_id"), F.lit(2)) == 0)

@@ -220,21 +220,21 @@ def first_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, featu
     prints = written(fingerprints(docs.select(id_column, text), feature_words, text), "prints")
     of = prints.join(groups(prints, radius, id_column), "fingerprint")
     many = of.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
-    members = of.join(many, "component_id", "left_semi").where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id"), "component_id").distinct()
+    members = of.join(many, "component_id", "left_semi").where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("__id"), F.col("component_id").alias("__component")).distinct()
     members = written(members, "members")
-    alone = docs.join(members, F.col(id_column) == F.col("_id"), "left_anti")
-    met = docs.join(members, F.col(id_column) == F.col("_id")).drop("_id")
+    alone = docs.join(members, F.col(id_column) == F.col("__id"), "left_anti")
+    met = docs.join(members, F.col(id_column) == F.col("__id")).drop("__id")
     columns, schema = docs.columns, docs.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, firsts = None, Firsts(words, similarity)
         for batch in batches:
-            of, mask = batch.column(batch.schema.get_field_index("component_id")).to_pylist(), []
+            of, mask = batch.column(batch.schema.get_field_index("__component")).to_pylist(), []
             for component, t in zip(of, bytes_of(batch, text)):
                 if component != now:
                     now, firsts = component, Firsts(words, similarity)
                 mask.append(firsts.first(t))
             yield batch.select(columns).filter(pa.array(mask, pa.bool_()))
 
-    kept = met.repartition("component_id").sortWithinPartitions("component_id", id_column).mapInArrow(keep, schema)
+    kept = met.repartition("__component").sortWithinPartitions("__component", id_column).mapInArrow(keep, schema)
     return alone.select(*columns).unionByName(kept)

@@ -152,11 +152,11 @@ def test_quality(spark):
     bad = [(100 + i, " ".join("#" * rng.randint(1, 9) + "QXJ!!" * rng.randint(1, 3) for _ in range(30)), "en") for i in range(8)]
     docs = spark.createDataFrame([*good, *bad, (200, None, "en"), (201, "", None), (None, prose(rng, 20), "en"), good[0]], "doc_id long, text string, lang string").withColumn("threshold", F.lit("clash"))
     labels = spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(100, 0, 0), (3, 0, 0), (4, 1, 1), (5, 1, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    got = kneser_ney.classify(docs.drop("threshold"), labels, order=4)
+    got = kneser_ney.classify(docs, labels, order=4)
     kept = [(r.doc_id, r.keep) for r in got.collect()]
     assert len(kept) == 92 and all(k for i, k in kept if i is not None and i < 100) and not any(k for i, k in kept if i is not None and i >= 100)
-    assert kneser_ney.classify(docs.drop("threshold"), labels.limit(0), order=3).where("keep").count() == 90
-    assert kneser_ney.classify(docs.drop("threshold").limit(0), labels, order=3).count() == 0
+    assert kneser_ney.classify(docs, labels.limit(0), order=3).where("keep").count() == 90
+    assert kneser_ney.classify(docs.limit(0), labels, order=3).count() == 0
 
 
 def brute_contamination(rows, items, window=8):
@@ -185,7 +185,7 @@ def test_decontamination(spark, block):
     texts = [r[1] for r in rows if r[1] and len(split(r[1])) > 30]
     items = [(k, " ".join(split(t)[3 : 3 + rng.randint(4, 25)]).upper()) for k, t in enumerate(texts[:7])] + [(50, None), (51, ""), (52, "fox"), (None, texts[0]), (2, "the of"), (60, "!!")]
     table = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.contamination(docs.withColumn("n_hit", F.lit("x")), table, block=block).collect()
+    got = decontaminate.contamination(docs.withColumn("n_hit", F.lit("x")).withColumn("places", F.lit(1)), table, block=block).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, ",".join(r.item_ids), r.contaminated) for r in got) == brute_contamination(rows, items)
     assert decontaminate.contamination(empty(spark), table).count() == 0
     assert decontaminate.contamination(docs, table.limit(0)).where("n_items > 0").count() == 0
@@ -263,7 +263,7 @@ def test_components(spark):
 
 def test_first_copies(spark):
     docs, rows = awkward(spark, n=30, long=300)
-    got = [(r.doc_id, r.text) for r in simhash.first_copies(docs).collect()]
+    got = [(r.doc_id, r.text) for r in simhash.first_copies(docs.withColumn("component_id", F.lit(1))).collect()]
     ids = [i for i, _ in got]
     assert -5 in ids and not {40, 41, 42, 43} & set(ids)
     assert ids.count(7) == 1 and ids.count(None) == 2 and len([t for i, t in got if i is not None and not (t or "").split()]) == 1
