@@ -11,6 +11,7 @@ from ..types import DataType
 INTEGER = r"^[+-]?[0-9]+\z"
 DATE = r"^[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}\z"
 TIMESTAMP = r"^([0-9]{4}([-/])[0-9]{2}\2[0-9]{2})[T ]([0-9]{2})(?::([0-9]{2})(?::([0-9]{2}))?|([0-9]{2})([0-9]{2})?)(?:\.([0-9]{0,6})(?:[0-9][^Z+-]*)?)?(?:Z[\s\S]*|([+-])([0-9]{2}):?+(?:([0-9]{2})[\s\S]*|(?![0-9])[\s\S]*))?\z"
+USUAL = r"^[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,6})?)?\z"
 TIME = r"^([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:\.([0-9]*))?)?(?: ?\z| ([AaPp])[Mm]\z)"
 SECOND = 1_000_000
 
@@ -65,7 +66,9 @@ def timestamp(x: Column) -> Column:
     second = take("0$5$7.$8", "decimal(18,6)")
     ahead, behind = F.coalesce(take("$9$10", "int"), F.lit(0)), F.coalesce(take("$9$11", "int"), F.lit(0))
     valid = x.rlike(TIMESTAMP) & (second < 60) & (F.abs(ahead) <= 14) & (F.abs(behind) <= 59) & (F.length(x) >= 15)
-    return F.when(valid, minute + F.make_dt_interval(F.lit(0), F.lit(0), -(ahead * 60 + behind), second))
+    general = F.when(valid, minute + F.make_dt_interval(F.lit(0), F.lit(0), -(ahead * 60 + behind), second))
+    # the usual form needs no taking apart
+    return F.when(x.rlike(USUAL), F.translate(x, "/", "-").try_cast("timestamp_ntz")).otherwise(general)
 
 
 def micros_ntz(micros: Column) -> Column:

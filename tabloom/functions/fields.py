@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -73,20 +73,28 @@ def unescape_python(text: str, quote: str, backslash: bool = False) -> str:
     return re.sub(r"\\([\s\S])", lambda m: {"n": "\n", "t": "\t", "r": "\r"}.get(m[1], m[1]), text)
 
 
-def value(raw: Column, quote: str, backslash: bool, trim: bool, nulls: list[str]) -> Column:
-    """A field's text: trimmed outside of quotes, null if the raw text is a null token, else unquoted."""
-    bare = F.btrim(raw, F.lit(" \t")) if trim else raw
-    out = bare
+def text_of_field(raw: Column, bare: Column, quote: str, backslash: bool, nulls: list[str]) -> Column:
+    """A field's text: null if bare, the raw field trimmed outside of quotes, is a null token, else unquoted."""
+    plain = unescape(bare, quote, True) if backslash else bare
+    out = plain
     if quote:
-        both = is_quoted(bare, quote) & F.endswith(bare, F.lit(quote)) & (F.length(bare) >= 2)
+        both = F.endswith(bare, F.lit(quote)) & (F.length(bare) >= 2)
         inner = F.substring(bare, F.lit(2), F.length(bare) - 2)
-        whole = F.when(both, unescape(inner, quote, backslash)).otherwise(unescape(bare, quote, True) if backslash else bare)
-        out = F.when(is_quoted(raw, quote), whole).otherwise(unescape(bare, quote, True) if backslash else bare)
-    elif backslash:
-        out = unescape(bare, quote, True)
+        out = F.when(is_quoted(raw, quote) & both, unescape(inner, quote, backslash)).otherwise(plain)
     return F.when(bare.isin(nulls), F.lit(None)).otherwise(out) if nulls else out
 
 
+def with_texts(df: DataFrame, width: int, quote: str, backslash: bool, trim: bool, nulls: list[str]) -> DataFrame:
+    """df, which has an array `fields`, with its first `width` as texts in __t0, __t1, ...
+
+    Each step is a projection of its own, so that what later steps use often is worked out once.
+    """
+    raw = [F.get("fields", F.lit(i)) for i in range(width)]
+    df = df.select("*", *((F.btrim(r, F.lit(" \t")) if trim else r).alias(f"__b{i}") for i, r in enumerate(raw)))
+    texts = (text_of_field(r, F.col(f"__b{i}"), quote, backslash, nulls).alias(f"__t{i}") for i, r in enumerate(raw))
+    return df.select("*", *texts).drop(*(f"__b{i}" for i in range(width)))
+
+
 def value_python(raw: str, quote: str, backslash: bool, trim: bool) -> str:
     bare = raw.strip(" \t") if trim else raw
     if quote and raw.startswith(quote) and len(bare) >= 2 and bare.endswith(quote):

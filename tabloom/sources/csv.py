@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.coerce import coerce
-from ..functions.fields import split_fields, split_python, value, value_python
+from ..functions.fields import split_fields, split_python, value_python, with_texts
 from ..functions.formats import compile_format
 from ..functions.infer import column_types, fold, folded, infer_field
 from ..operators.errors import SCHEMA, CsvError, findings, header_errors, numbered, row_numbers
@@ -128,8 +128,9 @@ def table_of(rows: DataFrame, start: Start, o: CsvOptions, encoding: Encoding, s
     in_order = found is body
     if o.error_mode != "disabled":
         found = numbered(found, start.offset)
-    clean = F.regexp_replace("line", "\r\\z", "")
-    if encoding.mark or encoding.name == "utf-8":
+    clean = F.when(F.endswith("line", F.lit("\r")), F.substring("line", F.lit(1), F.length("line") - 1)).otherwise(F.col("line"))
+    if not split:
+        # the mark of the encoding, which a header would have taken with it
         clean = F.when((F.col("block") == 0) & (index == 0), F.regexp_replace(clean, "^\ufeff", "")).otherwise(clean)
     found = found.withColumn("line", clean)
     if o.skip_empty_rows:
@@ -138,8 +139,7 @@ def table_of(rows: DataFrame, start: Start, o: CsvOptions, encoding: Encoding, s
         found = found.where(~F.startswith("line", F.lit(start.dialect.comment)))
     fields = found.withColumn("fields", split_fields(F.col("line"), sep, quote, o.escape_backslash))
     names, width = physical(start.names), len(start.names)
-    texts = [value(F.get("fields", F.lit(i)), quote, o.escape_backslash, o.trim_ws, tokens(o.null_values)) for i in range(width)]
-    kinds = kinds or infer_kinds(fields, start, o, texts)
+    kinds = kinds or infer_kinds(fields, start, o)
     for name, kind in o.dtype.items():
         if name not in start.names:
             raise ValueError(f"dtype names no column: {name}")
@@ -147,12 +147,13 @@ def table_of(rows: DataFrame, start: Start, o: CsvOptions, encoding: Encoding, s
     for name in o.formats:
         if name in start.names and kinds[start.names.index(name)] not in (DataType.DATE, DataType.TIMESTAMP, DataType.TIME):
             kinds[start.names.index(name)] = DataType.TIMESTAMP
-    values = [typed(t, k, o, o.formats.get(n)) for t, k, n in zip(texts, kinds, start.names)]
+    fields = with_texts(fields, width, quote, o.escape_backslash, o.trim_ws, tokens(o.null_values))
+    fields = fields.select("*", *(typed(F.col(f"__t{i}"), k, o, o.formats.get(n)).alias(f"__v{i}") for i, (k, n) in enumerate(zip(kinds, start.names))))
     errors = None
     if o.error_mode != "disabled":
         session = rows.sparkSession
         marked = row_numbers(fields, 2 if start.has_header else 1)
-        triples = [(t, v, k.name) for t, v, k in zip(texts, values, kinds)]
+        triples = [(F.col(f"__t{i}"), F.col(f"__v{i}"), k.name) for i, k in enumerate(kinds)]
         each = marked.select("file", "place", F.explode(findings(width, quote, o.escape_backslash, start.names, triples)).alias("e")).select("file", "place", "e.*")
         top = header_errors(start.names, start.has_header)
         if any(e[1] == "FATAL" for e in top) and o.error_mode in ("fail_fast", "permissive"):
@@ -166,7 +167,7 @@ def table_of(rows: DataFrame, start: Start, o: CsvOptions, encoding: Encoding, s
                 fields = fields.where((F.col("file") < stop.file) | (F.col("file") == stop.file) & (F.col("before") < stop.byte_offset))
         else:
             errors = errors.limit(o.max_errors)
-    out = fields.select(F.col("file").alias(FILE), F.col("place").alias(PLACE), *(v.alias(n) for v, n in zip(values, names)))
+    out = fields.select(F.col("file").alias(FILE), F.col("place").alias(PLACE), *(F.col(f"__v{i}").alias(n) for i, n in enumerate(names)))
     table = Table(out, list(start.names), kinds, dict(o.formats), start.dialect, encoding, errors, source, size, in_order, start.warning)
     return narrowed(table, o)
 
@@ -185,15 +186,15 @@ def narrowed(table: Table, o: CsvOptions) -> Table:
     return table
 
 
-def infer_kinds(fields: DataFrame, start: Start, o: CsvOptions, texts: list[Column]) -> list[DataType]:
+def infer_kinds(fields: DataFrame, start: Start, o: CsvOptions) -> list[DataType]:
     width = len(start.names)
     if o.sample_rows:
         rows = [[inferred(f, start.dialect.quote, o) for f in split_python(r, start.separator, start.dialect.quote, o.escape_backslash)] for r in start.sample[: o.sample_rows] if r.strip(" \t")]
         return column_types(rows, width, *how(o))
     # every row counts: one aggregate over the whole file, a number for each column
-    plain = [value(F.get("fields", F.lit(i)), start.dialect.quote, o.escape_backslash, o.trim_ws, []) for i in range(width)]
-    got = fields.agg(*(fold(infer_field(x, *how(o)))[0].alias(f"k{i}") for i, x in enumerate(plain))).first()
-    return [folded(k) for k in got]
+    texts = with_texts(fields, width, start.dialect.quote, o.escape_backslash, o.trim_ws, [])
+    kinds = texts.select(*(infer_field(F.col(f"__t{i}"), *how(o)).alias(f"k{i}") for i in range(width)))
+    return [folded(k) for k in kinds.agg(*(fold(F.col(f"k{i}"))[0].alias(f"k{i}") for i in range(width))).first()]
 
 
 def inferred(raw: str, quote: str, o: CsvOptions) -> str:
