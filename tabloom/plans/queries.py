@@ -18,9 +18,9 @@ from ..scratch import scratch
 from ..sources.csv import read_csv, read_csv_lines, read_csv_text
 from ..sources.dialect import detect_dialect
 from ..sources.encoding import detect_encoding
-from ..sources.fwf import read_fwf_lines
-from ..streaming.parser import read_csv_stream
-from ..types import DataType
+from ..sources.fwf import read_fwf_lines, read_fwf_text
+from ..streaming.parser import StreamingParser, read_csv_stream
+from ..types import DataType, wider
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -347,3 +347,86 @@ def stream_microbatch(spark, sf_dir):
     got = read_csv_stream(spark, source, header_line(df.columns) + "\n", separator=",", schema=[I64, STR, DBL], header_in_files=False)
     got.writeStream.format("parquet").option("path", sink).option("checkpointLocation", marks).trigger(availableNow=True).outputMode("append").start().awaitTermination()
     return spark.read.schema(got.schema).parquet(sink)
+
+
+@query("SELECT a.t AS a, b.t AS b, CASE WHEN a.t = b.t THEN a.t WHEN a.t = 'NA' THEN b.t WHEN b.t = 'NA' THEN a.t WHEN a.k <= 4 AND b.k <= 4 THEN CASE WHEN a.k > b.k THEN a.t ELSE b.t END ELSE 'STRING' END AS wider FROM (VALUES ('BOOL', 1), ('INT32', 2), ('INT64', 3), ('FLOAT64', 4), ('STRING', 5), ('DATE', 6), ('TIMESTAMP', 7), ('TIME', 8), ('NA', 255)) a(t, k), (VALUES ('BOOL', 1), ('INT32', 2), ('INT64', 3), ('FLOAT64', 4), ('STRING', 5), ('DATE', 6), ('TIMESTAMP', 7), ('TIME', 8), ('NA', 255)) b(t, k)")
+def type_lattice(spark, sf_dir):
+    kinds = [k for k in DataType if k != DataType.UNKNOWN]
+    return spark.createDataFrame([(a.name, b.name, wider(a, b).name) for a in kinds for b in kinds], "a string, b string, wider string")
+
+
+@query("SELECT n_nationkey, n_name || ' – café' AS name FROM nation")
+def transcode_files(spark, sf_dir):
+    """A UTF-16 file, decoded and read."""
+    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_nationkey", "n_name").collect()
+    text = "n_nationkey,name\n" + "".join(f"{r.n_nationkey},{r.n_name} – café\n" for r in rows)
+    return read_csv_text(spark, b"\xff\xfe" + text.encode("utf-16-le"), separator=",").df
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def csv_file_projection(spark, sf_dir):
+    """usecols by place and name, over a file with more columns."""
+    path = scratch(spark, "projection")
+    one_file(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), path, "c_custkey", "|")
+    return read_csv(spark, files(spark, path)[0], separator="|", dtype={"c_custkey": "int64", "c_acctbal": "float64"}, columns=[0, "c_name", 3]).df
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 25")
+def csv_file_n_rows(spark, sf_dir):
+    path = scratch(spark, "rows")
+    one_file(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), path, "c_custkey")
+    return read_csv(spark, files(spark, path)[0], separator=",", dtype={"c_custkey": "int64"}, n_rows=25).df
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey < 20")
+def fail_fast(spark, sf_dir):
+    """Reading ends before the first faulty record, here the one of customer 20."""
+    path = scratch(spark, "fail")
+    name = F.when(F.col("c_custkey") == 20, F.lit("one,field more")).otherwise(F.col("c_name"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws(",", F.col("c_custkey").cast("string"), name).alias("value"))
+    head = spark.createDataFrame([(-1, "c_custkey,c_name")], "c_custkey long, value string")
+    head.unionByName(rows).repartition(1).sortWithinPartitions("c_custkey").select("value").write.text(path)
+    return read_csv(spark, files(spark, path)[0], separator=",", error_mode="fail_fast", dtype={"c_custkey": "int64"}).df
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS stamp, strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(o_orderkey % 2 = 0 AS VARCHAR) AS flag, printf('%02d:%02d:%02d', o_orderkey % 24, o_orderkey % 60, 5) AS clock FROM orders")
+def values_as_text(spark, sf_dir):
+    df = table(spark, sf_dir, "orders")
+    typed = df.select("o_orderkey", "o_orderdate", F.col("o_orderdate").cast("date").alias("day"), (F.col("o_orderkey") % 2 == 0).alias("flag"), (((F.col("o_orderkey") % 24) * 60 + F.col("o_orderkey") % 60) * 60_000_000 + 5_000_000).alias("clock"))
+    kinds = {f.name: f.dataType for f in typed.schema.fields}
+    return typed.select("o_orderkey", text_of(F.col("o_orderdate"), kinds["o_orderdate"]).alias("stamp"), text_of(F.col("day"), kinds["day"]).alias("day"), text_of(F.col("flag"), kinds["flag"]).alias("flag"), text_of(F.col("clock"), kinds["clock"], True).alias("clock"))
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer ORDER BY c_custkey LIMIT 40")
+def fwf_file_options(spark, sf_dir):
+    """A file with a line to skip, comments and blank lines; the first 40 rows."""
+    rows = table(spark, sf_dir, "customer").orderBy("c_custkey").limit(60).select("c_custkey", "c_name", "c_mktsegment").collect()
+    text = "title\n# a note\n\n" + "".join(f"{r.c_custkey:<10}{r.c_name:<30}{r.c_mktsegment}\n" + ("# more\n\n" if i % 7 == 0 else "") for i, r in enumerate(rows))
+    got = read_fwf_text(spark, text, schema=[I64, STR, STR], col_starts=[0, 10, 40], col_ends=[10, 40, -1], col_names=["c_custkey", "c_name", "c_mktsegment"], skip=1, comment="#", max_rows=40)
+    return got.df
+
+
+@query("SELECT (i // 40) AS batch, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 100)) GROUP BY 1")
+def batched_reader(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").orderBy("c_custkey").limit(100).select("c_custkey", "c_name").collect()
+    got = read_csv_text(spark, "c_custkey,c_name\n" + "".join(f"{r.c_custkey},{r.c_name}\n" for r in rows), separator=",")
+    return spark.createDataFrame([(i, b.num_rows) for i, b in enumerate(got.batches(40))], "batch long, n long")
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 100")
+def push_parser(spark, sf_dir):
+    """Bytes fed in pieces of 17, batches of 30."""
+    rows = table(spark, sf_dir, "customer").orderBy("c_custkey").limit(100).select("c_custkey", "c_name").collect()
+    data = ("c_custkey,c_name\r\n" + "".join(f'{r.c_custkey},"{r.c_name}"\r\n' for r in rows)).encode()
+    parser = StreamingParser(batch_size=30)
+    parser.set_schema(["c_custkey", "c_name"], [I64, STR])
+    for i in range(0, len(data), 17):
+        parser.feed(data[i : i + 17])
+    parser.finish()
+    out = None
+    for batch in parser:
+        if batch.num_rows:
+            df = parser.to_dataframe(spark, batch)
+            out = df if out is None else out.unionByName(df)
+    return out
+
