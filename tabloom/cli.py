@@ -40,6 +40,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--permissive", action="store_true")
         p.add_argument("--max-errors", type=int)
         p.add_argument("--cache", action="store_true")
+        p.add_argument("--cache-dir")
         p.add_argument("--no-cache", action="store_true")
         p.add_argument("-j", "--json", action="store_true")
         p.add_argument("-t", "--threads", type=int)
@@ -65,7 +66,7 @@ def options(a: argparse.Namespace) -> CsvOptions:
     mode = "fail_fast" if a.strict else "permissive" if a.permissive or a.max_errors is not None else "disabled"
     return CsvOptions(
         separator=SEPARATORS.get(a.delimiter, a.delimiter), quote=a.quote, encoding=a.encoding, has_header=not a.no_header, guess_integer=a.guess_integer, trim_ws=not a.no_trim_ws, escape_backslash=a.escape_backslash,
-        decimal_mark=a.decimal_mark, comment=a.comment, skip=a.skip, error_mode=mode, max_errors=10_000 if a.max_errors is None else a.max_errors, cache=a.cache and not a.no_cache, sample_rows=getattr(a, "sample_size", 1000),
+        decimal_mark=a.decimal_mark, comment=a.comment, skip=a.skip, error_mode=mode, max_errors=10_000 if a.max_errors is None else a.max_errors, cache=(a.cache or a.cache_dir is not None) and not a.no_cache, cache_dir=a.cache_dir, sample_rows=getattr(a, "sample_size", 1000),
     )
 
 

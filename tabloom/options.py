@@ -41,6 +41,7 @@ class CsvOptions:
     max_errors: int = 10_000
     encoding: str | None = None  # None: detected
     cache: bool = False
+    cache_dir: str | None = None  # None: beside the file
     force_cache_refresh: bool = False
     multiline: bool | None = None  # None: looked for
 

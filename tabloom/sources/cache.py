@@ -13,12 +13,15 @@ from ..options import CsvOptions
 from ..types import DataType
 
 
-def cache_path(path: str) -> str:
-    return f"{path}.tabloom.json"
+def cache_path(path: str, folder: str | None = None) -> str:
+    """Beside the file, or in a folder under a name made of the file's path."""
+    if folder is None:
+        return f"{path}.tabloom.json"
+    return f"{folder}/{hashlib.sha256(path.encode()).hexdigest()[:32]}.tabloom.json"
 
 
 def _key(o: CsvOptions) -> str:
-    kept = {k: v for k, v in asdict(o).items() if k not in ("cache", "force_cache_refresh", "columns", "n_rows", "error_mode", "max_errors")}
+    kept = {k: v for k, v in asdict(o).items() if k not in ("cache", "cache_dir", "force_cache_refresh", "columns", "n_rows", "error_mode", "max_errors")}
     return hashlib.sha256(json.dumps(kept, sort_keys=True, default=str).encode()).hexdigest()
 
 
@@ -29,7 +32,7 @@ def _fs(spark: SparkSession, path: str):
 
 def load_cache(spark: SparkSession, path: str, size: int, changed: int, o: CsvOptions) -> dict | None:
     """What was kept; None if there is nothing, it is damaged, or the file or the options are others."""
-    where, fs = _fs(spark, cache_path(path))
+    where, fs = _fs(spark, cache_path(path, o.cache_dir))
     if not fs.exists(where):
         return None
     try:
@@ -48,8 +51,8 @@ def load_cache(spark: SparkSession, path: str, size: int, changed: int, o: CsvOp
 def save_cache(spark: SparkSession, path: str, size: int, changed: int, o: CsvOptions, separator: str, kinds: list[DataType]) -> None:
     """Written beside the file and then renamed, so that no reader sees half of it."""
     body = json.dumps({"size": size, "changed": changed, "options": _key(o), "separator": separator, "kinds": [k.name for k in kinds]})
-    where, fs = _fs(spark, cache_path(path))
-    draft, _ = _fs(spark, cache_path(path) + ".draft")
+    where, fs = _fs(spark, cache_path(path, o.cache_dir))
+    draft, _ = _fs(spark, cache_path(path, o.cache_dir) + ".draft")
     stream = fs.create(draft, True)
     try:
         stream.write(bytearray(body.encode()))

@@ -171,6 +171,9 @@ def test_cache(spark, tmp_path):
     assert side.exists() and rows(read_csv(spark, str(path), cache=True)) == rows(first)
     side.write_text("{broken")
     assert rows(read_csv(spark, str(path), cache=True)) == rows(first)
+    (tmp_path / "kept").mkdir()
+    read_csv(spark, str(path), cache=True, cache_dir=str(tmp_path / "kept"))
+    assert len([p for p in (tmp_path / "kept").iterdir() if p.name.endswith(".tabloom.json") and not p.name.startswith(".")]) == 1
 
 
 def test_writing(spark, tmp_path):
