@@ -22,7 +22,8 @@ from .common import slices, with_fields, written
 
 FIRST, LAST = "\x02", "\x03"
 PRIME = np.uint64(0x9E3779B97F4A7C15)
-MOST_KEPT = 500_000
+#: Words whose scores a task keeps, and text it looks at at once: a word takes ten times its bytes.
+MOST_KEPT, SLICE = 200_000, 2 << 20
 #: Characters of a word that are scored as one; a longer run goes on in pieces of this length.
 LONGEST = 64
 #: Languages whose thresholds are broadcast; with more they are joined by a shuffle.
@@ -41,7 +42,7 @@ def gram_counts(docs: DataFrame, order: int, text: str = "text") -> DataFrame:
     """(gram, c): runs of `order` characters of the words, each word led by order - 1 starts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             words, found = Counter(), Counter()
             for t in batch.column(0).to_pylist():
                 words.update(words_of(t))
@@ -159,7 +160,7 @@ def perplexities(docs: DataFrame, model: Model, text: str = "text", name: str =
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             if len(known) > MOST_KEPT:
                 known = {}
             texts = [words_of(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]

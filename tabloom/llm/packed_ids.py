@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from .common import slices
 from .pretokens import byte_pairs
 
+#: Text that is packed together.
+SLICE = 16 << 20
 SCHEMA = "row_id long, n_tokens int, n_segments int, id_bytes int, ids binary, cu_seqlens array<int>, doc_ids array<long>, piece_starts array<int>, position_resets array<int>"
 
 
@@ -94,7 +96,7 @@ def packed_ids(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: in
         context = TaskContext.get()
         first = (context.partitionId() if context else 0) << 40
         names = [f.split()[0] for f in schema.split(", ")]
-        for k, batch in enumerate(slices(batches, text)):
+        for k, batch in enumerate(slices(batches, text, SLICE)):
             pairs.trim()
             keys = batch.column(batch.schema.get_field_index(id_column)).to_pylist()
             tokens, docs_of, starts = [], [], []
