@@ -149,6 +149,14 @@ class Lattice:
         return out
 
 
+class Places(dict):
+    """word -> its number; a new word gets the next one."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def word_counts(docs: DataFrame, train: Column, text: str = "text") -> DataFrame:
     """(word, c) over the documents of `train`; the end of a text is an empty word."""
 
@@ -225,11 +233,11 @@ def score(docs: DataFrame, path: str, train: Column, rounds: int = 2, strength:
         return list(out)
 
     def of_block(block: pa.Table, values: pa.Table) -> pa.Table:
-        at = {w: i for i, w in enumerate(values.column("word").to_pylist())}
-        texts = [words_of(t) for t in block.column("text").cast(pa.binary()).to_pylist()]
+        at = Places((w, i) for i, w in enumerate(values.column("word").to_pylist()))
+        known = len(at)
+        texts = [np.fromiter(map(at.__getitem__, words_of(t)), np.int32) for t in block.column("text").cast(pa.binary()).to_pylist()]
         # words that no training document has aren't in the table: they are scored here
-        new = list({w for t in texts for w in t if w not in at})
-        at |= {w: len(at) + i for i, w in enumerate(new)}
+        new = list(at)[known:]
         c = np.concatenate((values.column("c").to_numpy(), np.zeros(len(new))))
         spelled = np.concatenate((values.column("marginal").to_numpy(), Lattice(names_of(path), model.value).marginals(new)))
         whole = np.log(np.maximum(c - discount, 1e-300) / (n + 1))
@@ -237,9 +245,8 @@ def score(docs: DataFrame, path: str, train: Column, rounds: int = 2, strength:
         base = np.log10((c + 0.5) / floor)
         end, end_base = math.log10((ends + 0.5) / (n + 1)), math.log10((ends + 0.5) / floor)
         rows = []
-        for t in texts:
-            ids = np.fromiter(map(at.__getitem__, t), np.int64, len(t))
-            rows.append((len(t) + 1, int((c[ids] > 0).sum()) + (ends > 0), n, float(base[ids].sum() + end_base), float(scores[ids].sum() + end)))
+        for ids in texts:
+            rows.append((len(ids) + 1, int((c[ids] > 0).sum()) + (ends > 0), n, float(base[ids].sum() + end_base), float(scores[ids].sum() + end)))
         columns = list(zip(*rows)) or [()] * 5
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.Table.from_arrays([block.column("id"), block.column("held_out"), *(pa.array(x, k) for x, k in zip(columns, kinds))], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
