@@ -85,7 +85,7 @@ class Quotes:
         whole = self.quote + line if inside else line
         m = self.last.match(whole)
         last = m[1] if m else whole
-        if not last.startswith(self.quote):
+        if len(self.sep) == 1 and not last.startswith(self.quote):
             return False
         if self.backslash:
             last = re.sub(r"\\[\s\S]", "", last)

@@ -77,6 +77,11 @@ def test_records_over_many_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_line_ends_in_quotes_between_long_separators(spark):
+    t = read_csv_text(spark, 'A~|B\n1~|x "y\nz" w\n2~|"p~|q"\n', separator="~|")
+    assert rows(t) == [(1, 'x "y\nz" w'), (2, "p~|q")]
+
+
 def test_skipping(spark):
     text = "junk\n\n  \n# note\nA,B\n1,x\n\n# gone\n  \n2,y\n"
     assert rows(read_csv_text(spark, text, skip=1, comment="#", separator=",")) == [(1, "x"), (None, None), (2, "y")]
