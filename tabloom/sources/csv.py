@@ -134,7 +134,7 @@ def table_of(rows: DataFrame, start: Start, o: CsvOptions, encoding: Encoding, s
         clean = F.when((F.col("block") == 0) & (index == 0), F.regexp_replace(clean, "^\ufeff", "")).otherwise(clean)
     found = found.withColumn("line", clean)
     if o.skip_empty_rows:
-        found = found.where(F.length("line") > 0)
+        found = found.where(F.col("line") != "")
     if start.dialect.comment:
         found = found.where(~F.startswith("line", F.lit(start.dialect.comment)))
     fields = found.withColumn("fields", split_fields(F.col("line"), sep, quote, o.escape_backslash))

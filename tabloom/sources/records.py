@@ -100,8 +100,9 @@ def records(rows: DataFrame, sep: str, quote: str, backslash: bool = False, mult
     if not quote or multiline is False:
         return rows
     if multiline is None:
-        count = F.length("line") - F.length(F.replace("line", F.lit(quote)))
-        if not rows.where(count % 2 == 1).limit(1).count():
+        size = len(quote.encode())
+        odd = (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(quote)))) % (2 * size) == size
+        if not rows.where(F.contains("line", F.lit(quote)) & odd).limit(1).count():
             return rows
     numbered = rows.withColumn("part", F.spark_partition_id())
 
