@@ -221,7 +221,8 @@ def first_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, featu
     of = prints.join(groups(prints, radius, id_column), "fingerprint")
     many = of.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
     members = of.join(many, "component_id", "left_semi").where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("__id"), F.col("component_id").alias("__component")).distinct()
-    members = written(members, "members")
+    # by a merge at every size: what is shuffled then grows with the input, and the members' size needn't be known
+    members = written(members, "members").hint("merge")
     alone = docs.join(members, F.col(id_column) == F.col("__id"), "left_anti")
     met = docs.join(members, F.col(id_column) == F.col("__id")).drop("__id")
     columns, schema = docs.columns, docs.schema
