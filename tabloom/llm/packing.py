@@ -10,8 +10,6 @@ against one packing of everything is at most the last bins of a shard.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
