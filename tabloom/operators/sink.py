@@ -41,17 +41,12 @@ def convert(table: Table, path: str, options: ParquetOptions | None = None, fail
 
 def double_text(x: Column, digits: int = 6) -> Column:
     """A number with so many significant digits, trailing zeros off, an exponent where it is under -4 or over the digits."""
-    size = F.floor(F.log10(F.abs(x)))
     exact = F.format_string(f"%.{digits - 1}e", x)
-    exponent = F.regexp_extract(exact, "e([+-][0-9]+)$", 1).cast("int")
-    mantissa = F.regexp_replace(F.regexp_extract(exact, "^(.*)e", 1), r"\.?0+$", "")
-    mantissa = F.when(F.contains(F.regexp_extract(exact, "^(.*)e", 1), F.lit(".")), mantissa).otherwise(F.regexp_extract(exact, "^(.*)e", 1))
-    places = F.greatest(F.lit(0), F.lit(digits - 1) - exponent)
-    fixed = F.element_at(F.array(*(F.format_string(f"%.{k}f", x) for k in range(digits + 4))), (F.least(places, F.lit(digits + 3)) + 1).cast("int"))
-    fixed = F.when(F.contains(fixed, F.lit(".")), F.regexp_replace(fixed, r"\.?0+$", "")).otherwise(fixed)
-    far = (exponent < -4) | (exponent >= digits)
-    out = F.when(x == 0, F.lit("0")).when(far, F.concat(mantissa, F.lit("e"), F.regexp_extract(exact, "e([+-][0-9]+)$", 1))).otherwise(fixed)
-    return F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(F.when(size.isNull(), out).otherwise(out))
+    power = F.substring_index(exact, "e", -1)
+    mantissa = F.regexp_replace(F.substring_index(exact, "e", 1), r"\.?0+$", "")
+    plain = F.regexp_replace(exact.try_cast("decimal(24,12)").cast("string"), r"\.?0+$", "")
+    out = F.when(power.try_cast("int").between(-4, digits - 1), plain).otherwise(F.concat(mantissa, F.lit("e"), power))
+    return F.when(F.isnan(x), "nan").when(x == 0, "0").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(out)
 
 
 def text_of(x: Column, kind: T.DataType, time: bool = False, exact: bool = False) -> Column:
