@@ -10,6 +10,7 @@ forest of its links is kept, which has the same components.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -209,16 +210,138 @@ class Firsts:
         return True
 
 
+#: Share of the documents in which common shingles are counted, and how many of them are broadcast. Both bear on the order of shingles alone.
+COUNTED, MOST_COMMON = 8, 500_000
+#: Documents that share a prefix shingle up to which all their pairs are counted.
+PAIRED = 64
+
+
+def common_shingles(docs: DataFrame, words: int, id_column: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that several documents of a share of docs have, and in how many."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            found = [np.unique(shingle_hashes(t, words)) for t in bytes_of(batch, text)]
+            h, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
+
+    share = docs.where(F.pmod(F.xxhash64(id_column), F.lit(COUNTED)) == 0).select(text)
+    counts = share.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2")
+    counts = written(counts.withColumn("n", F.least("n", F.lit(10_000))), "common")
+    least, total = 10_001, 0
+    for n, rows in counts.groupBy("n").count().orderBy(F.desc("n")).collect():
+        if (total := total + rows) > MOST_COMMON:
+            break
+        least = n
+    got = counts.where(F.col("n") >= least).toArrow()
+    h, n = got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def shared_least(n: int) -> int:
+    """How many prefix shingles two similar sets share at least, the smaller of which has n shingles."""
+    return 1 + n // 20
+
+
+def prefix(found: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The rarest of a sorted set's shingles, of which sets of that similarity share shared_least or more.
+
+    Similar sets share `similarity` of the larger one; in one order for all sets, those shared ones that
+    come first are no further back than the shingles not shared, and so in the prefixes of both.
+    """
+    n, (keys, counts) = len(found), common
+    rarity = np.zeros(n, np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+        rarity = np.where(keys[at] == found, counts[at], 0)
+    most = min(n, n - math.ceil(similarity * n - 1e-9) + shared_least(n))
+    return found[np.lexsort((found, rarity))[:most]]
+
+
+def signatures(docs: DataFrame, feature_words: int, words: int, similarity: float, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, fingerprint, digest and size of the shingle set, prefix) of each row."""
+    held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words, id_column, text))
+    docs = docs.select(id_column, text)
+    schema = with_fields(docs.select(id_column), {"fingerprint": "long", "digest": "long", "size": "int", "prefix": "array<long>"})
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            prints, digests, sizes, prefixes = [], [], [], [np.empty(0, np.uint64)]
+            for t in bytes_of(batch, text):
+                found = np.unique(shingle_hashes(t, words))
+                prints.append(fingerprint(shingle_hashes(t, feature_words)))
+                digests.append(xxhash.xxh3_64_intdigest(found.tobytes()))
+                sizes.append(len(found))
+                prefixes.append(prefix(found, held.value, similarity))
+            ends = np.cumsum([len(p) for p in prefixes])
+            arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes).view(np.int64)))
+            digest = pa.array(np.array(digests, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), digest, pa.array(sizes, pa.int32()), arrays], schema.names)
+
+    return docs.mapInArrow(sign, schema)
+
+
+def similar_links(signed: DataFrame, of: DataFrame, similarity: float, id_column: str = "doc_id") -> DataFrame:
+    """(a, b): links among the components `of` fingerprints, so that all sets of that similarity are linked.
+
+    Sets that share enough prefix shingles are linked without a look at the rest of them: links make candidates.
+    """
+    light = signed.where(F.col(id_column).isNotNull() & (F.col("size") > 0)).select(id_column, "fingerprint", "digest").join(of, "fingerprint")
+    light = written(light.select(F.col(id_column).alias("id"), "digest", F.col("component_id").alias("component")), "light")
+    first = light.groupBy("digest").agg(F.min("id").alias("id"), F.min("component").alias("component"))
+    same = light.join(first.select("digest", F.col("component").alias("b")), "digest").where("component <> b").select(F.col("component").alias("a"), "b")
+    sets = signed.select(F.col(id_column).alias("id"), "digest", "size", "prefix").join(first.hint("merge"), ["id", "digest"])
+    keyed = sets.select(F.explode("prefix").alias("key"), F.col("component").alias("c"), "id", "size")
+    sort = keyed.repartition("key").sortWithinPartitions("key", "size")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            now = [c.to_numpy() for c in batch.columns]
+            rest = now if rest is None else [np.concatenate(x) for x in zip(rest, now)]
+            if len(rest[0]) and rest[0][0] != rest[0][-1]:
+                done = int(np.searchsorted(rest[0], rest[0][-1]))  # the last bucket may go on in the next batch
+                yield from bucketed(*(x[:done] for x in rest))
+                rest = [x[done:] for x in rest]
+        if rest is not None:
+            yield from bucketed(*rest)
+
+    def bucketed(keys: np.ndarray, c: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(keys) < 2:
+            return
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        rows = np.diff(np.concatenate((starts, [len(keys)])))
+        few = np.repeat(rows <= PAIRED, rows)
+        for d in range(1, min(PAIRED, int(rows.max()))):
+            # rows come by size; of a large bucket neighbours are linked, which links all within a reach of sizes
+            i = np.flatnonzero((keys[d:] == keys[:-d]) & (c[d:] != c[:-d]) & (sizes[:-d] >= similarity * sizes[d:] - 1e-9) & (few[d:] | (d == 1)))
+            if len(i):
+                swap = ids[i] > ids[i + d]
+                x, y = np.where(swap, i + d, i), np.where(swap, i, i + d)
+                need = np.where(few[i], shared_least(sizes[i]), 0)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y]), pa.array(c[x]), pa.array(c[y]), pa.array(need.astype(np.int64))], ["x", "y", "a", "b", "need"])
+
+    met = sort.mapInArrow(meet, "x long, y long, a long, b long, need long")
+    near = met.groupBy("x", "y", "a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
+    return same.unionByName(near).distinct()
+
+
 def first_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, feature_words: int = 2, radius: int = 7, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the documents that are similar to one that stays.
 
     Candidates are the components of SimHash links (fingerprints over runs of feature_words words,
-    up to `radius` differing bits). In each, documents come by id; one whose set of runs of `words` words has a
+    up to `radius` differing bits) and of links among documents that share their rarest shingles, which all
+    similar ones do whatever their fingerprints. In each, documents come by id; one whose set of runs of `words` words has a
     Jaccard similarity of at least `similarity` with that of one kept before goes. Equal texts are similar, texts
     without words too; of repeated rows one stays; rows with a null id all stay.
     """
-    prints = written(fingerprints(docs.select(id_column, text), feature_words, text), "prints")
-    of = prints.join(groups(prints, radius, id_column), "fingerprint")
+    signed = written(signatures(docs, feature_words, words, similarity, id_column, text), "signatures")
+    prints = signed.select(id_column, "fingerprint")
+    near = written(groups(prints, radius, id_column), "groups")
+    further = components(similar_links(signed, near, similarity, id_column)).select(F.col("node").alias("component_id"), "root")
+    near = near.join(further, "component_id", "left").select("fingerprint", F.coalesce("root", "component_id").alias("component_id"))
+    of = written(prints.join(near, "fingerprint"), "components")
     many = of.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
     members = of.join(many, "component_id", "left_semi").where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("__id"), F.col("component_id").alias("__component")).distinct()
     # by a merge at every size: what is shuffled then grows with the input, and the members' size needn't be known

@@ -274,6 +274,24 @@ def test_first_copies(spark):
     assert simhash.first_copies(empty(spark)).count() == 0
 
 
+def test_first_copies_beyond_the_radius(spark):
+    """Copies with one long passage replaced: five words alike at 0.8 and more, their fingerprints at over 7 bits."""
+    rows, far = [], 0
+    for k in range(60):
+        r = random.Random(1000 + k)
+        words = [f"w{r.randrange(400)}" for _ in range(60 + 3 * k)]
+        cut = len(words) // 11
+        copy = words[:-cut] + [f"v{r.randrange(3)}" for _ in range(cut)]
+        a, b = (frozenset(tuple(x[i : i + 5]) for i in range(len(x) - 4)) for x in (words, copy))
+        prints = [simhash.fingerprint(simhash.shingle_hashes(" ".join(x).encode(), 2)) for x in (words, copy)]
+        if len(a & b) >= 0.8 * len(a | b):
+            rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+            far += ((prints[0] ^ prints[1]) & (1 << 64) - 1).bit_count() > 7
+    assert far > 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.first_copies(docs).collect()) == [i for i, _ in rows if i % 2 == 0]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
