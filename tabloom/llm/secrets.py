@@ -26,9 +26,9 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_HINT = re.compile(rb"password|passwd|secret|token|api_?key")
 KINDS = ("assign", "access", "hex", "guess")
 
-#: Contexts whose values the guess cost judges.
+#: Contexts whose values the guess cost judges: a word that ends in one of these, a separator, maybe the name of an authentication scheme.
 CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|bearer|credentials?|client[_-]?secret|private[_-]?key|login)\b["']?\x20*(?:[:=]|=>|\x20is\x20)\x20*["']?([^\s"'<>,;|]{6,128})""",
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|bearer|credentials?|client[_-]?secret|private[_-]?key|login)\b["']?\x20*(?:[:=]|=>|\x20is\x20)\x20*["']?(?:(?:basic|bearer|digest|dpop|negotiate|ntlm|oauth|token|api_?key)\x20+["']?)?([^\s"'<>,;|]{6,})""",
     re.A | re.I,
 )
 CONTEXT_HINT = re.compile(rb"pass|pwd|secret|token|key|auth|bearer|credential|login")
@@ -42,6 +42,8 @@ NEXT |= {(b, a) for a, b in NEXT}
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
 LEET = str.maketrans("@430$517", "aaeossit")
 BRUTE, PER_SEGMENT = 1.0, math.log10(2)
+#: Repeats and walks are tried at every length up to this and at the whole run's, so that time grows with the value's length alone.
+ARC = 128
 
 
 @lru_cache(maxsize=2)
@@ -54,6 +56,11 @@ def ranks(path: str | None) -> dict[str, int]:
     return {w: i for i, w in enumerate((w for w in words if len(w) > 2 and w.isascii() and w.isalpha()), 1)}
 
 
+def arcs(run: int) -> list[int]:
+    """Lengths of the arcs that end in a run of that length."""
+    return [*range(3, min(run, ARC) + 1), *([run] if run > ARC else ())]
+
+
 def guess_cost(value: str, words: dict[str, int], most_word: int = 20) -> float:
     """log10 of the guesses for the cheapest segmentation of value."""
     n, low = len(value), value.lower()
@@ -83,9 +90,9 @@ def guess_cost(value: str, words: dict[str, int], most_word: int = 20) -> float:
             cost = min(cost, best[i] + math.log10(365 * 120) + PER_SEGMENT)
         repeat = repeat + 1 if j > 1 and low[j - 1] == low[j - 2] else 1
         walk = walk + 1 if j > 1 and (low[j - 2], low[j - 1]) in NEXT else 1
-        for length in range(3, repeat + 1):
+        for length in arcs(repeat):
             cost = min(cost, best[j - length] + math.log10(12 * length) + PER_SEGMENT)
-        for length in range(3, walk + 1):
+        for length in arcs(walk):
             cost = min(cost, best[j - length] + math.log10(40 * length) + 0.3 * length + PER_SEGMENT)
         best[j] = cost
     return best[n]

@@ -197,3 +197,17 @@ def test_matroska_structure(spark):
     table = mk.packet_table(files)
     assert table.columns == ["id", "track", "timestamp_ns", "byte_start", "byte_end", "cluster", "lace", "keyframe"]
     assert table.count() == len(media.packets) and table.select("id").distinct().count() == 1
+
+
+def test_whole_values_of_secrets(spark):
+    r = random.Random(4)
+    long = "".join(r.choice("abcXYZ0189$%!") for _ in range(240))
+    value = "kQ9!vz$T7#xw"
+    texts = [f"a token: {long} b", f"db_password = {value} b", f"DB_PWD={value}", f"aws_secret_access_key = {value}", f"Authorization: Bearer {value} b", f'"authorization": "Basic {value}"']
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x for x in secrets.scan(docs).collect()}
+    for k, text in enumerate(texts):
+        start = text.index(long if k == 0 else value)
+        assert f"guess:{start}:{start + (240 if k == 0 else len(value))}" in got[k].spans.split(",")
+        assert got[k].n_guess == 1 and got[k].redacted.count("[secret]") == 1
+    assert secrets.guess_cost("a" * 50_000, {}) < 8 < secrets.guess_cost(long, {})
