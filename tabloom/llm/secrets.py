@@ -110,12 +110,12 @@ def base_spans(text: str, lowered: bytes) -> list[tuple[int, int, int]]:
 
 
 def guess_spans(text: str, lowered: bytes, base: list[tuple[int, int, int]], words: dict[str, int], threshold: float) -> list[tuple[int, int, int]]:
-    """Spans of context values that take 10**threshold guesses or more and touch no base span."""
+    """Spans of context values that take 10**threshold guesses or more and aren't covered by one base span."""
     out = []
     if CONTEXT_HINT.search(lowered):
         for m in CONTEXT.finditer(text):
             start, end = m.span(1)
-            if not any(s < end and start < e for s, _, e in base) and guess_cost(m[1], words) >= threshold:
+            if not any(s <= start and end <= e for s, _, e in base) and guess_cost(m[1], words) >= threshold:
                 out.append((start, 3, end))
     return out
 

@@ -211,3 +211,10 @@ def test_whole_values_of_secrets(spark):
         assert f"guess:{start}:{start + (240 if k == 0 else len(value))}" in got[k].spans.split(",")
         assert got[k].n_guess == 1 and got[k].redacted.count("[secret]") == 1
     assert secrets.guess_cost("a" * 50_000, {}) < 8 < secrets.guess_cost(long, {})
+
+
+def test_values_that_go_on_after_a_base_span(spark):
+    docs = spark.createDataFrame([(0, "password=abcdefghijkl#Zq9!$xx b"), (1, "password=abcdefghijkl b")], "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    assert (got[0].spans, got[0].redacted) == ("assign:0:21,guess:9:29", "[secret] b")
+    assert (got[1].spans, got[1].redacted) == ("assign:0:21", "[secret] b")
