@@ -5,6 +5,8 @@ sample of trusted documents: their n-grams are counted where the text is, and co
 lower orders meet in joins sharded by n-gram. Scoring joins the distinct words of a slice of
 documents with the model, whose size the sample bounds, and sums them for each document.
 Documents above a quantile of the trusted documents' perplexities in their language are rejected.
+Each word is scored alone, so that repeated words look good; documents with a passage of fewer different words than
+nearly all trusted documents of their language have are rejected too.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ PRIME = np.uint64(0x9E3779B97F4A7C15)
 MOST_KEPT, SLICE = 200_000, 2 << 20
 #: Characters of a word that are scored as one; a longer run goes on in pieces of this length.
 LONGEST = 64
+#: Words of a passage whose different words are counted.
+PASSAGE = 20
 #: Languages whose thresholds are broadcast; with more they are joined by a shuffle.
 FEW = 10_000
 
@@ -38,6 +42,25 @@ def pieces_of(word: str) -> list[str]:
     return [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
 
 
+def variety(words: list[str]) -> float:
+    """The least share of different words among any PASSAGE words in a row, or all if there are fewer."""
+    if len(words) <= PASSAGE:
+        return len(set(words)) / max(1, len(words))
+    inside: dict[str, int] = {}
+    for w in words[:PASSAGE]:
+        inside[w] = inside.get(w, 0) + 1
+    least = len(inside)
+    for old, new in zip(words, words[PASSAGE:]):
+        if inside[old] == 1:
+            del inside[old]
+        else:
+            inside[old] -= 1
+        inside[new] = inside.get(new, 0) + 1
+        if len(inside) < least:
+            least = len(inside)
+    return least / PASSAGE
+
+
 def gram_counts(docs: DataFrame, order: int, text: str = "text") -> DataFrame:
     """(gram, c): runs of `order` characters of the words, each word led by order - 1 starts."""
 
@@ -152,10 +175,11 @@ def train(docs: DataFrame, order: int = 5, text: str = "text") -> Model:
     return Model(order, grams, contexts, unknown)
 
 
-def perplexities(docs: DataFrame, model: Model, text: str = "text", name: str = "perplexity") -> DataFrame:
-    """docs with a double column: the perplexity of a character; null for texts without words."""
-    kept = docs.drop(name)
-    schema = with_fields(kept, {name: "double"})
+def perplexities(docs: DataFrame, model: Model, text: str = "text", name: str = "perplexity", share: str | None = None) -> DataFrame:
+    """docs with a double column: the perplexity of a character; null for texts without words. share: a column of variety() besides."""
+    added = [name, share] if share else [name]
+    kept = docs.drop(*added)
+    schema = with_fields(kept, dict.fromkeys(added, "double"))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +194,8 @@ def perplexities(docs: DataFrame, model: Model, text: str = "text", name: str =
             for t in texts:
                 characters = sum(map(len, t)) + len(t)
                 out.append(math.exp(-sum(map(known.__getitem__, t)) / characters) if t else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, name])
+            columns = [out, [variety(t) if t else None for t in texts]] if share else [out]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.float64()) for c in columns)], [*batch.schema.names, *added])
 
     return kept.mapInArrow(score, schema)
 
@@ -182,7 +207,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 20_000, order: in
     the id is for the model, of which at most `sample` labelled rows, least by that hash, are used; the other half, whole,
     is for the thresholds, as the model knows the words of those it has seen. A language's threshold
     (null is a language of its own) is the quantile of its trusted documents, times slack; where there are fewer than 1 / (1 - quantile)
-    of them, the largest of that and of all languages' together counts. keep: perplexity up to the threshold; texts without words, null ones too, have
+    of them, the largest of that and of all languages' together counts. The same holds from below for variety(), by the quantile
+    from the other end divided by slack. keep: perplexity up to the threshold and variety from its own; texts without words, null ones too, have
     neither perplexity nor quality and aren't kept; if no document is trusted, all others are kept. Of several labels of
     an id the worst counts; repeated rows are judged each; of the input's columns, those with the added names are replaced.
     """
@@ -194,14 +220,16 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 20_000, order: in
     chosen = halved.where("_fit").select("_id").orderBy(F.xxhash64("_id"), "_id").limit(sample)
     fitted = docs.select(id_column, text).join(F.broadcast(chosen), F.col(id_column) == F.col("_id"), "left_semi")
     model = train(fitted, order, text)
-    scored = perplexities(docs.select(*dict.fromkeys([*columns, id_column, language, text])), model, text)
-    scored = written(scored.select(*dict.fromkeys([*columns, id_column, language]), "perplexity"), "scored")
-    known = scored.select(F.col(id_column).alias("_id"), F.col(language).alias("_language"), "perplexity").join(trusted, "_id", "left_semi").where("perplexity IS NOT NULL")
+    scored = perplexities(docs.select(*dict.fromkeys([*columns, id_column, language, text])), model, text, share="_variety")
+    scored = written(scored.select(*dict.fromkeys([*columns, id_column, language]), "perplexity", "_variety"), "scored")
+    known = scored.select(F.col(id_column).alias("_id"), F.col(language).alias("_language"), "perplexity", "_variety").join(trusted, "_id", "left_semi").where("perplexity IS NOT NULL")
     cut = F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000))
-    by_language = written(known.groupBy("_language").agg((cut * slack).alias("_own"), F.count("*").alias("_n")), "thresholds")
-    overall = F.lit(known.agg(cut * slack).first()[0]).cast("double")
+    low = F.percentile_approx("_variety", F.lit(1 - quantile), F.lit(100_000))
+    by_language = written(known.groupBy("_language").agg((cut * slack).alias("_own"), (low / slack).alias("_least"), F.count("*").alias("_n")), "thresholds")
+    overall, least = (F.lit(x).cast("double") for x in known.agg(cut * slack, low / slack).first())
     enough = F.col("_n") * (1 - quantile) >= 1
     few = F.broadcast(by_language) if by_language.limit(FEW + 1).count() <= FEW else by_language
     judged = scored.join(few, F.col(language).eqNullSafe(F.col("_language")), "left")
     judged = judged.withColumn("threshold", F.when(enough, F.col("_own")).otherwise(F.coalesce(F.greatest("_own", overall), F.lit(math.inf))))
-    return judged.select(*columns, "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("keep"))
+    varied = F.col("_variety") >= F.when(enough, F.col("_least")).otherwise(F.coalesce(F.least("_least", least), F.lit(0.0)))
+    return judged.select(*columns, "perplexity", "threshold", F.coalesce((F.col("perplexity") <= F.col("threshold")) & varied, F.lit(False)).alias("keep"))

@@ -159,6 +159,21 @@ def test_quality(spark):
     assert kneser_ney.classify(docs.limit(0), labels, order=3).count() == 0
 
 
+def test_quality_of_repeats(spark):
+    """Known words over and over, in the whole text or at its end."""
+    rng = random.Random(5)
+    good = [(i, prose(rng, 120), "en") for i in range(80)]
+    word = good[0][1].split()[0]
+    bad = [(100, " ".join([word] * 200), "en"), (101, prose(rng, 100) + f" {word}" * 60, "en"), (102, " ".join(prose(rng, 3).split() * 40), "en")]
+    docs = spark.createDataFrame([*good, *bad], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in kneser_ney.classify(docs, labels, order=4).collect()}
+    assert all(got[i].keep for i in range(80)) and not any(got[i].keep for i in (100, 101, 102))
+    words = [str(rng.randrange(30)) for _ in range(200)]
+    assert kneser_ney.variety(words) == min(len(set(words[i : i + kneser_ney.PASSAGE])) for i in range(181)) / kneser_ney.PASSAGE
+    assert kneser_ney.variety(["a", "b", "a"]) == 2 / 3
+
+
 def brute_contamination(rows, items, window=8):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     shingles = {}
