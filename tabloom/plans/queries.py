@@ -400,7 +400,7 @@ def values_as_text(spark, sf_dir):
 @query("SELECT c_custkey, c_name, c_mktsegment FROM customer ORDER BY c_custkey LIMIT 40")
 def fwf_file_options(spark, sf_dir):
     """A file with a line to skip, comments and blank lines; the first 40 rows."""
-    rows = table(spark, sf_dir, "customer").orderBy("c_custkey").limit(60).select("c_custkey", "c_name", "c_mktsegment").collect()
+    rows = table(spark, sf_dir, "customer").orderBy("c_custkey").select("c_custkey", "c_name", "c_mktsegment").collect()
     text = "title\n# a note\n\n" + "".join(f"{r.c_custkey:<10}{r.c_name:<30}{r.c_mktsegment}\n" + ("# more\n\n" if i % 7 == 0 else "") for i, r in enumerate(rows))
     got = read_fwf_text(spark, text, schema=[I64, STR, STR], col_starts=[0, 10, 40], col_ends=[10, 40, -1], col_names=["c_custkey", "c_name", "c_mktsegment"], skip=1, comment="#", max_rows=40)
     return got.df
@@ -430,3 +430,38 @@ def push_parser(spark, sf_dir):
             out = df if out is None else out.unionByName(df)
     return out
 
+
+
+@query("SELECT (i // 40) AS batch, count(*) AS n, min(c_custkey) AS first, max(c_custkey) AS last FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer) GROUP BY 1")
+def batched_reader_all(spark, sf_dir):
+    """Batches of 40 over a file of all customers."""
+    path = scratch(spark, "batches")
+    one_file(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), path, "c_custkey")
+    got = read_csv(spark, files(spark, path)[0], separator=",", dtype={"c_custkey": "int64"})
+    batches = ((i, b.num_rows, b.column(0)[0].as_py(), b.column(0)[-1].as_py()) for i, b in enumerate(got.batches(40)))
+    return spark.createDataFrame(list(batches), "batch long, n long, first long, last long")
+
+
+@query("SELECT c_custkey, c_name FROM customer")
+def push_parser_all(spark, sf_dir):
+    """All customers' bytes, fed in pieces of 17; batches are written as they come."""
+    path = scratch(spark, "pushed")
+    parser = StreamingParser()
+    parser.set_schema(["c_custkey", "c_name"], [I64, STR])
+
+    def drain() -> None:
+        for batch in parser:
+            if batch.num_rows:
+                parser.to_dataframe(spark, batch).write.mode("append").parquet(path)
+
+    rest = b"c_custkey,c_name\r\n"
+    for r in table(spark, sf_dir, "customer").orderBy("c_custkey").select("c_custkey", "c_name").toLocalIterator():
+        rest += f'{r.c_custkey},"{r.c_name}"\r\n'.encode()
+        while len(rest) >= 17:
+            parser.feed(rest[:17])
+            rest = rest[17:]
+        drain()
+    parser.feed(rest)
+    parser.finish()
+    drain()
+    return spark.read.schema("c_custkey long, c_name string").parquet(path)
