@@ -26,8 +26,8 @@ FIRST, LAST = "\x02", "\x03"
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose scores a task keeps, and text it looks at at once: a word takes ten times its bytes.
 MOST_KEPT, SLICE = 200_000, 2 << 20
-#: Characters of a word that are scored as one; a longer run goes on in pieces of this length.
-LONGEST = 64
+#: Characters of a word that are scored at once; a longer word goes on with the characters before as context.
+STEP = 64
 #: Words of a passage whose different words are counted.
 PASSAGE = 20
 #: Languages whose thresholds are broadcast; with more they are joined by a shuffle.
@@ -38,8 +38,10 @@ def words_of(text: str | None) -> list[str]:
     return text.split() if text else []
 
 
-def pieces_of(word: str) -> list[str]:
-    return [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
+def windows(word: str, order: int) -> list[str]:
+    """The word with its starts and its end, cut so that each character but order - 1 at the front of a window is in one of them."""
+    line = FIRST * (order - 1) + word + LAST
+    return [line[i : i + STEP + order - 1] for i in range(0, len(word) + 1, STEP)]
 
 
 def variety(words: list[str]) -> float:
@@ -70,10 +72,9 @@ def gram_counts(docs: DataFrame, order: int, text: str = "text") -> DataFrame:
             for t in batch.column(0).to_pylist():
                 words.update(words_of(t))
             for word, n in words.items():
-                for piece in pieces_of(word):
-                    line = FIRST * (order - 1) + piece + LAST
-                    for i in range(len(line) - order + 1):
-                        found[line[i : i + order]] += n
+                line = FIRST * (order - 1) + word + LAST
+                for i in range(len(line) - order + 1):
+                    found[line[i : i + order]] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["gram", "c"])
 
     return docs.select(text).mapInArrow(count, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
@@ -89,56 +90,89 @@ def discounts(counts: tuple[int, int, int, int]) -> tuple[float, float, float]:
     return tuple(min(k - 0.05, max(0.05, d)) for k, d in enumerate(raw, 1))
 
 
-class Model:
-    """Log probabilities of n-grams and log weights of contexts, by order, under hashes."""
+class Grams:
+    """Values of n-grams of one length under hashes: log probability (not a number where it is only a context) and log weight as a context."""
+
+    def __init__(self, probable: tuple[list[str], np.ndarray], contexts: tuple[list[str], np.ndarray]):
+        of = {g: (p, 0.0) for g, p in zip(probable[0], probable[1].tolist())}
+        for g, left in zip(contexts[0], contexts[1].tolist()):
+            of[g] = (of[g][0] if g in of else math.nan, left)
+        h = hashes(codes_of(list(of))) if of else np.empty(0, np.uint64)
+        order = np.argsort(h)
+        # the last entry, which find's -1 takes, is that of an n-gram never seen
+        self.keys, self.p, self.left = h[order], *np.vstack((np.array(list(of.values()), float).reshape(-1, 2)[order], (math.nan, 0.0))).T.copy()
+        # where the keys with the same first bits begin
+        self.shift = np.uint64(64 - max(1, len(of)).bit_length())
+        self.begins = np.searchsorted(self.keys >> self.shift, np.arange((1 << 64 - int(self.shift)) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 where there is none."""
+        out = np.full(len(h), -1, np.int32)
+        bucket = (h >> self.shift).astype(np.int64)
+        at, end = self.begins[bucket], self.begins[bucket + 1]
+        rows = np.flatnonzero(at < end)
+        at, end, h = at[rows], end[rows], h[rows]
+        while len(rows):
+            same = self.keys[at] == h
+            out[rows[same]] = at[same]
+            more = ~same & (at + 1 < end)
+            rows, at, end, h = rows[more], at[more] + 1, end[more], h[more]
+        return out
 
-    def __init__(self, order: int, grams: list[tuple[np.ndarray, np.ndarray]], contexts: list[tuple[np.ndarray, np.ndarray]], unknown: float):
-        self.order, self.grams, self.contexts, self.unknown = order, grams, contexts, unknown
 
-    @staticmethod
-    def find(table: tuple[np.ndarray, np.ndarray], h: np.ndarray, missing: np.ndarray | float) -> np.ndarray:
-        keys, values = table
-        if not len(keys):
-            return np.broadcast_to(missing, h.shape).astype(float)
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return np.where(keys[at] == h, values[at], missing)
+class Model:
+    """Grams by length from 1 to the order; unknown: the log probability of a character never seen."""
+
+    def __init__(self, grams: list[Grams], unknown: float):
+        self.order, self.grams, self.unknown = len(grams), grams, unknown
+
+    def windows(self, lines: list[str]) -> np.ndarray:
+        """Natural log of the probability of the characters of each line after its first order - 1; lines are of one length."""
+        codes, total, lefts = codes_of(lines), np.zeros(len(lines)), []
+        for j in range(max(0, self.order - 2), codes.shape[1]):
+            h, now = None, []
+            for k, grams in enumerate(self.grams[: j + 1], 1):
+                h = mixed(h, codes[:, j - k + 1])
+                at = grams.find(h)
+                if j >= self.order - 1:
+                    found = grams.p[at]
+                    p = np.where(np.isnan(found), self.unknown if k == 1 else lefts[k - 2] + p, found)
+                if k < self.order:
+                    now.append(grams.left[at])
+            if j >= self.order - 1:
+                total += p
+            lefts = now
+        return total
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Natural log of the probability of each word and its end."""
         out, of = np.zeros(len(words)), defaultdict(list)
         for k, word in enumerate(words):
-            for piece in pieces_of(word):
-                of[len(piece)].append((k, piece))
-        for length, same in of.items():
+            for line in windows(word, self.order):
+                of[len(line)].append((k, line))
+        for same in of.values():
             for start in range(0, len(same), 20_000):
                 part = same[start : start + 20_000]
-                lines = "".join(FIRST * (self.order - 1) + p + LAST for _, p in part).encode("utf-32-le", "surrogatepass")
-                codes = np.frombuffer(lines, np.uint32).reshape(len(part), -1).astype(np.uint64)
-                total = np.zeros(len(part))
-                for j in range(self.order - 1, codes.shape[1]):
-                    p = self.find(self.grams[0], hashes(codes[:, j : j + 1]), self.unknown)
-                    for k in range(2, self.order + 1):
-                        context = self.find(self.contexts[k - 1], hashes(codes[:, j - k + 1 : j]), 0.0)
-                        p = self.find(self.grams[k - 1], hashes(codes[:, j - k + 1 : j + 1]), context + p)
-                    total += p
-                np.add.at(out, [k for k, _ in part], total)
+                np.add.at(out, [k for k, _ in part], self.windows([line for _, line in part]))
         return out
 
 
-def hashes(codes: np.ndarray) -> np.ndarray:
-    h = np.full(len(codes), codes.shape[1], np.uint64)
-    for k in range(codes.shape[1]):
-        h = (h ^ codes[:, k]) * PRIME
-        h ^= h >> np.uint64(29)
-    return h
+def codes_of(lines: list[str]) -> np.ndarray:
+    """Characters of lines of one length, a row a line."""
+    return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(lines), -1).astype(np.uint64)
 
 
-def hashed(grams: list[str], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not grams:
-        return np.empty(0, np.uint64), np.empty(0)
-    h = hashes(np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(grams), -1).astype(np.uint64))
-    order = np.argsort(h)
-    return h[order], values[order]
+def mixed(h: np.ndarray | None, codes: np.ndarray) -> np.ndarray:
+    """The hash of an n-gram one character longer at its front."""
+    h = ((np.uint64(1) if h is None else h * PRIME) ^ codes) * PRIME
+    return h ^ h >> np.uint64(29)
+
+
+def hashes(codes: np.ndarray) -> np.ndarray:
+    h = None
+    for k in reversed(range(codes.shape[1])):
+        h = mixed(h, codes[:, k])
+    return h
 
 
 def train(docs: DataFrame, order: int = 5, text: str = "text") -> Model:
@@ -148,7 +182,7 @@ def train(docs: DataFrame, order: int = 5, text: str = "text") -> Model:
         # lower orders count how many different characters an n-gram follows
         tables.append(written(tables[-1].groupBy(F.expr(f"substring(gram, 2, {k})").alias("gram")).agg(F.count("*").alias("c")), "grams"))
     tables.reverse()
-    lower, grams, contexts, unknown = None, [], [], math.log(1e-6)
+    lower, probable_of, contexts, unknown = None, [], [], math.log(1e-6)
     for k, counts in enumerate(tables, 1):
         seen = counts.agg(*(F.count(F.when(F.col("c") == i, 1)) for i in range(1, 5)), F.count("*")).first()
         d1, d2, d3 = discounts(seen[:4])
@@ -166,13 +200,11 @@ def train(docs: DataFrame, order: int = 5, text: str = "text") -> Model:
             probable = probable.withColumn("suffix", F.expr(f"substring(gram, 2, {k - 1})")).join(below, "suffix").withColumn("p", F.col("p") + F.col("left") * F.col("below"))
         lower = written(probable.select("gram", "context", "p", "left"), "probable")
         got = lower.select("gram", "p").toArrow()
-        grams.append(hashed(got.column("gram").to_pylist(), np.log(got.column("p").to_numpy())))
-        if k > 1:
-            got = lower.groupBy("context").agg(F.first("left").alias("left")).toArrow()
-            contexts.append(hashed(got.column("context").to_pylist(), np.log(got.column("left").to_numpy())))
-        else:
-            contexts.append((np.empty(0, np.uint64), np.empty(0)))
-    return Model(order, grams, contexts, unknown)
+        probable_of.append((got.column("gram").to_pylist(), np.log(got.column("p").to_numpy())))
+        got = lower.groupBy("context").agg(F.first("left").alias("left")).toArrow()
+        contexts.append((got.column("context").to_pylist(), np.log(got.column("left").to_numpy())))
+    contexts.append(([], np.empty(0)))
+    return Model([Grams(p, c) for p, c in zip(probable_of, contexts[1:])], unknown)
 
 
 def perplexities(docs: DataFrame, model: Model, text: str = "text", name: str = "perplexity", share: str | None = None) -> DataFrame:
@@ -204,13 +236,13 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 20_000, order: in
     """docs (or its `columns`) with perplexity, threshold and keep.
 
     labels: (id, quality, toxic); documents of quality 1 that aren't toxic are trusted. One half of them by a hash of
-    the id is for the model, of which at most `sample` labelled rows, least by that hash, are used; the other half, whole,
+    the id is for the model, of which at most `sample` labelled rows, least by that hash, are used, whole, their words of any length; the other half
     is for the thresholds, as the model knows the words of those it has seen. A language's threshold
     (null is a language of its own) is the quantile of its trusted documents, times slack; where there are fewer than 1 / (1 - quantile)
     of them, the largest of that and of all languages' together counts. The same holds from below for variety(), by the quantile
     from the other end divided by slack. keep: perplexity up to the threshold and variety from its own; texts without words, null ones too, have
     neither perplexity nor quality and aren't kept; if no document is trusted, all others are kept. Of several labels of
-    an id the worst counts; repeated rows are judged each; of the input's columns, those with the added names are replaced.
+    an id the worst counts; repeated rows are judged each; an empty table gives no rows; of the input's columns, those with the added names are replaced.
     """
     docs = docs.drop("perplexity", "threshold", "keep")
     columns = columns or docs.columns
