@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -177,37 +178,44 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_column:
     return prints.join(of, "fingerprint").select(id_column, digits.alias("fingerprint"), "component_id")
 
 
-def _shingle_set(text: bytes | None, words: int) -> frozenset[int]:
-    return frozenset(shingle_hashes(text, words).tolist())
-
-
-class Firsts:
-    """Of texts given one after another, which are the first of their kind: similar to none kept before."""
+class Group:
+    """Documents one after another, and which of them are tied by a chain of links: sets of runs of words that are similar."""
 
     def __init__(self, words: int, similarity: float):
         self.words, self.similarity = words, similarity
-        self.sizes: list[int] = []
-        self.by_shingle: dict[int, list[int]] = {}
-        self.seen: set[bytes] = set()
-
-    def first(self, text: bytes | None) -> bool:
-        digest = xxhash.xxh128_digest(text or b"")
-        if digest in self.seen:
-            return False
-        self.seen.add(digest)
-        found = _shingle_set(text, self.words)
-        shared: dict[int, int] = {}
-        for s in found:
-            for k in self.by_shingle.get(s, ()):
-                shared[k] = shared.get(k, 0) + 1
-        if not found and 0 in self.sizes:
-            return False
-        if any(n >= self.similarity * (len(found) + self.sizes[k] - n) for k, n in shared.items()):
-            return False
-        for s in found:
-            self.by_shingle.setdefault(s, []).append(len(self.sizes))
-        self.sizes.append(len(found))
-        return True
+        self.sets: list[np.ndarray] = []
+        self.root: list[int] = []
+        self.by_prefix: dict[int, list[int]] = {}
+        self.seen: dict[bytes, int] = {}
+
+    def find(self, k: int) -> int:
+        while self.root[k] != k:
+            self.root[k] = self.root[self.root[k]]
+            k = self.root[k]
+        return k
+
+    def add(self, text: bytes | None) -> None:
+        found = np.unique(shingle_hashes(text, self.words))
+        at, n = len(self.sets), len(found)
+        same = self.seen.setdefault(xxhash.xxh128_digest(found.tobytes()), at)
+        self.root.append(same)
+        self.sets.append(found if same == at else found[:0])
+        if same != at:
+            return
+        # similar sets share one of their first shingles in any order common to all, here that of the hashes
+        first = found[: n - math.ceil(self.similarity * n - 1e-9) + 1].tolist()
+        for k in dict.fromkeys(k for h in first for k in self.by_prefix.get(h, ())):
+            a, b, m = self.find(k), self.find(at), len(self.sets[k])
+            if a != b and min(n, m) >= self.similarity * max(n, m) - 1e-9:
+                shared = len(np.intersect1d(found, self.sets[k], assume_unique=True))
+                if shared >= self.similarity * (n + m - shared) - 1e-9:
+                    self.root[max(a, b)] = min(a, b)
+        for h in first:
+            self.by_prefix.setdefault(h, []).append(at)
+
+    def firsts(self) -> list[int]:
+        """The first document of each group."""
+        return [k for k, r in enumerate(self.root) if k == r]
 
 
 #: Share of the documents in which common shingles are counted, and how many of them are broadcast. Both bear on the order of shingles alone.
@@ -260,15 +268,15 @@ def prefix(found: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity:
 
 
 def signatures(docs: DataFrame, feature_words: int, words: int, similarity: float, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, fingerprint, digest and size of the shingle set, prefix) of each row."""
+    """(id, hash of the text, fingerprint, digest and size of the shingle set, prefix) of each row."""
     held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words, id_column, text))
-    docs = docs.select(id_column, text)
-    schema = with_fields(docs.select(id_column), {"fingerprint": "long", "digest": "long", "size": "int", "prefix": "array<long>"})
+    docs = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    schema = with_fields(docs.select("id", "h"), {"fingerprint": "long", "digest": "long", "size": "int", "prefix": "array<long>"})
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, "text"):
             prints, digests, sizes, prefixes = [], [], [], [np.empty(0, np.uint64)]
-            for t in bytes_of(batch, text):
+            for t in bytes_of(batch, "text"):
                 found = np.unique(shingle_hashes(t, words))
                 prints.append(fingerprint(shingle_hashes(t, feature_words)))
                 digests.append(xxhash.xxh3_64_intdigest(found.tobytes()))
@@ -277,21 +285,21 @@ def signatures(docs: DataFrame, feature_words: int, words: int, similarity: floa
             ends = np.cumsum([len(p) for p in prefixes])
             arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes).view(np.int64)))
             digest = pa.array(np.array(digests, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), digest, pa.array(sizes, pa.int32()), arrays], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.int64()), digest, pa.array(sizes, pa.int32()), arrays], schema.names)
 
     return docs.mapInArrow(sign, schema)
 
 
-def similar_links(signed: DataFrame, of: DataFrame, similarity: float, id_column: str = "doc_id") -> DataFrame:
+def similar_links(signed: DataFrame, of: DataFrame, similarity: float) -> DataFrame:
     """(a, b): links among the components `of` fingerprints, so that all sets of that similarity are linked.
 
     Sets that share enough prefix shingles are linked without a look at the rest of them: links make candidates.
     """
-    light = signed.where(F.col(id_column).isNotNull() & (F.col("size") > 0)).select(id_column, "fingerprint", "digest").join(of, "fingerprint")
-    light = written(light.select(F.col(id_column).alias("id"), "digest", F.col("component_id").alias("component")), "light")
+    light = signed.where("id IS NOT NULL").select("id", "fingerprint", "digest").join(of, "fingerprint")
+    light = written(light.select("id", "digest", F.col("component_id").alias("component")), "light")
     first = light.groupBy("digest").agg(F.min("id").alias("id"), F.min("component").alias("component"))
     same = light.join(first.select("digest", F.col("component").alias("b")), "digest").where("component <> b").select(F.col("component").alias("a"), "b")
-    sets = signed.select(F.col(id_column).alias("id"), "digest", "size", "prefix").join(first.hint("merge"), ["id", "digest"])
+    sets = signed.where("size > 0").select("id", "digest", "size", "prefix").join(first.hint("merge"), ["id", "digest"])
     keyed = sets.select(F.explode("prefix").alias("key"), F.col("component").alias("c"), "id", "size")
     sort = keyed.repartition("key").sortWithinPartitions("key", "size")
 
@@ -327,38 +335,62 @@ def similar_links(signed: DataFrame, of: DataFrame, similarity: float, id_column
     return same.unionByName(near).distinct()
 
 
-def first_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, feature_words: int = 2, radius: int = 7, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the documents that are similar to one that stays.
+#: Shingles of a component's documents that meet in one place; a larger component meets in several first.
+MEETING = 1 << 20
+
+
+def first_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, feature_words: int = 2, radius: int = 7, id_column: str = "doc_id", text: str = "text", meeting: int = MEETING) -> DataFrame:
+    """docs with one document of each group of near copies.
 
-    Candidates are the components of SimHash links (fingerprints over runs of feature_words words,
-    up to `radius` differing bits) and of links among documents that share their rarest shingles, which all
-    similar ones do whatever their fingerprints. In each, documents come by id; one whose set of runs of `words` words has a
-    Jaccard similarity of at least `similarity` with that of one kept before goes. Equal texts are similar, texts
-    without words too; of repeated rows one stays; rows with a null id all stay.
+    Linked are documents whose sets of runs of `words` words have a Jaccard similarity of at least `similarity`; a group is
+    what links connect, and its least id stays. Candidates are the components of SimHash links (fingerprints over
+    runs of feature_words words, up to `radius` differing bits) and of links among documents that share their
+    rarest shingles, which all similar ones do whatever their fingerprints. Equal sets are one document. A
+    component of more than `meeting` shingles meets in parts first, of which each group's least id goes on, and then as one.
+    Equal texts are similar, texts without words (null, empty) too; of repeated rows one stays, and of rows with one id but
+    different texts each is judged; rows with a null id all stay. Texts are compared whole; an empty
+    table gives no rows; further columns stay as they are, whatever their names.
     """
     signed = written(signatures(docs, feature_words, words, similarity, id_column, text), "signatures")
-    prints = signed.select(id_column, "fingerprint")
-    near = written(groups(prints, radius, id_column), "groups")
-    further = components(similar_links(signed, near, similarity, id_column)).select(F.col("node").alias("component_id"), "root")
-    near = near.join(further, "component_id", "left").select("fingerprint", F.coalesce("root", "component_id").alias("component_id"))
-    of = written(prints.join(near, "fingerprint"), "components")
-    many = of.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
-    members = of.join(many, "component_id", "left_semi").where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("__id"), F.col("component_id").alias("__component")).distinct()
-    # by a merge at every size: what is shuffled then grows with the input, and the members' size needn't be known
-    members = written(members, "members").hint("merge")
-    alone = docs.join(members, F.col(id_column) == F.col("__id"), "left_anti")
-    met = docs.join(members, F.col(id_column) == F.col("__id")).drop("__id")
-    columns, schema = docs.columns, docs.schema
+    near = written(groups(signed, radius, "id"), "groups")
+    further = components(similar_links(signed, near, similarity)).select(F.col("node").alias("component_id"), "root")
+    near = near.join(further, "component_id", "left").select("fingerprint", F.coalesce("root", "component_id").alias("component"))
+    of = written(signed.where("id IS NOT NULL").select("id", "h", "digest", "size", "fingerprint").join(near, "fingerprint").drop("fingerprint"), "components")
+    first = of.groupBy("digest").agg(F.min(F.struct("id", "h")).alias("first"))
+    rows = of.join(first.hint("merge"), "digest").select("id", "h", "size", "component", (F.struct("id", "h") == F.col("first")).alias("stays"))
+    total = rows.where("stays").groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    rows = rows.distinct().join(total.hint("merge"), "component").where("NOT stays OR n > 1")
+    parts = (F.floor(F.col("total") / meeting) + 1).cast("int")
+    roles = written(rows.select(F.col("id").alias("__id"), F.col("h").alias("__h"), "stays", F.col("component").alias("__component"), parts.alias("__parts")).withColumnsRenamed({"stays": "__stays"}), "roles")
+    # by a merge at every size: what is shuffled then grows with the input, and the size of roles needn't be known
+    on = (F.col(id_column) == F.col("__id")) & (F.xxhash64(text) == F.col("__h"))
+    dealt = written(docs.join(roles.hint("merge"), on, "left").where("coalesce(__stays, true)").drop("__id", "__stays"), "dealt")
+    schema = with_fields(dealt, {"__part": "int"})
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, firsts = None, Firsts(words, similarity)
+        now, group, held = None, Group(words, similarity), []
         for batch in batches:
-            of, mask = batch.column(batch.schema.get_field_index("__component")).to_pylist(), []
-            for component, t in zip(of, bytes_of(batch, text)):
-                if component != now:
-                    now, firsts = component, Firsts(words, similarity)
-                mask.append(firsts.first(t))
-            yield batch.select(columns).filter(pa.array(mask, pa.bool_()))
-
-    kept = met.repartition("__component").sortWithinPartitions("__component", id_column).mapInArrow(keep, schema)
-    return alone.select(*columns).unionByName(kept)
+            component, part = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("__component", "__part"))
+            for i, (key, t) in enumerate(zip(zip(component, part), bytes_of(batch, text))):
+                if key != now:
+                    yield from chosen(held, group.firsts())
+                    now, group, held = key, Group(words, similarity), []
+                group.add(t)
+                held.append((batch, i))
+        yield from chosen(held, group.firsts())
+
+    def chosen(held: list[tuple[pa.RecordBatch, int]], firsts: list[int]) -> Iterator[pa.RecordBatch]:
+        for _, run in groupby((held[k] for k in firsts), lambda x: id(x[0])):
+            run = list(run)
+            yield run[0][0].take(pa.array([i for _, i in run], pa.int64()))
+
+    def met(rows: DataFrame, part: Column) -> DataFrame:
+        dealt_out = rows.withColumn("__part", part.cast("int")).repartition("__component", "__part")
+        return dealt_out.sortWithinPartitions("__component", "__part", id_column, "__h").mapInArrow(keep, schema)
+
+    alone = dealt.where("__component IS NULL")
+    small = met(dealt.where("__parts = 1"), F.lit(0))
+    large = met(dealt.where("__parts > 1"), F.pmod(F.xxhash64("__h", id_column), F.col("__parts")))
+    large = met(large.drop("__part"), F.lit(0))
+    kept = alone.unionByName(small.drop("__part")).unionByName(large.drop("__part"))
+    return kept.select(*docs.columns)
