@@ -55,6 +55,6 @@ def detect_dialect(path: str, spark: SparkSession | None = None):
     from .sources.encoding import decode, detect_encoding
     from .sources.records import read_head
 
-    head, _, _ = read_head(spark or session(), path)
+    head, *_ = read_head(spark or session(), path)
     encoding = detect_encoding(head)
     return detect(decode(head[: len(head) - len(head) % encoding.wide], encoding))

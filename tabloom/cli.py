@@ -5,6 +5,10 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import threading
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -16,6 +20,8 @@ from .operators.table import Table
 from .options import CsvOptions, ParquetOptions
 from .sources.csv import read_csv, read_csv_text
 
+#: Confidence up to which a detected dialect is a guess.
+LEAST_SURE = 0.5
 SEPARATORS = {"auto": "", "comma": ",", "tab": "\t", "semicolon": ";", "pipe": "|", "colon": ":"}
 
 
@@ -58,10 +64,41 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("-r", "--row-group-size", type=int, default=1_000_000)
         if name in ("schema", "stats"):
             p.add_argument("-m", "--sample-size", type=int, default=1000)
+        if name == "dialect":
+            p.add_argument("-f", "--force", action="store_true", help="show the best guess where none is convincing")
     commands.add_parser("version")
+    commands.add_parser("help")
     return top
 
 
+@contextmanager
+def watched(spark: SparkSession, a: argparse.Namespace) -> Iterator[None]:
+    """-p: how many tasks are done, while it runs; -v: how long it took."""
+    done, began = threading.Event(), time.monotonic()
+
+    def tell() -> None:
+        tracker, shown = spark.sparkContext.statusTracker(), ""
+        while not done.wait(0.2):
+            stages = [s for i in tracker.getActiveStageIds() if (s := tracker.getStageInfo(i))]
+            line = f"{sum(s.numCompletedTasks for s in stages)} of {sum(s.numTasks for s in stages)} tasks"
+            if stages and line != shown:
+                print(f"\r{line}", end="", file=sys.stderr, flush=True)
+                shown = line
+        print(f"\r{100}%" + " " * len(shown), file=sys.stderr)
+
+    teller = threading.Thread(target=tell, daemon=True) if a.progress else None
+    if teller:
+        teller.start()
+    try:
+        yield
+    finally:
+        done.set()
+        if teller:
+            teller.join()
+        if a.verbose:
+            print(f"{a.command}: {time.monotonic() - began:.3f} s", file=sys.stderr)
+
+
 def options(a: argparse.Namespace) -> CsvOptions:
     mode = "fail_fast" if a.strict else "permissive" if a.permissive or a.max_errors is not None else "disabled"
     return CsvOptions(
@@ -87,13 +124,20 @@ def main(argv: list[str] | None = None) -> int:
     argv = list(sys.argv[1:] if argv is None else argv)
     if argv and argv[0] not in ("-h", "--help") and not argv[0].startswith("-") and "." in argv[0]:
         argv.insert(0, "convert")
-    a = parser().parse_args(argv)
+    top = parser()
+    a = top.parse_args(argv)
     if a.command == "version":
         print(f"tabloom {__version__}")
         return 0
-    spark = SparkSession.getActiveSession() or SparkSession.builder.appName("tabloom").config("spark.ui.enabled", "false").getOrCreate()
+    if a.command == "help":
+        top.print_help()
+        return 0
+    made = SparkSession.builder.appName("tabloom").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    # -t: cores, where there is no session yet and no cluster is named
+    spark = SparkSession.getActiveSession() or (made.master(f"local[{a.threads}]") if a.threads else made).getOrCreate()
     try:
-        return run(spark, a)
+        with watched(spark, a):
+            return run(spark, a)
     except (CsvError, ValueError, FileNotFoundError) as e:
         if a.command in ("count", "info", "head") and str(e) == "Empty file":
             print(0 if a.command == "count" else "Rows: 0" if a.command == "info" else "")
@@ -104,6 +148,8 @@ def main(argv: list[str] | None = None) -> int:
 
 def run(spark: SparkSession, a: argparse.Namespace) -> int:
     table = opened(spark, a)
+    if a.verbose:
+        print(f"{table.source}: {table.size} bytes, {table.dialect}, {table.encoding.name}" + (f", {table.warning}" if table.warning else ""), file=sys.stderr)
     if a.command == "count":
         print(table.num_rows)
     elif a.command in ("head", "tail"):
@@ -128,11 +174,31 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
         rows = [r.asDict(True) for r in profile.statistics(table.df).orderBy("place").collect()]
         print(json.dumps(rows, default=str) if a.json else "\n".join(f"{r['column']}: " + ", ".join(f"{k}={v}" for k, v in r.items() if k not in ("column", "place", "hist") and v is not None) for r in rows))
     elif a.command == "dialect":
-        d = table.dialect
-        print(json.dumps({"delimiter": d.separator, "quote": d.quote, "escape": d.escape, "header": table.names, "encoding": table.encoding.name, "warning": table.warning}))
+        return tell_dialect(table, a)
     elif a.command == "convert":
         made = convert(table, a.output, ParquetOptions(compression=a.compression, row_group_size=a.row_group_size), a.strict)
         print(f"{made.rows} rows, {made.columns} columns, {made.errors} errors", file=sys.stderr)
-    if table.errors is not None and a.command in ("count", "convert", "info") and table.errors.limit(1).count():
+    if options(a).error_mode != "disabled" and a.command in ("count", "convert", "info") and table.error_count:
         print(summary(table.errors), file=sys.stderr)
+        if table.suppressed_count:
+            print(f"  suppressed: {table.suppressed_count}", file=sys.stderr)
+    return 0
+
+
+def tell_dialect(table: Table, a: argparse.Namespace) -> int:
+    d, sure = table.dialect, 1.0 if table.confidence is None else table.confidence
+    low = sure <= LEAST_SURE
+    if low and not a.force:
+        print(f"Error: no convincing dialect (confidence {sure:.2f})\nHint: --force shows the best guess", file=sys.stderr)
+        return 1
+    if low:
+        print(f"Warning: Low confidence ({sure:.2f})", file=sys.stderr)
+    if table.ambiguous:
+        print(f"Warning: {table.warning}", file=sys.stderr)
+    if a.json:
+        print(json.dumps({"delimiter": d.separator, "quote": d.quote, "escape": d.escape, "comment": d.comment, "line_ending": d.line_ending, "header": table.names, "encoding": table.encoding.name, "confidence": round(sure, 4), "low_confidence": low, "ambiguity": table.warning if table.ambiguous else "", "warning": table.warning}))
+        return 0
+    name = next((n for n, x in SEPARATORS.items() if x == d.separator), d.separator)
+    flags = f"-d {name}" + (f" -q '{d.quote}'" if d.quote != '"' else "") + (" --escape-backslash" if d.escape == "\\" else "") + (f" --comment '{d.comment}'" if d.comment else "")
+    print(f"Delimiter: {name}\nQuote: {d.quote or 'none'}\nEncoding: {table.encoding.name}\nLine ends: {d.line_ending}\nConfidence: {sure:.2f}" + (" (LOW CONFIDENCE)" if low else "") + f"\nCLI flags: {flags}")
     return 0

@@ -13,23 +13,30 @@ def literal(text: str) -> str:
     return re.sub(r"([^\w\s]|_)", r"\\\1", text)
 
 
-def field_pattern(sep: str, quote: str, backslash: bool = False) -> str:
+def field_pattern(sep: str, quote: str, backslash: bool = False, stop: str = "") -> str:
     """A pattern for one field.
 
     A field that begins with a quote goes on while the number of quotes is odd, to the end of the
     record if need be; in another one quotes stand for themselves. With separators of several
     characters, quotes count anywhere in a field. With backslash, a character after one is data.
+    stop: a character that ends the field as well, outside of quotes.
     """
     s = literal(sep)
     if not quote:
-        return rf"(?:(?!{s})[\s\S])*+" if len(sep) > 1 else rf"[^{s}]*+"
+        return rf"(?:(?!{s})[^{stop}])*+" if len(sep) > 1 and stop else rf"(?:(?!{s})[\s\S])*+" if len(sep) > 1 else rf"[^{s}{stop}]*+"
     q = literal(quote)
     if len(sep) > 1:
-        return rf"(?:(?:(?!{s})[^{q}])++|{q}[^{q}]*+(?:{q}|\z))*+"
+        return rf"(?:(?:(?!{s})[^{q}{stop}])++|{q}[^{q}]*+(?:{q}|\z))*+"
     if backslash:
         quoted = rf"{q}[^{q}\\]*+(?:\\(?:[\s\S]|\z)[^{q}\\]*+)*+(?:{q}|\z)"
-        return rf"(?:{quoted}(?:[^{q}{s}\\]++|\\(?:[\s\S]|\z)|{quoted})*+|(?!{q})[^{s}\\]*+(?:\\(?:[\s\S]|\z)[^{s}\\]*+)*+)"
-    return rf"(?:{q}[^{q}]*+(?:{q}|\z)(?:[^{q}{s}]++|{q}[^{q}]*+(?:{q}|\z))*+|(?!{q})[^{s}]*+)"
+        return rf"(?:{quoted}(?:[^{q}{s}{stop}\\]++|\\(?:[\s\S]|\z)|{quoted})*+|(?!{q})[^{s}{stop}\\]*+(?:\\(?:[\s\S]|\z)[^{s}{stop}\\]*+)*+)"
+    return rf"(?:{q}[^{q}]*+(?:{q}|\z)(?:[^{q}{s}{stop}]++|{q}[^{q}]*+(?:{q}|\z))*+|(?!{q})[^{s}{stop}]*+)"
+
+
+def record_pattern(sep: str, quote: str, backslash: bool, stop: str) -> str:
+    """A pattern for one record, which ends at `stop` outside of quotes."""
+    field = field_pattern(sep, quote, backslash, stop)
+    return rf"{field}(?:{literal(sep)}{field})*+"
 
 
 def split_fields(record: Column, sep: str, quote: str = '"', backslash: bool = False) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,26 +29,25 @@ def statistics(df: DataFrame, bins: int = 10) -> DataFrame:
 
     Quantiles are interpolated. n_unique is exact. Columns come in the table's order.
     """
-    numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    is_number = {f.name: f.name in numeric for f in df.schema.fields}
-    is_text = {f.name: isinstance(f.dataType, T.StringType) for f in df.schema.fields}
-
-    def of(name: str) -> list[Column]:
-        c = F.col(f"`{name}`")
-        n = c.cast("double") if is_number[name] else F.lit(None).cast("double")
-        length = F.length(c) if is_text[name] else F.lit(None).cast("int")
-        p = F.percentile(n, F.array(*map(F.lit, QUANTILES)))
-        return [
-            F.count("*").alias("count"), F.count(F.when(c.isNull(), 1)).alias("nulls"), (F.count(c) / F.count("*")).alias("complete_rate"), F.count_distinct(c).alias("n_unique"),
-            F.avg(n).alias("mean"), F.stddev_samp(n).alias("sd"), *(p[i].alias(f"p{int(100 * q)}") for i, q in enumerate(QUANTILES)),
-            F.min(length).alias("min_length"), F.max(length).alias("max_length"), F.histogram_numeric(n, F.lit(bins)).alias("hist"),
-        ]
+    kinds = {f.name: f.dataType for f in df.schema.fields}
 
-    out = None
-    for i, name in enumerate(df.columns):
-        row = df.select(f"`{name}`").agg(*of(name)).select(F.lit(name).alias("column"), F.lit(i).alias("place"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    def of(i: int, name: str) -> list[Column]:
+        c, kind = F.col(f"`{name}`"), kinds[name]
+        n = c.cast("double") if isinstance(kind, T.NumericType) else F.lit(None).cast("double")
+        length = F.length(c) if isinstance(kind, T.StringType) else F.lit(None).cast("int")
+        p = F.percentile(n, F.array(*map(F.lit, QUANTILES)))
+        made = {
+            "count": F.count("*"), "nulls": F.count(F.when(c.isNull(), 1)), "complete_rate": F.count(c) / F.count("*"), "n_unique": F.count_distinct(c),
+            "mean": F.avg(n), "sd": F.stddev_samp(n), **{f"p{int(100 * q)}": p[k] for k, q in enumerate(QUANTILES)},
+            "min_length": F.min(length), "max_length": F.max(length), "hist": F.histogram_numeric(n, F.lit(bins)),
+        }
+        return [x.alias(f"{i}_{k}") for k, x in made.items()]
+
+    # one aggregate over one scan, then a row for each column
+    row = df.agg(*(x for i, name in enumerate(df.columns) for x in of(i, name)))
+    names = [c.split("_", 1)[1] for c in row.columns if c.startswith("0_")]
+    parts = F.array(*(F.struct(F.lit(c).alias("column"), F.lit(i).alias("place"), *(F.col(f"`{i}_{k}`").alias(k) for k in names)) for i, c in enumerate(df.columns)))
+    return row.select(F.explode(parts).alias("s")).select("s.*")
 
 
 def dictionary_analysis(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
@@ -66,13 +65,17 @@ def dictionary_analysis(df: DataFrame, columns: list[str] | None = None, exact:
 
 
 def dictionary(df: DataFrame, column: str, order: str) -> DataFrame:
-    """(value, index) of a column's distinct values, numbered as first seen by `order`."""
-    from pyspark.sql import Window
-
+    """(value, index) of a column's distinct values, numbered as first seen by `order`. A dictionary is small: it is numbered in one task."""
     first = df.where(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").alias("value")).agg(F.min(order).alias("_first"))
     return first.select("value", (F.row_number().over(Window.orderBy("_first")) - 1).alias("index"))
 
 
+def dictionary_indexes(df: DataFrame, column: str, order: str) -> DataFrame:
+    """df with `index`: each value's place in dictionary(), -1 for null."""
+    entries = dictionary(df, column, order).withColumnRenamed("value", "_value")
+    return df.join(entries, F.col(f"`{column}`") == F.col("_value"), "left").withColumn("index", F.coalesce("index", F.lit(-1))).drop("_value")
+
+
 def schema_rows(table) -> DataFrame:
     """(index, name, type, nullable) of a table."""
     rows = [(s["index"], s["name"], s["type"], s["nullable"]) for s in table.schema()]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,34 +31,77 @@ def write_parquet(df: DataFrame, path: str, options: ParquetOptions | None = Non
 
 def convert(table: Table, path: str, options: ParquetOptions | None = None, fail_fast: bool = False) -> Conversion:
     """table as Parquet; with fail_fast, any error refuses it."""
-    found = table.errors.count() if table.errors is not None else 0
+    found = table.error_count
     if fail_fast and found:
         raise CsvError(f"{found} errors", table.errors.collect())
-    write_parquet(table.df, path, options)
-    rows = table.df.sparkSession.read.parquet(path).count()
-    return Conversion(rows, table.num_columns, found, path)
-
-
-def double_text(x: Column, digits: int = 6) -> Column:
-    """A number with so many significant digits, trailing zeros off, an exponent where it is under -4 or over the digits."""
-    exact = F.format_string(f"%.{digits - 1}e", x)
-    power = F.substring_index(exact, "e", -1)
-    mantissa = F.regexp_replace(F.substring_index(exact, "e", 1), r"\.?0+$", "")
-    plain = F.regexp_replace(exact.try_cast("decimal(24,12)").cast("string"), r"\.?0+$", "")
-    out = F.when(power.try_cast("int").between(-4, digits - 1), plain).otherwise(F.concat(mantissa, F.lit("e"), power))
-    return F.when(F.isnan(x), "nan").when(x == 0, "0").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(out)
+    seen = Observation()
+    write_parquet(table.df.observe(seen, F.count(F.lit(1)).alias("rows")), path, options)
+    return Conversion(seen.get["rows"], table.num_columns, found, path)
+
+
+#: Powers of ten from 10**LOW on. Up to 10**22 they are exact.
+LOW, POWERS = -17, [float(f"1e{k}") for k in range(-17, 24)]
+
+
+def with_double_texts(df: DataFrame, names: list[str], digits: int = 6) -> DataFrame:
+    """df with a column of texts beside each of these double columns, under its name and "_text".
+
+    Six significant digits, trailing zeros off, an exponent where it is under -4 or over the digits; rounded by the
+    number's exact value, half to even. Steps are projections of their own, so that each is worked out once.
+    """
+
+    def power(k: Column) -> Column:
+        return F.element_at(F.array(*map(F.lit, POWERS)), k - LOW + 1)
+
+    def step(of) -> None:
+        nonlocal df
+        df = df.select("*", *(c.alias(f"{n}_{k}") for n in names for k, c in of(lambda k, n=n: F.col(f"`{n}`" if k is None else f"`{n}_{k}`"))))
+
+    # where all powers that are used are exact; the few other numbers are left to the formatter
+    step(lambda c: [("usual", F.coalesce(F.abs(c(None)).between(1e-16, 1e20), F.lit(False)))])
+    step(lambda c: [("a", F.when(c("usual"), F.abs(c(None))).otherwise(1.0))])
+    step(lambda c: [("e0", F.floor(F.log10(c("a"))).cast("int"))])
+    step(lambda c: [("e", c("e0") + F.when(c("a") >= power(c("e0") + 1), 1).when(c("a") < power(c("e0")), -1).otherwise(0))])
+    step(lambda c: [("up", c("e") < digits), ("d", power(F.abs(digits - 1 - c("e"))))])
+    step(lambda c: [("m", F.when(c("up"), c("a") * c("d")).otherwise(c("a") / c("d")))])
+    # what rounding took from the product: halves of the factors' bits multiply without loss
+    step(lambda c: [("f", F.when(c("up"), c("a")).otherwise(c("m")))])
+    step(lambda c: [("p", c("f") * c("d")), ("t", c("f") * 134217729.0), ("u", c("d") * 134217729.0)])
+    step(lambda c: [("fh", c("t") - (c("t") - c("f"))), ("dh", c("u") - (c("u") - c("d"))), ("whole", F.floor(c("m")))])
+    step(lambda c: [("fl", c("f") - c("fh")), ("dl", c("d") - c("dh")), ("rest", c("m") - c("whole"))])
+    step(lambda c: [("err", ((c("fh") * c("dh") - c("p")) + c("fh") * c("dl") + c("fl") * c("dh")) + c("fl") * c("dl"))])
+    step(lambda c: [("off", F.when(c("up"), c("err")).otherwise((c("a") - c("p")) - c("err")))])
+    step(lambda c: [("k", c("whole") + F.when(c("rest") > 0.5, 1).when(c("rest") < 0.5, 0).when(c("off") > 0, 1).when(c("off") < 0, 0).otherwise(c("whole") % 2))])
+    step(lambda c: [("x", c("e") + F.when(c("k") == 10**digits, 1).otherwise(0)), ("s", F.when(c("k") == 10**digits, F.lit("1" + "0" * (digits - 1))).otherwise(c("k").cast("string")))])
+
+    def text(c) -> Column:
+        x, s, v = c("x"), c("s"), c(None)
+        trim = lambda t: F.rtrim(t, F.lit("0"))
+        dotted = lambda lead, rest: F.when(rest != "", F.concat(lead, F.lit("."), rest)).otherwise(lead)
+        above = dotted(F.substring(s, F.lit(1), x + 1), trim(F.substring(s, x + 2, F.lit(digits))))
+        below = F.concat(F.lit("0."), F.repeat(F.lit("0"), -x - 1), trim(s))
+        sign = F.when(x < 0, "-").otherwise("+")
+        raised = F.concat(dotted(F.substring(s, 1, 1), trim(F.substring(s, 2, digits))), F.lit("e"), sign, F.lpad(F.abs(x).cast("string"), 2, "0"))
+        usual = F.concat(F.when(v < 0, "-").otherwise(""), F.when(x.between(0, digits - 1), above).when(x.between(-4, -1), below).otherwise(raised))
+        formatted = F.format_string(f"%.{digits - 1}e", v)
+        other = F.concat(F.regexp_replace(F.substring_index(formatted, "e", 1), r"\.?0+$", ""), F.lit("e"), F.substring_index(formatted, "e", -1))
+        return F.when(c("usual"), usual).when(F.isnan(v), "nan").when(v == 0, "0").when(v == float("inf"), "inf").when(v == float("-inf"), "-inf").when(v.isNotNull(), other)
+
+    kept = [c for c in df.columns if not any(c.startswith(f"{n}_") for n in names)]
+    return df.select(*(f"`{c}`" for c in kept), *(text(lambda k, n=n: F.col(f"`{n}`" if k is None else f"`{n}_{k}`")).alias(f"{n}_text") for n in names))
 
 
 def text_of(x: Column, kind: T.DataType, time: bool = False, exact: bool = False) -> Column:
-    """A value as text. exact: all digits of numbers and of seconds, so that reading gives the value again."""
+    """A value as text. exact: all digits of numbers and of seconds, so that reading gives the value again.
+
+    Numbers with fewer digits than all are made by cells(), which takes several steps for them.
+    """
     if isinstance(kind, T.BooleanType):
         return x.cast("string")
     if isinstance(kind, T.DateType):
         return F.date_format(x, "yyyy-MM-dd")
     if isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
         return F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss" + (".SSSSSS" if exact else ""))
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return x.cast("string") if exact else double_text(x.cast("double"))
     if time:
         second = F.call_function("div", x, F.lit(1_000_000))
         parts = F.format_string("%02d:%02d:%02d", F.call_function("div", second, F.lit(3600)), F.call_function("div", second, F.lit(60)) % 60, second % 60)
@@ -67,6 +110,15 @@ def text_of(x: Column, kind: T.DataType, time: bool = False, exact: bool = False
     return x.cast("string")
 
 
+def cells(df: DataFrame, times: tuple[str, ...] = (), exact: bool = False) -> DataFrame:
+    """df with all values as texts, under c0, c1 and so on."""
+    fields = df.schema.fields
+    rounded = [] if exact else [i for i, f in enumerate(fields) if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    out = df.select(*((F.col(f"`{f.name}`").cast("double") if i in rounded else F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in enumerate(fields)))
+    out = with_double_texts(out, [f"c{i}" for i in rounded]) if rounded else out
+    return out.select(*((F.col(f"c{i}_text") if i in rounded else text_of(F.col(f"c{i}"), f.dataType, f.name in times, exact)).alias(f"c{i}") for i, f in enumerate(fields)))
+
+
 def quoted(text: Column, sep: str = ",", quote: str = '"') -> Column:
     """In quotes where the text has the separator, a quote or a line end; null is empty."""
     needs = F.contains(text, F.lit(sep)) | F.contains(text, F.lit(quote)) | F.contains(text, F.lit("\n")) | F.contains(text, F.lit("\r"))
@@ -74,10 +126,16 @@ def quoted(text: Column, sep: str = ",", quote: str = '"') -> Column:
     return F.coalesce(F.when(needs, F.concat(F.lit(quote), inner, F.lit(quote))).otherwise(text), F.lit(""))
 
 
+#: Characters that texts of numbers, times and truth values are made of.
+PLAIN = frozenset("0123456789+-.:TZEe") | frozenset("truefalsenaniInfinity")
+
+
 def csv_lines(df: DataFrame, sep: str = ",", quote: str = '"', times: tuple[str, ...] = (), exact: bool = False) -> DataFrame:
     """One line of text a row, in a column `value`."""
-    cells = [quoted(text_of(F.col(f"`{f.name}`"), f.dataType, f.name in times, exact), sep, quote) for f in df.schema.fields]
-    return df.select(F.concat_ws(sep, *cells).alias("value"))
+    bare = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    safe = not PLAIN.intersection(sep) and quote not in PLAIN
+    texts = [F.coalesce(f"c{i}", F.lit("")) if safe and isinstance(f.dataType, bare) else quoted(F.col(f"c{i}"), sep, quote) for i, f in enumerate(df.schema.fields)]
+    return cells(df, times, exact).select(F.concat_ws(sep, *texts).alias("value"))
 
 
 def header_line(names: list[str], sep: str = ",", quote: str = '"') -> str:
@@ -86,16 +144,15 @@ def header_line(names: list[str], sep: str = ",", quote: str = '"') -> str:
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", quote: str = '"', header: bool = True, mode: str = "overwrite") -> None:
     """Files of lines, each with the header."""
-    cells = df.select(*(text_of(F.col(f"`{f.name}`"), f.dataType, exact=True).alias(f.name) for f in df.schema.fields))
-    cells.write.mode(mode).csv(path, sep=sep, quote=quote, escape=quote, header=header, emptyValue='""', nullValue="")
+    texts = cells(df, exact=True).toDF(*df.columns)
+    texts.write.mode(mode).csv(path, sep=sep, quote=quote, escape=quote, header=header, emptyValue='""', nullValue="")
 
 
 def pretty(df: DataFrame, n: int = 10, most: int = 40, names: list[str] | None = None) -> str:
     """The first n rows in a box; cells over `most` characters end in dots."""
     cut = lambda s: s if len(s) <= most else s[: most - 3] + "..."
     heads = [cut(c) for c in (names or df.columns)]
-    cells = df.limit(n).select(*(F.coalesce(text_of(F.col(f"`{f.name}`"), f.dataType), F.lit("")).alias(f.name) for f in df.schema.fields)).collect()
-    rows = [[cut(v) for v in r] for r in cells]
+    rows = [[cut(v or "") for v in r] for r in cells(df.limit(n)).collect()]
     widths = [max(len(r[i]) for r in [heads, *rows]) for i in range(len(heads))]
     bar = "+" + "+".join("-" * (w + 2) for w in widths) + "+"
     line = lambda r: "|" + "|".join(f" {c:<{w}} " for c, w in zip(r, widths)) + "|"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -17,20 +17,61 @@ FILE, PLACE = "__file", "__place"
 
 
 @dataclass
-class Table:
-    """rows: the typed columns under unique names, and FILE and PLACE, the order of the file."""
+class Plan:
+    """rows: the typed columns under unique names, and FILE and PLACE, the order of the file; found: all errors, errors: as many as are kept."""
 
     rows: DataFrame
+    in_order: bool = True
+    found: DataFrame | None = None
+    errors: DataFrame | None = None
+
+
+@dataclass
+class Table:
+    """plan: what reads the records, or a function that makes it when it is first needed; counted: the number of rows, in a way of its own."""
+
+    plan: Plan | Callable[[], Plan]
     names: list[str]
     kinds: list[DataType]
+    columns: list[str]
     formats: dict[str, str] = field(default_factory=dict)
     dialect: Dialect = CSV
     encoding: Encoding = Encoding("utf-8")
-    errors: DataFrame | None = None
     source: str = ""
     size: int = 0
-    in_order: bool = True
     warning: str = ""
+    confidence: float | None = None
+    ambiguous: bool = False
+    counted: Callable[[], int] | None = None
+    max_errors: int = 0
+    many_files: bool = False
+
+    @property
+    def made(self) -> Plan:
+        if not isinstance(self.plan, Plan):
+            self.plan = self.plan()
+        return self.plan
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.made.rows
+
+    @property
+    def in_order(self) -> bool:
+        return self.made.in_order
+
+    @property
+    def errors(self) -> DataFrame | None:
+        return self.made.errors
+
+    @property
+    def error_count(self) -> int:
+        """All errors, those beyond the most that are kept too."""
+        return self.made.found.count() if self.made.found is not None else 0
+
+    @property
+    def suppressed_count(self) -> int:
+        return max(0, self.error_count - self.max_errors)
 
     @property
     def df(self) -> DataFrame:
@@ -46,7 +87,7 @@ class Table:
 
     @property
     def num_rows(self) -> int:
-        return self.rows.count()
+        return self.counted() if self.counted else self.rows.count()
 
     def schema(self) -> list[dict[str, Any]]:
         return [{"name": n, "type": k.name, "nullable": True, "index": i, "format": self.formats.get(n, "")} for i, (n, k) in enumerate(zip(self.names, self.kinds))]
@@ -64,7 +105,8 @@ class Table:
 
     def sample(self, n: int, seed: int = 0) -> DataFrame:
         """n rows, the same for the same seed, in the file's order."""
-        drawn = self.rows.orderBy(F.xxhash64(F.lit(seed), FILE, PLACE)).limit(n)
+        whose = (F.lit(seed).cast("string"), *((F.col(FILE),) if self.many_files else ()), F.col(PLACE).cast("string"))
+        drawn = self.rows.orderBy(F.md5(F.concat_ws(":", *whose).cast("binary"))).limit(n)
         return drawn.orderBy(FILE, PLACE).drop(FILE, PLACE)
 
     def select(self, columns: list[str | int]) -> DataFrame:
@@ -88,13 +130,16 @@ class Table:
             named.append(F.col(f"`{name}`").alias(name if seen[name] == 1 else f"{name}_{seen[name]}"))
         return self.df.select(*named)
 
+    def _in_order(self) -> DataFrame:
+        return (self.rows if self.in_order else self.ordered()).drop(FILE, PLACE)
+
     def batches(self, n: int = 10_000) -> Iterator:
         """Arrow record batches of n rows in the file's order, a partition at a time."""
         import pyarrow as pa
 
         kind = self.df.limit(0).toArrow().schema
         rows = []
-        source = (self.rows if self.in_order else self.ordered()).drop(FILE, PLACE)
+        source = self._in_order()
         for row in source.toLocalIterator(prefetchPartitions=True):
             rows.append(tuple(row))
             if len(rows) == n:
@@ -104,14 +149,21 @@ class Table:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
 
     def iter_rows(self) -> Iterator[dict[str, Any]]:
-        for row in (self.rows if self.in_order else self.ordered()).drop(FILE, PLACE).toLocalIterator():
+        for row in self._in_order().toLocalIterator():
             yield row.asDict()
 
     def to_arrow(self):
-        return self.ordered().drop(FILE, PLACE).toArrow()
+        """All rows as one Arrow table, in the file's order."""
+        return self._in_order().toArrow()
+
+    def reader(self, n: int = 10_000):
+        """A reader of record batches; partitions come to the driver one after another."""
+        import pyarrow as pa
+
+        return pa.RecordBatchReader.from_batches(self.df.limit(0).toArrow().schema, self.batches(n))
 
     def __arrow_c_stream__(self, requested_schema=None):
-        return self.to_arrow().__arrow_c_stream__(requested_schema)
+        return self.reader().__arrow_c_stream__(requested_schema)
 
     def __arrow_c_schema__(self):
         return self.df.limit(0).toArrow().schema.__arrow_c_schema__()

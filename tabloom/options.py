@@ -92,4 +92,4 @@ class ParquetOptions:
     row_group_size: int = 1_000_000
     enable_dictionary: bool = False
 
-    CODECS = {"zstd": "zstd", "snappy": "snappy", "gzip": "gzip", "lz4": "lz4raw", "none": "uncompressed", "uncompressed": "uncompressed"}
+    CODECS = {"zstd": "zstd", "snappy": "snappy", "gzip": "gzip", "lz4": "lz4_raw", "none": "uncompressed", "uncompressed": "uncompressed"}

@@ -12,13 +12,14 @@ from ..functions.fields import split_fields, unescape
 from ..functions.formats import compile_format
 from ..functions.infer import fold, folded, infer_field
 from ..operators import profile
-from ..operators.sink import csv_lines, header_line, quoted, text_of, write_parquet
-from ..options import FALSES, NULLS, TRUES, tokens
+from ..operators.errors import CsvError
+from ..operators.sink import cells, convert, csv_lines, header_line, quoted, text_of, write_parquet
+from ..options import FALSES, NULLS, TRUES, ParquetOptions, tokens
 from ..scratch import scratch
 from ..sources.csv import read_csv, read_csv_lines, read_csv_text
-from ..sources.dialect import detect_dialect
-from ..sources.encoding import detect_encoding
-from ..sources.fwf import read_fwf_lines, read_fwf_text
+from ..sources.dialect import line_ending
+from ..sources.encoding import detect_encoding, encoding_name
+from ..sources.fwf import read_fwf, read_fwf_lines
 from ..streaming.parser import StreamingParser, read_csv_stream
 from ..types import DataType, wider
 
@@ -67,16 +68,76 @@ def csv_roundtrip_quotes(spark, sf_dir):
     return again(df, [I64, TS, I64, STR, DBL, STR], null_values="")
 
 
-@query("SELECT doc_id, replace(replace(text, chr(13)||chr(10), chr(10)), chr(13), chr(10)) AS text, lang FROM documents")
+@query("SELECT doc_id, text, lang FROM documents")
 def csv_file_multiline(spark, sf_dir):
+    """A folder of files whose quoted texts have line ends of every kind."""
     path = scratch(spark, "multiline")
-    df = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\r\n?", "\n").alias("text"), "lang")
+    df = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     csv_lines(df, exact=True).write.text(path)
-    out = None
-    for file in files(spark, path):
-        got = read_csv(spark, file, separator=",", has_header=False, schema=[I64, STR, STR], null_values="", trim_ws=False).df.toDF("doc_id", "text", "lang")
-        out = got if out is None else out.unionByName(got)
-    return out
+    return read_csv(spark, path, separator=",", has_header=False, schema=[I64, STR, STR], null_values="", trim_ws=False).df.toDF("doc_id", "text", "lang")
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file as it is, through Spark's file systems."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+
+
+def one_text(lines: DataFrame, path: str, ends: str = "\n") -> str:
+    """A single file of (part, key, value) in that order."""
+    lines.repartition(1).sortWithinPartitions("part", "key").select("value").write.option("lineSep", ends).text(path)
+    return files(lines.sparkSession, path)[0]
+
+
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer")
+def csv_folder(spark, sf_dir):
+    """A folder of 50 files, each with a line to skip, a comment and a header of its own."""
+    path = scratch(spark, "folder")
+    df = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    lines = df.select((F.col("c_custkey") % 50).alias("part"), F.concat_ws(",", *(F.col(c).cast("string") for c in df.columns)).alias("line"))
+    texts = lines.groupBy("part").agg(F.array_join(F.collect_list("line"), "\n").alias("text"))
+    one_each = spark.range(50, numPartitions=50).join(F.broadcast(texts), F.col("id") == F.col("part"), "left")
+    one_each.select(F.concat_ws("\n", F.lit("made by hand"), F.lit("# a note"), F.lit(header_line(df.columns)), "text").alias("value")).write.text(path)
+    return read_csv(spark, path, separator=",", skip=1, comment="#", schema=[I64, STR, I32]).df
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST('a' || chr(13) || chr(10) || 'b' || chr(13) || 'c' AS VARCHAR) AS held, repeat('x', 300) AS wide FROM lineitem")
+def csv_file_late_line_ends(spark, sf_dir):
+    """Over a megabyte of lines that end in LF, then lines that end in CR; CRs and LFs inside of quotes stay."""
+    path = scratch(spark, "late")
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    line = F.concat(F.col("l_orderkey").cast("string"), F.lit(","), F.col("l_linenumber").cast("string"), F.lit(',"a\r\nb\rc",' + "x" * 300))
+    lines = df.select(key.alias("key"), line.alias("value"), (F.col("l_linenumber") >= 3).alias("late"))
+    late = lines.where("late").groupBy((F.col("key") / 100).cast("long").alias("key")).agg(F.array_join(F.array_sort(F.collect_list("value")), "\r").alias("value")).withColumn("part", F.lit(2))
+    head = spark.createDataFrame([(0, 0, "l_orderkey,l_linenumber,held,wide")], "part int, key long, value string")
+    every = head.unionByName(lines.where("NOT late").select(F.lit(1).alias("part"), "key", "value")).unionByName(late.select("part", "key", "value"))
+    return read_csv(spark, one_text(every, path), separator=",", schema=[I64, I32, STR, STR], trim_ws=False).df
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def csv_file_crlf(spark, sf_dir):
+    return _ended(spark, sf_dir, "\r\n")
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def csv_file_cr(spark, sf_dir):
+    return _ended(spark, sf_dir, "\r")
+
+
+def _ended(spark, sf_dir, ends):
+    df = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    lines = df.select(F.lit(1).alias("part"), F.col("c_custkey").alias("key"), F.concat_ws(",", *cells_of(df)).alias("value"))
+    head = spark.createDataFrame([(0, 0, header_line(df.columns))], "part int, key long, value string")
+    return read_csv(spark, one_text(head.unionByName(lines), scratch(spark, "ended"), ends), dtype={"c_custkey": "int64", "c_acctbal": "float64"}).df
+
+
+def cells_of(df: DataFrame, sep: str = ",") -> list:
+    return [quoted(text_of(F.col(f.name), f.dataType, exact=True), sep) for f in df.schema.fields]
 
 
 def files(spark: SparkSession, path: str) -> list[str]:
@@ -87,10 +148,9 @@ def files(spark: SparkSession, path: str) -> list[str]:
 
 def one_file(df: DataFrame, path: str, key: str, sep: str = ",") -> None:
     """A file with a header and the rows in order of a key, as a single text."""
-    cells = [quoted(text_of(F.col(f.name), f.dataType, exact=True), sep) for f in df.schema.fields]
-    lines = df.select(F.lit(1).alias("part"), F.col(key).cast("long").alias("key"), F.concat_ws(sep, *cells).alias("value"))
+    lines = df.select(F.lit(1).alias("part"), F.col(key).cast("long").alias("key"), F.concat_ws(sep, *cells_of(df, sep)).alias("value"))
     head = df.sparkSession.createDataFrame([(0, 0, header_line(df.columns, sep))], "part int, key long, value string")
-    head.unionByName(lines).repartition(1).sortWithinPartitions("part", "key").select("value").write.text(path)
+    one_text(head.unionByName(lines), path)
 
 
 def _orders(spark, sf_dir, sep, **options):
@@ -257,7 +317,7 @@ def tail_n(spark, sf_dir):
     return _customers(spark, sf_dir).tail(10)
 
 
-@query()
+@query("SELECT c_custkey, c_name, c_acctbal FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer) ORDER BY md5('7:' || place) LIMIT 10")
 def sample_n(spark, sf_dir):
     return _customers(spark, sf_dir).sample(10, 7)
 
@@ -314,14 +374,28 @@ def split_and_unescape(spark, sf_dir):
     return fields.select("event_id", F.size("fields").alias("n"), unescape(F.substring(third, F.lit(2), F.length(third) - 2), '"').alias("third"))
 
 
-@query("SELECT * FROM (VALUES (',', true, 4), (';', true, 4), ('|', true, 4), (chr(9), true, 4)) t(separator, has_header, \"columns\")")
+@query("SELECT * FROM (VALUES (',', true, 4, 'lf'), (';', true, 4, 'lf'), ('|', true, 4, 'lf'), (chr(9), true, 4, 'lf')) t(separator, has_header, \"columns\", line_ending)")
 def dialect_candidates(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").orderBy("c_custkey").select("c_custkey", "c_name", "c_nationkey", "c_acctbal").limit(50).collect()
+    """Files of all customers, whose dialects are found out."""
     out = []
     for sep in (",", ";", "|", "\t"):
-        found = detect_dialect(f"c_custkey{sep}c_name{sep}c_nationkey{sep}c_acctbal\n" + "\n".join(sep.join(map(str, r)) for r in rows) + "\n")
-        out.append((found.dialect.separator, found.has_header, found.columns))
-    return spark.createDataFrame(out, "separator string, has_header boolean, columns int")
+        path = scratch(spark, "dialect")
+        one_file(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal"), path, "c_custkey", sep)
+        got = read_csv(spark, files(spark, path)[0])
+        out.append((got.dialect.separator, got.names[0] == "c_custkey", got.num_columns, got.dialect.line_ending))
+    return spark.createDataFrame(out, "separator string, has_header boolean, columns int, line_ending string")
+
+
+@query("SELECT * FROM (VALUES ('a,b\\n1,2\\n', 'lf'), ('a,b\\r\\n1,2\\r\\n', 'crlf'), ('a,b\\r1,2\\r', 'cr'), ('a,b\\r\\n1,2\\n', 'mixed'), ('a,b', 'unknown')) t(\"text\", ending)")
+def line_endings(spark, sf_dir):
+    texts = ["a,b\n1,2\n", "a,b\r\n1,2\r\n", "a,b\r1,2\r", "a,b\r\n1,2\n", "a,b"]
+    shown = lambda t: t.replace("\r", "\\r").replace("\n", "\\n")
+    return spark.createDataFrame([(shown(t), line_ending(t)) for t in texts], "text string, ending string")
+
+
+@query("SELECT * FROM (VALUES ('UTF8', 'utf-8'), ('Utf-16LE', 'utf-16-le'), ('ISO_8859-1', 'latin-1'), ('latin1', 'latin-1'), ('CP1252', 'windows-1252')) t(given, encoding)")
+def encoding_names(spark, sf_dir):
+    return spark.createDataFrame([(x, encoding_name(x)) for x in ("UTF8", "Utf-16LE", "ISO_8859-1", "latin1", "CP1252")], "given string, encoding string")
 
 
 @query("SELECT * FROM (VALUES ('utf-8'), ('utf-8-bom'), ('utf-16-le'), ('utf-16-be'), ('utf-32-le'), ('latin-1'), ('windows-1252')) t(encoding)")
@@ -340,11 +414,26 @@ def parquet_roundtrip(spark, sf_dir):
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer")
 def stream_microbatch(spark, sf_dir):
-    """The files of a folder as a stream, in micro-batches of one file, to a table and back."""
+    """The files of a folder, without headers, as a stream to a table and back."""
     source, sink, marks = (scratch(spark, x) for x in ("stream", "streamed", "marks"))
     df = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
     csv_lines(df, exact=True).repartition(3).write.text(source)
     got = read_csv_stream(spark, source, header_line(df.columns) + "\n", separator=",", schema=[I64, STR, DBL], header_in_files=False)
+    return streamed(spark, got, sink, marks)
+
+
+@query("SELECT c_name, c_mktsegment FROM customer UNION ALL SELECT 'c_name', 'c_mktsegment' FROM region")
+def stream_headers(spark, sf_dir):
+    """Files with a header each, as a stream; a row that equals the header is a row."""
+    source, sink, marks = (scratch(spark, x) for x in ("headed", "streamed", "marks"))
+    df = table(spark, sf_dir, "customer").select("c_name", "c_mktsegment")
+    same = table(spark, sf_dir, "region").select(F.lit("c_name").alias("c_name"), F.lit("c_mktsegment").alias("c_mktsegment"))
+    df.unionByName(same).repartition(4).write.option("header", True).csv(source)
+    got = read_csv_stream(spark, source, header_line(df.columns) + "\n", separator=",", schema=[STR, STR])
+    return streamed(spark, got, sink, marks)
+
+
+def streamed(spark, got, sink, marks):
     got.writeStream.format("parquet").option("path", sink).option("checkpointLocation", marks).trigger(availableNow=True).outputMode("append").start().awaitTermination()
     return spark.read.schema(got.schema).parquet(sink)
 
@@ -357,10 +446,12 @@ def type_lattice(spark, sf_dir):
 
 @query("SELECT n_nationkey, n_name || ' – café' AS name FROM nation")
 def transcode_files(spark, sf_dir):
-    """A UTF-16 file, decoded and read."""
+    """A file in UTF-16, decoded and read."""
     rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_nationkey", "n_name").collect()
     text = "n_nationkey,name\n" + "".join(f"{r.n_nationkey},{r.n_name} – café\n" for r in rows)
-    return read_csv_text(spark, b"\xff\xfe" + text.encode("utf-16-le"), separator=",").df
+    path = scratch(spark, "utf16") + "/nation.csv"
+    write_bytes(spark, path, b"\xff\xfe" + text.encode("utf-16-le"))
+    return read_csv(spark, path, separator=",").df
 
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer")
@@ -392,58 +483,66 @@ def fail_fast(spark, sf_dir):
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS stamp, strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(o_orderkey % 2 = 0 AS VARCHAR) AS flag, printf('%02d:%02d:%02d', o_orderkey % 24, o_orderkey % 60, 5) AS clock FROM orders")
 def values_as_text(spark, sf_dir):
     df = table(spark, sf_dir, "orders")
-    typed = df.select("o_orderkey", "o_orderdate", F.col("o_orderdate").cast("date").alias("day"), (F.col("o_orderkey") % 2 == 0).alias("flag"), (((F.col("o_orderkey") % 24) * 60 + F.col("o_orderkey") % 60) * 60_000_000 + 5_000_000).alias("clock"))
-    kinds = {f.name: f.dataType for f in typed.schema.fields}
-    return typed.select("o_orderkey", text_of(F.col("o_orderdate"), kinds["o_orderdate"]).alias("stamp"), text_of(F.col("day"), kinds["day"]).alias("day"), text_of(F.col("flag"), kinds["flag"]).alias("flag"), text_of(F.col("clock"), kinds["clock"], True).alias("clock"))
+    typed = df.select("o_orderkey", F.col("o_orderdate").alias("stamp"), F.col("o_orderdate").cast("date").alias("day"), (F.col("o_orderkey") % 2 == 0).alias("flag"), (((F.col("o_orderkey") % 24) * 60 + F.col("o_orderkey") % 60) * 60_000_000 + 5_000_000).alias("clock"))
+    texts = cells(typed, ("clock",)).toDF(*typed.columns)
+    return texts.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "stamp", "day", "flag", "clock")
 
 
-@query("SELECT c_custkey, c_name, c_mktsegment FROM customer ORDER BY c_custkey LIMIT 40")
-def fwf_file_options(spark, sf_dir):
-    """A file with a line to skip, comments and blank lines; the first 40 rows."""
-    rows = table(spark, sf_dir, "customer").orderBy("c_custkey").select("c_custkey", "c_name", "c_mktsegment").collect()
-    text = "title\n# a note\n\n" + "".join(f"{r.c_custkey:<10}{r.c_name:<30}{r.c_mktsegment}\n" + ("# more\n\n" if i % 7 == 0 else "") for i, r in enumerate(rows))
-    got = read_fwf_text(spark, text, schema=[I64, STR, STR], col_starts=[0, 10, 40], col_ends=[10, 40, -1], col_names=["c_custkey", "c_name", "c_mktsegment"], skip=1, comment="#", max_rows=40)
-    return got.df
-
+@query("SELECT l_orderkey, l_linenumber, printf('%g', l_extendedprice) AS price, printf('%g', l_extendedprice / 1000000) AS small, printf('%g', l_extendedprice * 100000) AS large, printf('%g', -l_quantity) AS quantity FROM lineitem")
+def doubles_as_text(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    price = F.col("l_extendedprice")
+    texts = cells(df.select("l_orderkey", "l_linenumber", price, (price / 1_000_000).alias("small"), (price * 100_000).alias("large"), (-F.col("l_quantity")).alias("quantity")))
+    return texts.select(F.col("c0").cast("long").alias("l_orderkey"), F.col("c1").cast(df.schema["l_linenumber"].dataType).alias("l_linenumber"), F.col("c2").alias("price"), F.col("c3").alias("small"), F.col("c4").alias("large"), F.col("c5").alias("quantity"))
 
-@query("SELECT (i // 40) AS batch, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 100)) GROUP BY 1")
-def batched_reader(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").orderBy("c_custkey").limit(100).select("c_custkey", "c_name").collect()
-    got = read_csv_text(spark, "c_custkey,c_name\n" + "".join(f"{r.c_custkey},{r.c_name}\n" for r in rows), separator=",")
-    return spark.createDataFrame([(i, b.num_rows) for i, b in enumerate(got.batches(40))], "batch long, n long")
 
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer ORDER BY c_custkey LIMIT 40")
+def fwf_file_options(spark, sf_dir):
+    """A file of all customers with a line to skip, comments and blank lines; the first 40 rows, as max_rows says."""
+    df = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    line = F.concat(F.rpad(key.cast("string"), 10, " "), F.rpad("c_name", 30, " "), F.col("c_mktsegment"))
+    rows = df.select(F.lit(1).alias("part"), (key * 3).alias("key"), line.alias("value"))
+    notes = df.where(key % 7 == 0).select(F.lit(1).alias("part"), (key * 3 + 1).alias("key"), F.explode(F.array(F.lit("# more"), F.lit(""))).alias("value"))
+    head = spark.createDataFrame([(0, i, v) for i, v in enumerate(("# a note", "title", "# another", ""))], "part int, key long, value string")
+    path = one_text(head.unionByName(rows).unionByName(notes), scratch(spark, "fwf"))
+    return read_fwf(spark, path, schema=[I64, STR, STR], col_starts=[0, 10, 40], col_ends=[10, 40, -1], col_names=["c_custkey", "c_name", "c_mktsegment"], skip=1, comment="#", max_rows=40).df
 
-@query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 100")
-def push_parser(spark, sf_dir):
-    """Bytes fed in pieces of 17, batches of 30."""
-    rows = table(spark, sf_dir, "customer").orderBy("c_custkey").limit(100).select("c_custkey", "c_name").collect()
-    data = ("c_custkey,c_name\r\n" + "".join(f'{r.c_custkey},"{r.c_name}"\r\n' for r in rows)).encode()
-    parser = StreamingParser(batch_size=30)
-    parser.set_schema(["c_custkey", "c_name"], [I64, STR])
-    for i in range(0, len(data), 17):
-        parser.feed(data[i : i + 17])
-    parser.finish()
-    out = None
-    for batch in parser:
-        if batch.num_rows:
-            df = parser.to_dataframe(spark, batch)
-            out = df if out is None else out.unionByName(df)
-    return out
 
+@query("SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, o_totalprice, CAST(o_orderdate AS DATE) AS day, o_orderpriority FROM orders")
+def fwf_file_inferred(spark, sf_dir):
+    """A fixed-width file whose types are found out."""
+    df = table(spark, sf_dir, "orders")
+    line = F.concat(F.lpad(F.col("o_orderkey").cast("string"), 10, " "), F.lit(" "), F.lpad(F.col("o_totalprice").cast("decimal(20,2)").cast("string"), 22, " "), F.lit(" "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" "), F.col("o_orderpriority"))
+    path = one_text(df.select(F.lit(1).alias("part"), F.col("o_orderkey").alias("key"), line.alias("value")), scratch(spark, "inferred"))
+    return read_fwf(spark, path, col_starts=[0, 11, 34, 45], col_ends=[10, 33, 44, -1], col_names=["o_orderkey", "o_totalprice", "day", "o_orderpriority"]).df
 
 
 @query("SELECT (i // 40) AS batch, count(*) AS n, min(c_custkey) AS first, max(c_custkey) AS last FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer) GROUP BY 1")
-def batched_reader_all(spark, sf_dir):
+def batched_reader(spark, sf_dir):
     """Batches of 40 over a file of all customers."""
-    path = scratch(spark, "batches")
-    one_file(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), path, "c_custkey")
-    got = read_csv(spark, files(spark, path)[0], separator=",", dtype={"c_custkey": "int64"})
+    got = _customers(spark, sf_dir)
     batches = ((i, b.num_rows, b.column(0)[0].as_py(), b.column(0)[-1].as_py()) for i, b in enumerate(got.batches(40)))
     return spark.createDataFrame(list(batches), "batch long, n long, first long, last long")
 
 
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def row_iterator(spark, sf_dir):
+    """All customers of a file, row by row, put together again."""
+    got = _customers(spark, sf_dir)
+    return spark.createDataFrame(([r["c_custkey"], r["c_name"], r["c_acctbal"]] for r in got.iter_rows()), "c_custkey long, c_name string, c_acctbal double")
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def arrow_stream(spark, sf_dir):
+    """All customers of a file as a stream of Arrow batches."""
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.table(_customers(spark, sf_dir)))
+
+
 @query("SELECT c_custkey, c_name FROM customer")
-def push_parser_all(spark, sf_dir):
+def push_parser(spark, sf_dir):
     """All customers' bytes, fed in pieces of 17; batches are written as they come."""
     path = scratch(spark, "pushed")
     parser = StreamingParser()
@@ -465,3 +564,92 @@ def push_parser_all(spark, sf_dir):
     parser.finish()
     drain()
     return spark.read.schema("c_custkey long, c_name string").parquet(path)
+
+
+FAULTY = "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'INCONSISTENT_FIELD_COUNT' WHEN 1 THEN 'QUOTE_IN_UNQUOTED_FIELD' WHEN 2 THEN 'INVALID_QUOTE_ESCAPE' WHEN 3 THEN 'NULL_BYTE' END AS code FROM customer"
+
+
+def faulty(df: DataFrame):
+    """A customer's line, with a fault by its key."""
+    key = F.col("c_custkey")
+    name = F.when(key % 5 == 1, 'a "b" c').when(key % 5 == 2, '"a "b" c"').when(key % 5 == 3, "a\0b").otherwise(F.col("c_name"))
+    return df.select(key, F.concat(key.cast("string"), F.lit(","), name, F.when(key % 5 == 0, ",more").otherwise("")).alias("value"))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY c_custkey) + 1 AS line, code FROM ({FAULTY}) QUALIFY code IS NOT NULL")
+def error_lines(spark, sf_dir):
+    """The rows at which a file's faults are, numbered through the file."""
+    lines = faulty(table(spark, sf_dir, "customer")).select(F.lit(1).alias("part"), F.col("c_custkey").alias("key"), "value")
+    head = spark.createDataFrame([(0, 0, "c_custkey,c_name")], "part int, key long, value string")
+    path = one_text(head.unionByName(lines), scratch(spark, "faults"))
+    return read_csv(spark, path, separator=",", schema=[I64, STR], error_mode="permissive", max_errors=1 << 30).errors.select("line", "code")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY c_custkey) + 1 AS line, code FROM ({FAULTY}) QUALIFY code IS NOT NULL")
+def push_parser_errors(spark, sf_dir):
+    parser = StreamingParser(separator=",", error_mode="best_effort", max_errors=1 << 30)
+    parser.feed(b"c_custkey,c_name\n")
+    for r in faulty(table(spark, sf_dir, "customer")).orderBy("c_custkey").toLocalIterator():
+        parser.feed(r.value.encode() + b"\n")
+    parser.finish()
+    return spark.createDataFrame([(e.line, e.code) for e in parser.errors()], "line long, code string")
+
+
+@query("SELECT 25 AS kept, count(*) - 25 AS suppressed, count(*) AS found FROM customer WHERE c_custkey % 5 < 4")
+def errors_suppressed(spark, sf_dir):
+    """Errors beyond the most that are kept, counted."""
+    lines = faulty(table(spark, sf_dir, "customer")).select("value")
+    got = read_csv_lines(lines, "c_custkey,c_name\n", separator=",", schema=[I64, STR], error_mode="best_effort", max_errors=25, multiline=False)
+    return spark.createDataFrame([(got.errors.count(), got.suppressed_count, got.error_count)], "kept int, suppressed long, found long")
+
+
+@query("SELECT * FROM (VALUES ('DUPLICATE_COLUMN_NAMES', 'a,a'), ('EMPTY_HEADER', ',,'), ('UNCLOSED_QUOTE', 'a,b')) t(code, header)")
+def header_and_quote_errors(spark, sf_dir):
+    out = []
+    for header, row in (("a,a", "1,2"), (",,", "1,2,3"), ("a,b", '1,"open')):
+        try:
+            found = read_csv_text(spark, f"{header}\n{row}\n", separator=",", error_mode="permissive").errors.collect()
+        except CsvError as e:
+            found = [spark.createDataFrame(e.errors, "code string, severity string, line bigint, `column` int, byte_offset bigint, message string, context string").first()]
+        out += [(e.code, header) for e in found]
+    return spark.createDataFrame(out, "code string, header string")
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderpriority, codec FROM orders, (VALUES ('zstd'), ('snappy'), ('gzip'), ('lz4'), ('none')) t(codec)")
+def parquet_codecs(spark, sf_dir):
+    df, out = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), None
+    for codec in ("zstd", "snappy", "gzip", "lz4", "none"):
+        path = scratch(spark, codec)
+        write_parquet(df, path, ParquetOptions(compression=codec, row_group_size=1000, enable_dictionary=codec == "gzip"))
+        got = spark.read.parquet(path).withColumn("codec", F.lit(codec))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query("SELECT count(*) AS \"rows\", 6 AS \"columns\", 0 AS errors, count(*) AS again FROM orders")
+def csv_conversion(spark, sf_dir):
+    """A file converted to Parquet, and what the conversion says of it."""
+    path, out = scratch(spark, "orders"), scratch(spark, "converted")
+    one_file(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"), path, "o_orderkey")
+    made = convert(read_csv(spark, files(spark, path)[0], error_mode="permissive"), out)
+    return spark.createDataFrame([(made.rows, made.columns, made.errors, spark.read.parquet(out).count())], "rows long, columns int, errors int, again long")
+
+
+@query("SELECT 'c_custkey' AS name, 'INT64' AS type, 0 AS index, count(*) AS \"rows\" FROM customer UNION ALL SELECT 'c_name', 'STRING', 1, count(*) FROM customer UNION ALL SELECT 'c_acctbal', 'FLOAT64', 2, count(*) FROM customer")
+def table_info(spark, sf_dir):
+    """What info and schema say of a file."""
+    got = _customers(spark, sf_dir)
+    info = got.info()
+    return profile.schema_rows(got).select("name", "type", "index", F.lit(info["rows"]).cast("long").alias("rows"))
+
+
+@query("SELECT 'c_name' AS \"column\", count(*) AS count, CAST(sum(CASE WHEN c_name IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nulls, count(DISTINCT c_name) AS n_unique, min(length(c_name)) AS min_length, max(length(c_name)) AS max_length FROM customer UNION ALL SELECT 'c_mktsegment', count(*), CAST(sum(CASE WHEN c_mktsegment IS NULL THEN 1 ELSE 0 END) AS BIGINT), count(DISTINCT c_mktsegment), min(length(c_mktsegment)), max(length(c_mktsegment)) FROM customer")
+def text_stats(spark, sf_dir):
+    got = profile.statistics(table(spark, sf_dir, "customer").select("c_name", "c_mktsegment"))
+    return got.select("column", "count", "nulls", "n_unique", F.col("min_length").cast("long").alias("min_length"), F.col("max_length").cast("long").alias("max_length"))
+
+
+@query("SELECT o_orderkey, coalesce(rank, -1) AS index FROM (SELECT *, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS p FROM orders) LEFT JOIN (SELECT p AS q, row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS rank FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS p FROM orders) WHERE p IS NOT NULL GROUP BY p) ON p = q")
+def dictionary_index_column(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderpriority")).alias("p"))
+    return profile.dictionary_indexes(df, "p", "o_orderkey").select("o_orderkey", F.col("index").cast("long").alias("index"))

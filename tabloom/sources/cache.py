@@ -1,4 +1,4 @@
-"""A side-car file with what opening a file found out: separator, types; good while the file's size and time stay."""
+"""A side-car file with what reading a file found out: separator, types, rows, whether records go over lines; good while the file's size and time stay."""
 
 from __future__ import annotations
 
@@ -48,9 +48,9 @@ def load_cache(spark: SparkSession, path: str, size: int, changed: int, o: CsvOp
         return None
 
 
-def save_cache(spark: SparkSession, path: str, size: int, changed: int, o: CsvOptions, separator: str, kinds: list[DataType]) -> None:
-    """Written beside the file and then renamed, so that no reader sees half of it."""
-    body = json.dumps({"size": size, "changed": changed, "options": _key(o), "separator": separator, "kinds": [k.name for k in kinds]})
+def save_cache(spark: SparkSession, path: str, size: int, changed: int, o: CsvOptions, known: dict) -> None:
+    """known: separator, kinds, and, once they are known, rows and whether records go over lines. Written beside the file and then renamed, so that no reader sees half of it."""
+    body = json.dumps({"size": size, "changed": changed, "options": _key(o)} | known)
     where, fs = _fs(spark, cache_path(path, o.cache_dir))
     draft, _ = _fs(spark, cache_path(path, o.cache_dir) + ".draft")
     stream = fs.create(draft, True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,28 +13,29 @@ from ..functions.coerce import coerce
 from ..functions.fields import split_fields, split_python, value_python, with_texts
 from ..functions.formats import compile_format
 from ..functions.infer import column_types, fold, folded, infer_field
-from ..operators.errors import SCHEMA, CsvError, findings, header_errors, numbered, row_numbers
-from ..operators.table import FILE, PLACE, Table
+from ..operators.errors import SCHEMA, CsvError, findings, header_errors, numbered
+from ..operators.table import FILE, PLACE, Plan, Table
 from ..options import CsvOptions, tokens
 from ..types import DataType, parse_type
 from .cache import load_cache, save_cache
 from .dialect import CSV, Dialect, detect_dialect
 from .encoding import CODECS, Encoding, decode, detect_encoding, encoding_name
-from .records import IN_PARTITION, decoded_lines, lines, read_head, records
+from .records import Quotes, bare_line, body_of, decoded_lines, joined, lines, odd_quotes, placed, read_head, unfolded
 
 
 @dataclass
 class Start:
-    """What the start of a text tells. body, offset: how many of its lines and bytes come before the first record."""
+    """What the start of a text tells. before: the text that comes before the first record; sample: the records after it."""
 
     names: list[str]
     separator: str
     has_header: bool
-    body: int
+    before: str
     dialect: Dialect
     warning: str
     sample: list[str]
-    offset: int = 0
+    confidence: float | None = None
+    ambiguous: bool = False
 
 
 def physical(names: list[str]) -> list[str]:
@@ -51,13 +53,12 @@ def physical(names: list[str]) -> list[str]:
     return out
 
 
-def start_of(text: str, o: CsvOptions, ends: str, whole: bool) -> Start:
+def start_of(text: str, o: CsvOptions, whole: bool) -> Start:
     """whole: text is all there is, so that its last line is complete."""
-    rows = cut(text, ends)
-    if rows and not rows[-1]:
-        rows.pop()
-    elif not whole and len(rows) > 1:
-        rows.pop()  # the sample may end inside of a line
+    lines_ = re.findall(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+\Z", text)
+    if not whole and len(lines_) > 1 and not lines_[-1].endswith("\n"):
+        lines_.pop()  # the sample may end inside of a line, or between the two halves of its end
+    rows = [x.rstrip("\r\n") if x.endswith(("\r", "\n")) else x for x in lines_]
     at = min(o.skip, len(rows))
     if not rows:
         raise CsvError("Empty file")
@@ -69,9 +70,10 @@ def start_of(text: str, o: CsvOptions, ends: str, whole: bool) -> Start:
     if at >= len(rows):
         raise CsvError("File contains only comment lines" if o.comment else "Empty file")
     dialect, comment, header, warning = replace(CSV, separator=o.separator or ",", quote=o.quote, comment=o.comment), o.comment, o.has_header, ""
+    confidence, ambiguous = None, False
     if not o.separator:
         found = detect_dialect("\n".join(rows[at:]))
-        warning = found.warning
+        warning, confidence, ambiguous = found.warning, found.confidence, found.ambiguous
         if found.success:
             dialect = found.dialect
             comment = o.comment or dialect.comment
@@ -80,32 +82,30 @@ def start_of(text: str, o: CsvOptions, ends: str, whole: bool) -> Start:
             at += 1
     if dialect.separator == o.decimal_mark:
         raise CsvError("the separator is the decimal mark")
-    body = [r.removesuffix("\r") for r in rows[at:]]
-    found_records = join_python(body, dialect.separator, dialect.quote, o.escape_backslash)
+    found_records = join_python(lines_[at:], dialect.separator, dialect.quote, o.escape_backslash)
     first, n = found_records[0] if found_records else ("", 0)
     raw = [value_python(f, dialect.quote, o.escape_backslash, True) for f in split_python(first, dialect.separator, dialect.quote, o.escape_backslash)]
     names = raw if header else [f"V{i}" for i in range(1, len(raw) + 1)]
     rest = found_records[1:] if header else found_records
     kept = [r for r, _ in rest if (r or not o.skip_empty_rows) and not (comment and r.startswith(comment))]
-    before = at + (n if header else 0)
-    return Start(names, dialect.separator, header, before, replace(dialect, comment=comment), warning, kept, sum(len(r.encode()) + 1 for r in rows[:before]))
+    before = "".join(lines_[: at + (n if header else 0)])
+    return Start(names, dialect.separator, header, before, replace(dialect, comment=comment), warning, kept, confidence, ambiguous)
 
 
-def join_python(rows: list[str], sep: str, quote: str, backslash: bool) -> list[tuple[str, int]]:
-    """(record, its lines) of a list of lines."""
-    from .records import Quotes
-
+def join_python(lines_: list[str], sep: str, quote: str, backslash: bool) -> list[tuple[str, int]]:
+    """(record, its lines) of a list of lines with their ends."""
+    bare = lambda x: x[: len(x.rstrip("\r\n"))] if x.endswith(("\r", "\n")) else x
     if not quote:
-        return [(r, 1) for r in rows]
+        return [(bare(x), 1) for x in lines_]
     quotes, out, held = Quotes(sep, quote, backslash), [], []
     inside = False
-    for r in rows:
-        held.append(r)
-        inside = quotes.ends_inside(r, inside)
+    for x in lines_:
+        held.append(x)
+        inside = quotes.ends_inside(bare(x), inside)
         if not inside:
-            out.append(("\n".join(held), len(held)))
+            out.append((bare("".join(held)), len(held)))
             held = []
-    return out + ([("\n".join(held), len(held))] if held else [])
+    return out + ([(bare("".join(held)), len(held))] if held else [])
 
 
 def typed(text: Column, kind: DataType, o: CsvOptions, format_: str | None = None) -> Column:
@@ -118,28 +118,90 @@ def how(o) -> tuple:
     return tokens(o.null_values), tokens(o.true_values), tokens(o.false_values), o.guess_integer, getattr(o, "decimal_mark", ".")
 
 
-def table_of(rows: DataFrame, start: Start, o: CsvOptions, encoding: Encoding, source: str = "", size: int = 0, kinds: list[DataType] | None = None) -> Table:
-    """The table of lines (file, block, place, line) from a text that starts so."""
-    quote, sep = start.dialect.quote, start.separator
-    split = start.body
-    index = F.col("place").bitwiseAND(F.lit(IN_PARTITION))
-    body = rows.where((F.col("block") > 0) | (index >= split)) if split else rows
-    found = records(body, sep, quote, o.escape_backslash, o.multiline)
-    in_order = found is body
-    if o.error_mode != "disabled":
-        found = numbered(found, start.offset)
-    clean = F.when(F.endswith("line", F.lit("\r")), F.substring("line", F.lit(1), F.length("line") - 1)).otherwise(F.col("line"))
-    if not split:
-        # the mark of the encoding, which a header would have taken with it
-        clean = F.when((F.col("block") == 0) & (index == 0), F.regexp_replace(clean, "^\ufeff", "")).otherwise(clean)
-    found = found.withColumn("line", clean)
-    if o.skip_empty_rows:
-        found = found.where(F.col("line") != "")
-    if start.dialect.comment:
-        found = found.where(~F.startswith("line", F.lit(start.dialect.comment)))
-    fields = found.withColumn("fields", split_fields(F.col("line"), sep, quote, o.escape_backslash))
-    names, width = physical(start.names), len(start.names)
-    kinds = kinds or infer_kinds(fields, start, o)
+class Reading:
+    """The plan over lines (file, block, index, line) of a text that starts so; in_order: do a scan's partitions follow the file?"""
+
+    def __init__(self, rows: DataFrame, start: Start, o: CsvOptions, ends: str = "\n", in_order: bool = True, multiline: bool | None = None, place: Callable[[DataFrame], DataFrame] = placed):
+        self.start, self.o, self.ends, self.in_order, self.place = start, o, ends, in_order, place
+        self.sep, self.quote = start.separator, start.dialect.quote
+        self.body = body_of(rows, start.before, ends)
+        asked = o.multiline if o.multiline is not None else multiline
+        self.multiline = False if not self.quote else asked
+        self.kinds: list[DataType] = []
+
+    def lines(self) -> DataFrame:
+        """Records, if none goes on in the next line."""
+        return self.place(unfolded(self.body, self.sep, self.quote, self.o.escape_backslash, self.ends))
+
+    def look(self) -> bool:
+        """Does some line have an odd number of quotes? One scan, the first time that it matters."""
+        if self.multiline is None:
+            self.multiline = bool(self.lines().where(odd_quotes(self.quote)).limit(1).count())
+        return self.multiline
+
+    def records(self) -> DataFrame:
+        """(file, block, place, size, kept, line) of all records, size with the line's end; kept: neither blank nor a comment."""
+        found = joined(self.body, self.sep, self.quote, self.o.escape_backslash, self.ends) if self.look() else self.lines()
+        return self.marked(found)
+
+    def marked(self, found: DataFrame) -> DataFrame:
+        kept = F.lit(True)
+        if self.o.skip_empty_rows:
+            kept = kept & (F.col("line") != "")
+        if self.start.dialect.comment:
+            kept = kept & ~F.startswith("line", F.lit(self.start.dialect.comment))
+        bare = found.withColumn("size", F.octet_length("line") + 1).withColumn("line", bare_line(F.col("line"), self.ends))
+        return bare.withColumn("kept", kept)
+
+    def count(self) -> int:
+        """Rows, by a scan that sees in passing whether records go over lines."""
+        if self.multiline is None:
+            odd = odd_quotes(self.quote)
+            n, some = self.marked(self.lines()).agg(F.count(F.when(F.col("kept"), 1)), F.count(F.when(odd, 1))).first()
+            self.multiline = bool(some)
+            if not some:
+                return n
+        return self.records().where("kept").count()
+
+    def fields(self, found: DataFrame) -> DataFrame:
+        return found.withColumn("fields", split_fields(F.col("line"), self.sep, self.quote, self.o.escape_backslash))
+
+    def plan(self) -> Plan:
+        start, o, kinds, width = self.start, self.o, self.kinds, len(self.start.names)
+        all_ = self.records()
+        strict = o.error_mode != "disabled"
+        if not strict:
+            all_ = all_.where("kept").drop("size", "kept")
+        fields = with_texts(self.fields(all_), width, self.quote, o.escape_backslash, o.trim_ws, tokens(o.null_values))
+        fields = fields.select("*", *(typed(F.col(f"__t{i}"), k, o, o.formats.get(n)).alias(f"__v{i}") for i, (k, n) in enumerate(zip(kinds, start.names))))
+        columns = [F.col(f"__v{i}").alias(n) for i, n in enumerate(physical(start.names))]
+        in_order = self.in_order and not self.multiline
+        if not strict:
+            return Plan(fields.select(F.col("file").alias(FILE), F.col("place").alias(PLACE), *columns), in_order)
+        triples = [(F.col(f"__t{i}"), F.col(f"__v{i}"), k.name) for i, k in enumerate(kinds)]
+        found = F.when(F.col("kept"), findings(width, self.quote, o.escape_backslash, start.names, triples))
+        each = numbered(fields.select("file", "block", "place", "size", "kept", found.alias("errors")), not self.multiline)
+        each = each.select("file", "place", "row", "before", F.explode("errors").alias("e"))
+        first, offset = 2 if start.has_header else 1, len(start.before.encode())
+        each = each.select("file", "place", F.col("e.code"), F.col("e.severity"), (F.col("row") + first).cast("bigint").alias("line"), F.col("e.column"), (F.col("before") + offset).cast("bigint").alias("byte_offset"), F.col("e.message"), F.col("e.context"))
+        top = header_errors(start.names, start.has_header)
+        errors = each.drop("file", "place")
+        errors = errors.sparkSession.createDataFrame(top, SCHEMA).unionByName(errors) if top else errors
+        if o.error_mode == "fail_fast":
+            stop = each.orderBy("file", "byte_offset").first()
+            kept = errors.where("severity <> 'WARNING'").orderBy("byte_offset", "column").limit(1)
+            if stop is not None:
+                fields = fields.where((F.col("file") < stop.file) | (F.col("file") == stop.file) & (F.col("place") < stop.place))
+        else:
+            kept = errors.orderBy("byte_offset", "column").limit(o.max_errors)
+        rows = fields.where("kept").select(F.col("file").alias(FILE), F.col("place").alias(PLACE), *columns)
+        return Plan(rows, in_order, errors, kept)
+
+
+def table_of(reading: Reading, encoding: Encoding, source: str = "", size: int = 0, kinds: list[DataType] | None = None) -> Table:
+    """The table of a reading; nothing is read before it is needed, but where the types are to come from all rows."""
+    o, start = reading.o, reading.start
+    kinds = list(kinds or infer_kinds(reading))
     for name, kind in o.dtype.items():
         if name not in start.names:
             raise ValueError(f"dtype names no column: {name}")
@@ -147,51 +209,44 @@ def table_of(rows: DataFrame, start: Start, o: CsvOptions, encoding: Encoding, s
     for name in o.formats:
         if name in start.names and kinds[start.names.index(name)] not in (DataType.DATE, DataType.TIMESTAMP, DataType.TIME):
             kinds[start.names.index(name)] = DataType.TIMESTAMP
-    fields = with_texts(fields, width, quote, o.escape_backslash, o.trim_ws, tokens(o.null_values))
-    fields = fields.select("*", *(typed(F.col(f"__t{i}"), k, o, o.formats.get(n)).alias(f"__v{i}") for i, (k, n) in enumerate(zip(kinds, start.names))))
-    errors = None
-    if o.error_mode != "disabled":
-        session = rows.sparkSession
-        marked = row_numbers(fields, 2 if start.has_header else 1)
-        triples = [(F.col(f"__t{i}"), F.col(f"__v{i}"), k.name) for i, k in enumerate(kinds)]
-        each = marked.select("file", "place", F.explode(findings(width, quote, o.escape_backslash, start.names, triples)).alias("e")).select("file", "place", "e.*")
+    if o.error_mode in ("fail_fast", "permissive"):
         top = header_errors(start.names, start.has_header)
-        if any(e[1] == "FATAL" for e in top) and o.error_mode in ("fail_fast", "permissive"):
+        if any(e[1] == "FATAL" for e in top):
             raise CsvError(top[0][5], top)
-        errors = session.createDataFrame(top, SCHEMA).unionByName(each.drop("file", "place")) if top else each.drop("file", "place")
-        errors = errors.orderBy("byte_offset", "column")
-        if o.error_mode == "fail_fast":
-            errors = errors.where("severity <> 'WARNING'").limit(1)
-            stop = each.orderBy("file", "byte_offset").first()
-            if stop is not None:
-                fields = fields.where((F.col("file") < stop.file) | (F.col("file") == stop.file) & (F.col("before") < stop.byte_offset))
-        else:
-            errors = errors.limit(o.max_errors)
-    out = fields.select(F.col("file").alias(FILE), F.col("place").alias(PLACE), *(F.col(f"__v{i}").alias(n) for i, n in enumerate(names)))
-    table = Table(out, list(start.names), kinds, dict(o.formats), start.dialect, encoding, errors, source, size, in_order, start.warning)
-    return narrowed(table, o)
+    reading.kinds = kinds
+    made = Table(reading.plan, list(start.names), kinds, physical(start.names), dict(o.formats), start.dialect, encoding, source, size, start.warning, start.confidence, start.ambiguous, max_errors=o.max_errors)
+    return narrowed(made, o, reading)
 
 
-def narrowed(table: Table, o: CsvOptions) -> Table:
+def narrowed(table: Table, o: CsvOptions, reading: Reading) -> Table:
     """The columns and rows asked for."""
+    columns = table.columns
     if o.columns is not None:
         at = [c if isinstance(c, int) else table.names.index(c) if c in table.names else -1 for c in o.columns]
         if any(not 0 <= i < len(table.names) for i in at):
             raise ValueError(f"no such columns: {o.columns}")
-        columns = table.df.columns
-        table = replace(table, rows=table.rows.select(FILE, PLACE, *(f"`{columns[i]}`" for i in at)), names=[table.names[i] for i in at], kinds=[table.kinds[i] for i in at])
-    if o.n_rows is not None:
-        rows = table.rows if table.in_order else table.ordered()
-        table = replace(table, rows=rows.limit(o.n_rows))
-    return table
+        columns = [table.columns[i] for i in at]
+        table = replace(table, names=[table.names[i] for i in at], kinds=[table.kinds[i] for i in at], columns=columns)
 
+    def plan() -> Plan:
+        made = reading.plan()
+        rows = made.rows.select(FILE, PLACE, *(f"`{c}`" for c in columns))
+        if o.n_rows is not None:
+            rows = (rows if made.in_order else rows.orderBy(FILE, PLACE)).limit(o.n_rows)
+        return replace(made, rows=rows)
 
-def infer_kinds(fields: DataFrame, start: Start, o: CsvOptions) -> list[DataType]:
-    width = len(start.names)
+    # where reading stops at an error, only the plan knows how many rows there are
+    counted = None if o.error_mode == "fail_fast" else reading.count if o.n_rows is None else lambda: min(o.n_rows, reading.count())
+    return replace(table, plan=plan, counted=counted)
+
+
+def infer_kinds(reading: Reading) -> list[DataType]:
+    start, o, width = reading.start, reading.o, len(reading.start.names)
     if o.sample_rows:
         rows = [[inferred(f, start.dialect.quote, o) for f in split_python(r, start.separator, start.dialect.quote, o.escape_backslash)] for r in start.sample[: o.sample_rows] if r.strip(" \t")]
         return column_types(rows, width, *how(o))
     # every row counts: one aggregate over the whole file, a number for each column
+    fields = reading.fields(reading.records().where("kept"))
     texts = with_texts(fields, width, start.dialect.quote, o.escape_backslash, o.trim_ws, [])
     kinds = texts.select(*(infer_field(F.col(f"__t{i}"), *how(o)).alias(f"k{i}") for i in range(width)))
     return [folded(k) for k in kinds.agg(*(fold(F.col(f"k{i}"))[0].alias(f"k{i}") for i in range(width))).first()]
@@ -210,22 +265,34 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions | None = None,
     """
     o = replace(options or CsvOptions(), **named)
     o.check()
-    head, size, changed = read_head(spark, path)
+    head, size, changed, folder = read_head(spark, path)
     encoding = Encoding(encoding_name(o.encoding), _mark(head, encoding_name(o.encoding))) if o.encoding else detect_encoding(head)
     text = decode(head[: len(head) - len(head) % encoding.wide], encoding)
-    ends = line_sep(text)
+    ends = "\n" if encoding.transcodes else line_sep(text)
     kept = None if o.force_cache_refresh or not o.cache else load_cache(spark, path, size, changed, o)
-    start = start_of(text, replace(o, separator=kept["separator"]) if kept else o, ends, len(head) == size)
+    start = start_of(text, replace(o, separator=kept["separator"]) if kept else o, len(head) == size)
     kinds = list(schema) if schema else [DataType[k] for k in kept["kinds"]] if kept else None
     if kinds and len(kinds) != len(start.names):
         raise ValueError(f"the schema has {len(kinds)} columns, the file {len(start.names)}")
     if encoding.transcodes:
         rows = decoded_lines(spark, path, CODECS.get(encoding.name, encoding.name), encoding.mark)
     else:
-        rows = lines(spark, path, ends=ends)
-    table = table_of(rows, start, o, encoding, path, size, kinds)
-    if o.cache and not kept:
-        save_cache(spark, path, size, changed, o, start.separator, table.kinds)
+        rows = lines(spark, path, ends)
+    reading = Reading(rows, start, o, ends, not folder, kept.get("multiline") if kept else None)
+    table = replace(table_of(reading, encoding, path, size, kinds), many_files=folder)
+    if o.cache and not folder:
+        known = {"separator": start.separator, "kinds": [k.name for k in reading.kinds], "multiline": reading.multiline, "rows": kept.get("rows") if kept else None}
+        if not kept:
+            save_cache(spark, path, size, changed, o, known)
+
+        def counted() -> int:
+            # the file's rows and whether records go over lines stay in the side-car
+            if known["rows"] is None:
+                known["rows"], known["multiline"] = reading.count(), reading.multiline
+                save_cache(spark, path, size, changed, o, known)
+            return known["rows"] if o.n_rows is None else min(o.n_rows, known["rows"])
+
+        table = replace(table, counted=counted if table.counted else None)
     return table
 
 
@@ -235,16 +302,18 @@ def _mark(head: bytes, name: str) -> int:
 
 
 def line_sep(text: str) -> str:
-    """LF, with a CR before it taken off later; CR where nothing else ends lines; "" (any) where both do, outside of quotes."""
-    if not re.search(r"\r(?!\n)", text):
-        return "\n"
-    if "\n" not in text:
-        return "\r"
-    return "" if re.search(r"\r(?!\n)", re.sub(r'"[^"]*(?:"|\Z)', "", text)) else "\n"
+    """What the text source cuts at: LF, or CR where the start of the text has no other line end."""
+    return "\r" if "\r" in text and "\n" not in text else "\n"
 
 
 def cut(text: str, ends: str) -> list[str]:
-    return text.split(ends) if ends else re.split(r"\r\n|\r|\n", text)
+    found = text.split(ends)
+    return found[:-1] if not found[-1] else found
+
+
+def memory_lines(spark: SparkSession, text: str, ends: str) -> DataFrame:
+    found = cut(text, ends)
+    return spark.createDataFrame([("", 0, i, r) for i, r in enumerate(found)], "file string, block long, index long, line string").coalesce(1)
 
 
 def read_csv_text(spark: SparkSession, text: str | bytes, options: CsvOptions | None = None, schema: list[DataType] | None = None, **named) -> Table:
@@ -255,12 +324,7 @@ def read_csv_text(spark: SparkSession, text: str | bytes, options: CsvOptions |
     encoding = Encoding(encoding_name(o.encoding), _mark(data, encoding_name(o.encoding))) if o.encoding else detect_encoding(data)
     plain = decode(data, encoding)
     ends = line_sep(plain)
-    start = start_of(plain, o, ends, True)
-    found = cut(plain, ends)
-    if found and not found[-1]:
-        found.pop()
-    rows = spark.createDataFrame([("", 0, i, r) for i, r in enumerate(found)], "file string, block long, place long, line string").coalesce(1)
-    return table_of(rows, start, o, encoding, "<memory>", len(data), schema)
+    return table_of(Reading(memory_lines(spark, plain, ends), start_of(plain, o, True), o, ends), encoding, "<memory>", len(data), schema)
 
 
 def read_csv_lines(rows: DataFrame, sample: str, options: CsvOptions | None = None, schema: list[DataType] | None = None, **named) -> Table:
@@ -270,6 +334,6 @@ def read_csv_lines(rows: DataFrame, sample: str, options: CsvOptions | None = No
     """
     o = replace(options or CsvOptions(), **named)
     o.check()
-    start = replace(start_of(sample, o, "\n", True), body=0, offset=0)
-    placed = rows.select(F.lit("").alias("file"), F.lit(1).cast("long").alias("block"), F.monotonically_increasing_id().alias("place"), F.col(rows.columns[0]).alias("line"))
-    return table_of(placed, start, o, Encoding("utf-8"), "<lines>", 0, schema)
+    start = replace(start_of(sample, o, True), before="")
+    given = rows.select(F.lit("").alias("file"), F.lit(1).cast("long").alias("block"), F.lit(0).cast("long").alias("index"), F.col(rows.columns[0]).alias("line"))
+    return table_of(Reading(given, start, o), Encoding("utf-8"), "<lines>", 0, schema)

@@ -62,6 +62,7 @@ class Detection:
     rows: int = 0
     candidates: list[Candidate] = field(default_factory=list)
     warning: str = ""
+    ambiguous: bool = False
 
     @property
     def success(self) -> bool:
@@ -229,5 +230,5 @@ def detect_dialect(text: str, options: DetectionOptions | None = None) -> Detect
     out.confidence, out.columns, out.rows = min(1.0, best.score), best.columns, len(rows)
     out.has_header = has_header(rows)
     if len(found) > 1 and found[1].score > 0.9 * best.score:
-        out.warning = f"ambiguous: {found[1].dialect} fits nearly as well"
+        out.ambiguous, out.warning = True, f"ambiguous: {found[1].dialect} fits nearly as well"
     return out

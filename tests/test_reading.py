@@ -1,8 +1,10 @@
+import random
+
 import pytest
 
 from tabloom.operators.errors import CsvError
 from tabloom.operators.profile import dictionary_analysis, statistics
-from tabloom.operators.sink import convert, csv_lines, double_text, pretty, write_arrow_ipc
+from tabloom.operators.sink import cells, convert, csv_lines, pretty, write_arrow_ipc
 from tabloom.options import ParquetOptions
 from tabloom.sources.cache import cache_path
 from tabloom.sources.csv import read_csv, read_csv_text
@@ -197,9 +199,14 @@ def test_writing(spark, tmp_path):
 
 
 def test_numbers_as_text(spark):
-    values = [0.0, 1.0, -2.5, 1234567.0, 0.0001, 0.00001, 123456.0, 3.14159265, 1e100, float("nan")]
-    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(double_text(__import__("pyspark").sql.functions.col("v"))).collect()]
+    rng = random.Random(3)
+    values = [0.0, 1.0, -2.5, 1234567.0, 0.0001, 0.00001, 123456.0, 3.14159265, 1e100, float("nan"), float("inf"), -float("inf"), 1e-300, 999999.5, 9999995.0, 99999.95, 0.99999949999, 1e21, 1e22, 1e-16, 9.99999e-17]
+    # halves in the seventh digit, as numbers and as they are stored
+    values += [n + k / 10**d for n in (1234, 99999, 12) for d in (2, 3, 5) for k in (5, 15, 25, 35, 45, 55)]
+    values += [round(rng.uniform(0, 10 ** rng.randint(0, 9)), 2) for _ in range(2000)] + [rng.choice([-1, 1]) * rng.randint(10**5, 10**7) * 10.0 ** rng.randint(-20, 14) * rng.choice([1, 0.5, 0.1]) for _ in range(3000)]
+    got = [r[0] for r in cells(spark.createDataFrame([(v,) for v in values], "v double")).collect()]
     assert got == [f"{v:g}" for v in values]
+    assert cells(spark.createDataFrame([(None,)], "v double")).first()[0] is None
 
 
 def test_profiles(spark):
