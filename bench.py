@@ -30,7 +30,9 @@ def main() -> None:
     work = tempfile.mkdtemp(prefix="bench-")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench").config("spark.driver.memory", "8g").config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"file://{work}/shared").config("spark.sql.files.maxPartitionBytes", "8m").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"file://{work}/shared").config("spark.sql.files.maxPartitionBytes", "8m")
+        # HotSpot doesn't compile methods of over 8000 bytes; Spark then generates smaller ones
+        .config("spark.sql.codegen.hugeMethodLimit", "8000").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")

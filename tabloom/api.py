@@ -17,7 +17,8 @@ RENAMED = {"usecols": "columns", "skip_rows": "skip"}
 
 
 def session() -> SparkSession:
-    return SparkSession.getActiveSession() or SparkSession.builder.appName("tabloom").getOrCreate()
+    """The active session, or one of our own, in which generated methods stay small enough for HotSpot to compile them."""
+    return SparkSession.getActiveSession() or SparkSession.builder.appName("tabloom").config("spark.sql.codegen.hugeMethodLimit", "8000").getOrCreate()
 
 
 def _options(named: dict) -> dict:
