@@ -7,21 +7,22 @@ word alone. A document's words are matched against these prefix words only; a ma
 document the shingle would have to lie (positional bound), whether it fits there (length bound),
 and is then verified word by word.
 
-Items come to the workers in blocks of a fixed number of shingles, each block a pass over the documents, so
-that what a worker holds is bounded however many items there are.
+Items come to the workers in blocks of a fixed number of shingles, so that what a worker holds is bounded however many
+items there are. With several blocks, each looks at the documents' texts by itself and writes the hits, of documents
+that have any, and these meet once at the end: the work grows with the blocks, not with their square.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, slices, with_fields
+from .common import bytes_of, slices, with_fields, written
 
 #: ASCII letters to lower case, all ASCII but letters and digits to a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -46,9 +47,9 @@ def item_blocks(items: DataFrame, window: int, item_id: str, text: str, most: in
     for key, t in rows.toLocalIterator():
         for s in shingles(words_of(t.encode()), window):
             block.setdefault(s, set()).add(key)
-        if len(block) >= most:
-            yield block
-            block = {}
+            if len(block) >= most:
+                yield block
+                block = {}
     if block:
         yield block
 
@@ -97,46 +98,46 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 8, least_item
     """docs with n_words, n_hit, n_items, item_ids (sorted as strings) and contaminated added.
 
     n_hit: words inside any occurrence of a shingle of any item; contaminated: n_items >= least_items.
-    Null and empty texts have no words; items with a null id or text, or without words, occur
-    nowhere; an id on several rows is one item, and repeated documents are each judged. Of the
-    documents' columns, those with the added names are replaced.
+    Null and empty texts have no words, texts of any length are searched whole; items with a null id or text, or without words, occur
+    nowhere; an id on several rows is one item, and repeated documents are each judged; an empty table of documents gives no
+    rows, one of items leaves every document clean. Of the documents' columns, those with the added names are replaced.
     """
     added = {"n_words": "long", "n_hit": "long", "n_items": "long", "item_ids": "array<string>"}
     kept = docs.drop(*added, "contaminated")
-
-    def judged(source: DataFrame, shingled: dict[tuple[bytes, ...], set], places_too: bool) -> DataFrame:
-        counts = document_counts(source, frozenset(w for s in shingled for w in s), text) if shingled else {}
-        index = source.sparkSession.sparkContext.broadcast(Index(shingled, counts))
-        schema = with_fields(source, added | ({"__places": "array<int>"} if places_too else {}))
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, text):
-                rows = []
-                for t in bytes_of(batch, text):
-                    words = words_of(t)
-                    places, found = index.value.hits(words)
-                    rows.append((len(words), len(places), len(found), sorted(found), *([sorted(places)] * places_too)))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], [*batch.schema.names, *list(added), *(["__places"] * places_too)])
-
-        return source.mapInArrow(search, schema)
-
     blocks = item_blocks(items, window, item_id, text, block)
     first, second = next(blocks, {}), next(blocks, None)
     if second is None:
-        out = judged(kept, first, False)
+        out = searched(kept, first, text, added)
     else:
-        # several blocks: each pass adds its places and items to what the earlier ones found
-        out = judged(kept, first, True)
-        while second is not None:
-            earlier = out.withColumnsRenamed({"__places": "__places_0", "item_ids": "__items_0"}).drop("n_words", "n_hit", "n_items")
-            out = judged(earlier, second, True)
-            out = out.withColumn("__places", F.array_union("__places_0", "__places")).withColumn("item_ids", F.array_sort(F.array_union("__items_0", "item_ids"))).drop("__places_0", "__items_0")
-            out = out.withColumn("n_hit", F.size("__places").cast("long")).withColumn("n_items", F.size("item_ids").cast("long"))
-            second = next(blocks, None)
-        out = out.drop("__places")
+        # rows are numbered in a table, so that every look at them sees the same numbers
+        numbered = written(kept.withColumn("__row", F.monotonically_increasing_id()), "documents")
+        places = {"n_words": "long", "__places": "array<int>", "item_ids": "array<string>"}
+        hits = None
+        for part in chain((first, second), blocks):
+            found = written(searched(numbered.select("__row", text), part, text, places).where("size(item_ids) > 0").drop(text, "n_words"), "hits")
+            hits = found if hits is None else hits.unionByName(found)
+        met = hits.groupBy("__row").agg(F.size(F.array_distinct(F.flatten(F.collect_list("__places")))).alias("__hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("__items"))
+        counted = searched(numbered, {}, text, {"n_words": "long"})
+        out = counted.join(met, "__row", "left").withColumn("item_ids", F.coalesce("__items", F.array().cast("array<string>")))
+        out = out.withColumn("n_hit", F.coalesce("__hit", F.lit(0)).cast("long")).withColumn("n_items", F.size("item_ids").cast("long")).select(*kept.columns, *added)
     return out.withColumn("contaminated", F.col("n_items") >= least_items)
 
 
-def digest(item_ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(item_ids)).encode()).hexdigest()
+def searched(docs: DataFrame, shingled: dict[tuple[bytes, ...], set], text: str, added: dict[str, str]) -> DataFrame:
+    """docs with columns of what one block of shingles has in them: n_words, n_hit, n_items, __places, item_ids, those that are in `added`."""
+    counts = document_counts(docs, frozenset(w for s in shingled for w in s), text) if shingled else {}
+    index = docs.sparkSession.sparkContext.broadcast(Index(shingled, counts))
+    schema = with_fields(docs, added)
+    kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "n_items": pa.int64(), "__places": pa.list_(pa.int32()), "item_ids": pa.list_(pa.string())}
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            rows: dict[str, list] = {name: [] for name in kinds}
+            for t in bytes_of(batch, text):
+                words = words_of(t)
+                places, found = index.value.hits(words)
+                for column, x in zip(rows.values(), (len(words), len(places), len(found), sorted(places), sorted(found))):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(rows[c], kinds[c]) for c in added)], [*batch.schema.names, *added])
+
+    return docs.mapInArrow(search, schema)
