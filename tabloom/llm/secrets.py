@@ -12,8 +12,10 @@ import hashlib
 import json
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,7 +77,7 @@ def guess_cost(value: str, words: dict[str, int], most_word: int = 20) -> float:
                         dates.setdefault(j, []).append(i)
     walk = repeat = 0
     for j in range(1, n + 1):
-        # a brute-force span: ten guesses a character, and one segment more where it begins
+        # a character of a brute-force span: ten guesses
         cost = best[j - 1] + BRUTE
         for i in range(max(0, j - most_word), j - 2):
             rank = words.get(low[i:j])
@@ -113,9 +115,10 @@ def guess_spans(text: str, lowered: bytes, base: list[tuple[int, int, int]], wor
     """Spans of context values that take 10**threshold guesses or more and aren't covered by one base span."""
     out = []
     if CONTEXT_HINT.search(lowered):
+        starts, reach = [s for s, _, _ in base], [-1, *accumulate((e for _, _, e in base), max)]
         for m in CONTEXT.finditer(text):
             start, end = m.span(1)
-            if not any(s <= start and end <= e for s, _, e in base) and guess_cost(m[1], words) >= threshold:
+            if reach[bisect_right(starts, start)] < end and guess_cost(m[1], words) >= threshold:
                 out.append((start, 3, end))
     return out
 
@@ -130,7 +133,7 @@ def scan(docs: DataFrame, dictionary: str | None = None, threshold: float = 8.0,
     spans: "kind:start:end" in code points, end exclusive, by start and kind, comma-joined; base_sha256:
     hex digest of the same of the three fixed kinds; redacted: the text with every span replaced by
     "[secret]", overlapping spans as one. dictionary: a vocabulary file with word ends; without one,
-    no word is known. Null texts have no spans and stay null; empty tables and repeated rows are as
+    no word is known. Null texts have no spans and stay null; texts and values of any length are scanned whole; empty tables and repeated rows are as
     any; of the input's columns, those with the added names are replaced.
     """
     added = {"n_assign": "long", "n_access": "long", "n_hex": "long", "n_guess": "long", "base_sha256": "string", "spans": "string", "redacted": "string"}
