@@ -22,14 +22,15 @@ from .common import fields_of, slices, with_fields
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 SCALE, DURATION, MUXER, WRITER = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACK, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, LACING, CODEC, AUDIO, RATE, CHANNELS, DEPTH = 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
-TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B
+TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE, FRAME_NS = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB, 0x23E383
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 DOC_TYPE, DOC_VERSION, READ_VERSION = 0x4282, 0x4287, 0x4285
-MASTERS = frozenset((SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_POSITIONS, EBML))
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
 
 
 class Packet(NamedTuple):
+    """timestamp: in nanoseconds."""
+
     track: int
     timestamp: int
     start: int
@@ -137,10 +138,15 @@ def frames(data: bytes, at: int, end: int, lacing: int) -> list[tuple[int, int]]
 
 
 def parse(data: bytes) -> Media:
-    """Packets of all clusters in file order; raises ValueError for what isn't such a file."""
+    """Packets of all clusters in file order; raises ValueError for what isn't such a file.
+
+    A frame in a lace begins where the one before it ends: after the track's frame duration, else an equal
+    share of its block's duration, else with its block. Simple blocks say whether they are keyframes; blocks in
+    groups are if they refer to no other block.
+    """
     media = Media(1_000_000, [], [], [], [])
     number = lambda a, b: int.from_bytes(data[a:b])
-    scale = media.scale
+    scale, each = media.scale, {}
     top = list(elements(data, 0, len(data)))
     if not top or top[0][0] != EBML:
         raise ValueError("no EBML header")
@@ -158,8 +164,8 @@ def parse(data: bytes) -> Media:
                         for f, p, q in elements(data, x, y):
                             if f == CODEC:
                                 track["codec"] = data[p:q].decode()
-                            elif f in (TRACK_NUMBER, TRACK_TYPE, LACING):
-                                track[{TRACK_NUMBER: "number", TRACK_TYPE: "type", LACING: "lacing"}[f]] = number(p, q)
+                            elif f in (TRACK_NUMBER, TRACK_TYPE, LACING, FRAME_NS):
+                                track[{TRACK_NUMBER: "number", TRACK_TYPE: "type", LACING: "lacing", FRAME_NS: "frame_ns"}[f]] = number(p, q)
                             elif f == AUDIO:
                                 for g, r, s in elements(data, p, q):
                                     if g == RATE:
@@ -167,6 +173,7 @@ def parse(data: bytes) -> Media:
                                     elif g in (CHANNELS, DEPTH):
                                         track["channels" if g == CHANNELS else "depth"] = number(r, s)
                         media.tracks.append(track)
+                        each[track.get("number")] = track.get("frame_ns", 0)
             elif kind == CLUSTER:
                 base, place = 0, len(media.clusters)
                 media.clusters.append(a)
@@ -174,11 +181,14 @@ def parse(data: bytes) -> Media:
                     if k == TIMESTAMP:
                         base = number(x, y)
                     elif k == SIMPLE_BLOCK:
-                        block(data, x, y, base, place, media.packets, None)
+                        block(data, x, y, base, scale, place, media.packets, each)
                     elif k == BLOCK_GROUP:
-                        for f, p, q in elements(data, x, y):
+                        inside = list(elements(data, x, y))
+                        lasts = next((number(p, q) * scale for f, p, q in inside if f == BLOCK_DURATION), 0)
+                        key = all(f != REFERENCE for f, _, _ in inside)
+                        for f, p, q in inside:
                             if f == BLOCK:
-                                block(data, p, q, base, place, media.packets, False)
+                                block(data, p, q, base, scale, place, media.packets, each, key, lasts)
             elif kind == CUES:
                 for k, x, y in elements(data, a, b):
                     if k == CUE_POINT:
@@ -192,11 +202,14 @@ def parse(data: bytes) -> Media:
     return media._replace(scale=scale)
 
 
-def block(data: bytes, at: int, end: int, base: int, cluster: int, packets: list[Packet], key: bool | None) -> None:
+def block(data: bytes, at: int, end: int, base: int, scale: int, cluster: int, packets: list[Packet], each: dict[int, int], key: bool | None = None, lasts: int = 0) -> None:
+    """Adds a block's frames. each: nanoseconds of a track's frame, 0 if not known; lasts: those of the block."""
     track, at, _ = read_vint(data, at)
     offset, flags = struct.unpack(">hB", data[at : at + 3])
-    for k, (a, b) in enumerate(frames(data, at + 3, end, flags >> 1 & 3)):
-        packets.append(Packet(track, base + offset, a, b, cluster, k, bool(flags & 0x80) if key is None else key))
+    found = frames(data, at + 3, end, flags >> 1 & 3)
+    step = each.get(track) or lasts // len(found)
+    for k, (a, b) in enumerate(found):
+        packets.append(Packet(track, (base + offset) * scale + k * step, a, b, cluster, k, bool(flags & 0x80) if key is None else key))
 
 
 def laced(parts: list[bytes], lacing: int) -> bytes:
@@ -220,7 +233,7 @@ def mux(samples: bytes, rate: int = 8000, frame: int = 1024, laces: int = 4, blo
     header = element(EBML, element(DOC_TYPE, b"matroska") + uint(DOC_VERSION, 4) + uint(READ_VERSION, 2))
     info = element(INFO, uint(SCALE, 1_000_000) + element(MUXER, b"tabloom") + element(WRITER, b"tabloom") + element(DURATION, struct.pack(">d", len(samples) * 1000 / rate)))
     audio = element(AUDIO, element(RATE, struct.pack(">d", rate)) + uint(CHANNELS, 1) + uint(DEPTH, 8))
-    tracks = element(TRACKS, element(TRACK, uint(TRACK_NUMBER, 1) + uint(TRACK_UID, 1) + uint(TRACK_TYPE, 2) + uint(LACING, 1) + element(CODEC, b"A_PCM/INT/LIT") + audio))
+    tracks = element(TRACKS, element(TRACK, uint(TRACK_NUMBER, 1) + uint(TRACK_UID, 1) + uint(TRACK_TYPE, 2) + uint(LACING, 1) + uint(FRAME_NS, frame * 1_000_000_000 // rate) + element(CODEC, b"A_PCM/INT/LIT") + audio))
     parts = [samples[i : i + frame] for i in range(0, len(samples), frame)]
     groups = [parts[i : i + laces] for i in range(0, len(parts), laces)]
     body, cues = [info, tracks], []
@@ -253,8 +266,8 @@ PACKETS = "track int, timestamp_ns long, byte_start long, byte_end long, cluster
 def packet_table(media: DataFrame, content: str = "content") -> DataFrame:
     """One row for each packet of each file in a binary column, the other columns kept; see PACKETS.
 
-    Null and damaged contents give no packets. Columns of the input with a packet column's name are
-    replaced. Rows come out in slices, so that a long file isn't held as packets at once.
+    Null, empty and damaged contents give no packets; repeated rows give theirs each; an empty table gives no rows. Columns
+    of the input with a packet column's name are replaced. A file of any length is parsed whole, a few files at a time.
     """
     names = list(fields_of(PACKETS))
     kept = media.drop(*names)
@@ -269,7 +282,7 @@ def packet_table(media: DataFrame, content: str = "content") -> DataFrame:
                     found = parse(data or b"")
                 except (ValueError, IndexError, struct.error):
                     continue
-                rows += [(i, p.track, p.timestamp * found.scale, *p[2:]) for p in found.packets]
+                rows += [(i, *p) for p in found.packets]
             if rows:
                 at, *columns = zip(*rows)
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
@@ -287,7 +300,8 @@ def media_columns(docs: DataFrame, text: str = "text", media: str | None = None)
 
     The text's payload (see payload_of) is muxed, parsed again, and its packets' bytes joined; all
     columns but n_bytes come from what was read back. feature: packets, clusters, cues, lacings'
-    frames, duration and mean and root mean square of the samples. Null counts as an empty text.
+    frames, the last frame's start and sums of the samples and their squares. Null counts as an empty text; texts of any length are
+    stored whole; repeated rows are stored each; an empty table gives no rows; of the input's columns, those with the added names are replaced.
     """
     added = fields_of(STORED) | ({media: "binary"} if media else {})
     names = list(added)
@@ -307,7 +321,7 @@ def media_columns(docs: DataFrame, text: str = "text", media: str | None = None)
                 back = b"".join([data[p.start : p.end] for p in found.packets])
                 x = np.frombuffer(back, np.uint8).astype(np.int64)
                 of = {c for _, _, c in found.cues} == {a - (len(vint(b - a)) + 4) for a, b in cluster_ranges(data)}
-                feature = f"packets={len(found.packets)};clusters={len(found.clusters)};cues={len(found.cues)};indexed={int(of)};laced={sum(p.lace > 0 for p in found.packets)};last_ms={found.packets[-1].timestamp * found.scale // 1_000_000};sum={int(x.sum())};squares={int((x * x).sum())}"
+                feature = f"packets={len(found.packets)};clusters={len(found.clusters)};cues={len(found.cues)};indexed={int(of)};laced={sum(p.lace > 0 for p in found.packets)};last_ms={found.packets[-1].timestamp // 1_000_000};sum={int(x.sum())};squares={int((x * x).sum())}"
                 rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, *[data] * bool(media)))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in others), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], [*others, *names])
