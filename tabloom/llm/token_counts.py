@@ -30,14 +30,11 @@ class Counts(dict):
         self.pairs = byte_pairs(path)
 
     def __missing__(self, piece: str) -> int:
-        n = self[piece] = len(self.pairs.library.encode(piece, add_special_tokens=False).ids)
+        n = self[piece] = len(self.pairs.numbers(piece))
         return n
 
     def of(self, text: str) -> int:
-        pieces = self.pairs.split(text)
-        if pieces is None:
-            return len(self.pairs.library.encode(text, add_special_tokens=False).ids)
-        frequency = Counter(pieces)
+        frequency = Counter(self.pairs.split(text))
         return sum(map(mul, map(self.__getitem__, frequency), frequency.values()))
 
 
@@ -50,8 +47,8 @@ def counts_of(path: str) -> Counts:
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, text: str = "text") -> DataFrame:
     """docs with n_bytes, n_tokens and over_limit (n_tokens > limit) added.
 
-    tokenizer: file of a byte-level BPE vocabulary. Null and empty texts have 0 bytes and 0 tokens;
-    repeated rows are counted each; of the input's columns, those with the added names are replaced.
+    tokenizer: file of a byte-level BPE vocabulary. Null and empty texts have 0 bytes and 0 tokens; texts of any length
+    are counted whole; repeated rows are counted each; an empty table gives no rows; of the input's columns, those with the added names are replaced.
     """
     added = {"n_bytes": "long", "n_tokens": "long"}
     kept = docs.drop(*added, "over_limit")
