@@ -10,25 +10,28 @@ wherever the matching statistic (the longest suffix seen earlier) reaches the wi
 words are marked.
 
 Copies of a passage within a block of documents are known as such in the block and cost nothing
-further, so that an anchor has at most one passage a block and distinct surrounding.
+further, so that an anchor has at most one passage a block and distinct surrounding. Where that is many still, the
+anchor's windows are dealt out one by one, each to the place of its own words, so that a run of words that half the
+corpus has, each time among others, isn't one task's work.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import blocked
 
 ANCHOR = 8
+#: Passages of an anchor, copies in a block counted once, beyond which its windows are dealt out one by one.
+MANY = 10_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,17 +74,18 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Block:
-    """The documents of a block in order of id and text, with the passages of their windows."""
+    """The documents of a block in order of id and the text's hash, with the passages of their windows."""
 
     def __init__(self, block: pa.Table, window: int):
-        ids, texts = block.column("id").to_pylist(), block.column("text").cast(pa.binary()).to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0, texts[i] or b""))
-        self.ids = [ids[i] for i in order]
+        ids, h, texts = block.column("id").to_pylist(), block.column("h").to_pylist(), block.column("text").cast(pa.binary()).to_pylist()
+        rank = {x: k for k, x in enumerate(sorted({i for i in ids if i is not None}))}
+        order = sorted(range(len(ids)), key=lambda i: (rank.get(ids[i], len(rank)), h[i]))
+        self.ids, self.h = [ids[i] for i in order], [h[i] for i in order]
         self.words = [words_of(texts[i]) for i in order]
         self.window = window
 
     def passages(self) -> tuple[np.ndarray, ...]:
-        """(document, first window, number of windows, anchor, whether a window comes twice nearby) of each passage."""
+        """(document, first window, number of windows, anchor, whether a window comes twice nearby, hash) of each passage."""
         window, anchor = self.window, min(ANCHOR, self.window)
         at: dict[bytes, int] = {}
         for t in self.words:
@@ -90,7 +94,7 @@ class Block:
                     at[w] = len(at)
         of_word = np.fromiter((xxhash.xxh64_intdigest(w) for w in at), np.uint64, len(at))
         long = [k for k, t in enumerate(self.words) if len(t) >= window]
-        parts: list[list[np.ndarray]] = [[], [], [], [], []]
+        parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
         for k in long:
             t = self.words[k]
             h = of_word[np.fromiter(map(at.__getitem__, t), np.int64, len(t))]
@@ -109,9 +113,10 @@ class Block:
                 twice[d:] |= full[d:] == full[:-d]
             sizes = np.diff(np.concatenate((starts, [n])))
             near = np.logical_or.reduceat(twice, starts) | (sizes > reach)
-            for out, x in zip(parts, (np.full(len(starts), k), starts, sizes, least[starts].view(np.int64), near)):
+            print_ = (full[starts] * BASE ^ full[starts + sizes - 1]) * BASE + sizes.astype(np.uint64)
+            for out, x in zip(parts, (np.full(len(starts), k), starts, sizes, least[starts].view(np.int64), near, print_)):
                 out.append(x)
-        kinds = (np.int64, np.int64, np.int64, np.int64, bool)
+        kinds = (np.int64, np.int64, np.int64, np.int64, bool, np.uint64)
         return tuple(np.concatenate(x) if x else np.empty(0, kind) for x, kind in zip(parts, kinds))
 
 
@@ -125,15 +130,11 @@ def _rolled(h: np.ndarray, size: int) -> np.ndarray:
     return out ^ out >> np.uint64(29)
 
 
-def _marked(passages: list[tuple[int, list[bytes], int]], window: int) -> dict[int, list[int]]:
-    """place -> first words of the windows seen earlier, for (place, words, windows) in corpus order, all distinct."""
+def _marked(passages: list[tuple[int, list[bytes]]], window: int) -> dict[int, list[int]]:
+    """place -> first words of the windows seen earlier, for (place, words) in corpus order, all distinct."""
     found: dict[int, list[int]] = {}
-    seen = Counter(tuple(words[i : i + window]) for _, words, n in passages for i in range(n))
-    # a passage none of whose windows comes again needs no automaton
-    again = [p for p in passages if any(seen[tuple(p[1][i : i + window])] > 1 for i in range(p[2]))]
-    del seen
     automaton = SuffixAutomaton()
-    for k, (place, words, _) in enumerate(again):
+    for k, (place, words) in enumerate(passages):
         starts = [i - window + 1 for i, w in enumerate(words) if automaton.extend(w) >= window]
         if starts:
             found[place] = starts
@@ -148,50 +149,58 @@ def _spans(starts: list[int], window: int) -> Iterator[tuple[int, int]]:
         yield run[0], run[-1] + window
 
 
-def without_repeats(docs: DataFrame, window: int = 20, id_column: str = "doc_id", text: str = "text", kept_text: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 20, id_column: str = "doc_id", text: str = "text", kept_text: bool = False, many: int = MANY) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256[, kept]) of each document.
 
     Words are runs of anything but ASCII white space. Removed is each word in a window of `window` words that
     also starts earlier: in a document of a smaller id, or in this one; a null id comes last, and
-    rows with one id come in order of their texts. kept: the other words, joined by a space; kept_sha256: its digest. Null and
-    empty texts have no words; an empty table gives no rows.
+    rows with one id come in order of the hashes of their texts. kept: the other words, joined by a space; kept_sha256: its digest. Null and
+    empty texts have no words; texts of any length are compared whole; an empty table gives no rows; further columns are left out.
     """
     kind = docs.schema[id_column].dataType.simpleString()
-    rows = blocked(docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")), "id", "text")
+    rows = blocked(docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("h")), "id", "text")
 
     def anchors(block: pa.Table) -> pa.Table:
         if not block.num_rows:
-            return pa.table({"anchor": pa.array([], pa.int64()), "block": pa.array([], pa.int32())})
-        found = np.unique(Block(block, window).passages()[3])
-        return pa.table({"anchor": pa.array(found), "block": pa.array(np.full(len(found), block.column("block")[0].as_py(), np.int32))})
+            return pa.table({"anchor": pa.array([], pa.int64()), "block": pa.array([], pa.int32()), "passages": pa.array([], pa.int32())})
+        *_, anchor, _, print_ = Block(block, window).passages()
+        _, first = np.unique(print_ ^ anchor.view(np.uint64) * BASE, return_index=True)
+        found, n = np.unique(anchor[first], return_counts=True)
+        return pa.table({"anchor": pa.array(found), "block": pa.array(np.full(len(found), block.column("block")[0].as_py(), np.int32)), "passages": pa.array(n, pa.int32())})
 
-    named = rows.groupBy("block").applyInArrow(anchors, "anchor long, block int").repartition("anchor")
-    shared = named.groupBy("anchor").agg(F.min("block").alias("low"), F.max("block").alias("high")).where("low < high")
-    shared = named.join(shared, "anchor", "left_semi")
+    # the anchors that several blocks have, for each of these, from one look at the texts
+    same = Window.partitionBy("anchor")
+    named = rows.groupBy("block").applyInArrow(anchors, "anchor long, block int, passages int")
+    counted = named.withColumn("n", F.count("*").over(same)).withColumn("total", F.sum("passages").over(same))
+    shared = counted.where((F.col("n") > 1) | (F.col("total") > many)).select("anchor", "block", (F.col("total") > many).alias("hot"))
 
-    passage_names = ["anchor", "doc", "row", "block", "start", "n", "words"]
-    passage_kinds = (pa.int64(), None, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    passage_names = ["anchor", "doc", "h", "row", "block", "start", "n", "words"]
+    passage_kinds = (pa.int64(), None, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
 
     def passages(block: pa.Table, common: pa.Table) -> pa.Table:
         out: list[tuple] = []
         kinds = [k or block.schema.field("id").type for k in passage_kinds]
         if block.num_rows:
             here, number = Block(block, window), block.column("block")[0].as_py()
-            doc, start, n, anchor, near = here.passages()
+            doc, start, n, anchor, near, _ = here.passages()
             values, counts = np.unique(anchor, return_counts=True)
             twice = np.isin(anchor, values[counts > 1])
-            wanted = np.flatnonzero(np.isin(anchor, common.column("anchor").to_numpy()) | twice | near)
+            known, hot = common.column("anchor").to_numpy(), common.column("hot").to_numpy(zero_copy_only=False)
+            wanted = np.flatnonzero(np.isin(anchor, known) | twice | near)
+            spread = np.isin(anchor, known[hot])
             first: set[tuple[int, bytes]] = set()
-            for a, k, s, m in zip(*(x[wanted].tolist() for x in (anchor, doc, start, n))):
-                line = b" ".join(here.words[k][s : s + m + window - 1])
-                key = a, line
-                # of equal passages only the first of the block is looked at; null words: all seen earlier
-                out.append((a, here.ids[k], k, number, s, m, None if key in first else line))
-                first.add(key)
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 7, kinds)], passage_names)
-
-    met = rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(passages, f"anchor long, doc {kind}, row int, block int, start int, n int, words binary")
-    in_order = met.repartition("anchor").sortWithinPartitions("anchor", F.col("doc").asc_nulls_last(), "row", "start")
+            for a, k, s, m, each in zip(*(x[wanted].tolist() for x in (anchor, doc, start, n, spread))):
+                words = here.words[k]
+                for s, m in ((i, 1) for i in range(s, s + m)) if each else ((s, m),):  # noqa: B020, PLW2901
+                    line = b" ".join(words[s : s + m + window - 1])
+                    key = (int.from_bytes(xxhash.xxh64_digest(line), signed=True) if each else a), line
+                    # of equal passages only the first of the block is looked at; null words: all seen earlier
+                    out.append((key[0], here.ids[k], here.h[k], k, number, s, m, None if key in first else line))
+                    first.add(key)
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 8, kinds)], passage_names)
+
+    met = rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(passages, f"anchor long, doc {kind}, h long, row int, block int, start int, n int, words binary")
+    in_order = met.repartition("anchor").sortWithinPartitions("anchor", F.col("doc").asc_nulls_last(), "h", "row", "start")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, distinct, seen = None, [], set()
@@ -199,7 +208,7 @@ def without_repeats(docs: DataFrame, window: int = 20, id_column: str = "doc_id"
         out: list[tuple[int, int, int, int]] = []
 
         def flush() -> None:
-            if len(distinct) > 1 or distinct and distinct[0][2] > 1:
+            if len(distinct) > 1 or distinct and len(distinct[0][1]) > window:
                 for place, starts in _marked(distinct, window).items():
                     block, row, start = places[place]
                     out.extend((block, row, start + a, start + b) for a, b in _spans(starts, window))
@@ -210,7 +219,7 @@ def without_repeats(docs: DataFrame, window: int = 20, id_column: str = "doc_id"
             return made
 
         for batch in batches:
-            for anchor, row, block, start, n, words in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6))):
+            for anchor, row, block, start, n, words in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4, 5, 6, 7))):
                 if anchor != now:
                     flush()
                     now, distinct, seen, places = anchor, [], set(), []
@@ -218,7 +227,7 @@ def without_repeats(docs: DataFrame, window: int = 20, id_column: str = "doc_id"
                     out.append((block, row, start, start + n + window - 1))
                 else:
                     seen.add(words)
-                    distinct.append((len(places), words.split(), n))
+                    distinct.append((len(places), words.split()))
                     places.append((block, row, start))
             yield record()
         flush()
