@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..options import ParquetOptions
 from .errors import CsvError
+from .profile import dictionary_analysis
 from .table import Table
 
 
@@ -25,7 +26,14 @@ def write_parquet(df: DataFrame, path: str, options: ParquetOptions | None = Non
     o = options or ParquetOptions()
     if o.compression not in o.CODECS:
         raise ValueError(f"compression is one of {', '.join(o.CODECS)}")
-    writer = df.write.mode(mode).option("compression", o.CODECS[o.compression]).option("parquet.enable.dictionary", str(o.enable_dictionary).lower())
+    writer = df.write.mode(mode).option("compression", o.CODECS[o.compression])
+    if o.enable_dictionary == "auto":
+        # one more scan counts the distinct values, approximately
+        writer.option("parquet.enable.dictionary", "false")
+        for r in dictionary_analysis(df, exact=False).where("viable").select("column").collect():
+            writer.option(f"parquet.enable.dictionary#{r.column}", "true")
+    else:
+        writer.option("parquet.enable.dictionary", str(o.enable_dictionary).lower())
     writer.option("maxRecordsPerFile", 0).option("parquet.block.row.count.limit", o.row_group_size).option("parquet.compression.codec.zstd.level", o.compression_level).parquet(path)
 
 

@@ -90,6 +90,6 @@ class ParquetOptions:
     compression: str = "zstd"
     compression_level: int = 3
     row_group_size: int = 1_000_000
-    enable_dictionary: bool = False
+    enable_dictionary: bool | str = False  # "auto": for the columns where it pays
 
     CODECS = {"zstd": "zstd", "snappy": "snappy", "gzip": "gzip", "lz4": "lz4_raw", "none": "uncompressed", "uncompressed": "uncompressed"}

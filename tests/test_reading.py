@@ -1,10 +1,11 @@
+import json
 import random
 
 import pytest
 
 from tabloom.operators.errors import CsvError
 from tabloom.operators.profile import dictionary_analysis, statistics
-from tabloom.operators.sink import cells, convert, csv_lines, pretty, write_arrow_ipc
+from tabloom.operators.sink import cells, convert, csv_lines, pretty, write_arrow_ipc, write_parquet
 from tabloom.options import ParquetOptions
 from tabloom.sources.cache import cache_path
 from tabloom.sources.csv import read_csv, read_csv_text
@@ -79,6 +80,87 @@ def test_records_over_many_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+@pytest.mark.parametrize("split", [40, 300, 1 << 27])
+def test_folders(spark, tmp_path, split):
+    """Headers, skipped lines and open quotes are each file's own, be it a row, a split or many."""
+    want = []
+    for k in range(12):
+        n = (k * 7) % 9
+        body = "".join(f'{k},"{i}\n{i}"\n' if i % 3 == 0 else f"{k},{i}\r\n" for i in range(n))
+        want += [(k, f"{i}\n{i}" if i % 3 == 0 else str(i)) for i in range(n)]
+        if k == 5:
+            body, want = body + '5,"open', [*want, (5, '"open')]
+        (tmp_path / f"{k:02}.csv").write_bytes(f"note\na,b\n{body}".encode())
+    (tmp_path / "_hidden").write_text("x,y\n1,2\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        t = read_csv(spark, str(tmp_path), separator=",", skip=1, schema=[D.INT32, D.STRING], error_mode="permissive")
+        assert sorted(rows(t)) == sorted(want) and t.num_rows == len(want)
+        assert [r.a for r in t.head(5).collect()] == [k for k, _ in want[:5]] and [r.a for r in t.tail(2).collect()] == [k for k, _ in want[-2:]]
+        assert [(r.code, r.line) for r in t.errors.collect()] == [("UNCLOSED_QUOTE", 2 + (5 * 7) % 9)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_line_ends_far_into_a_file(spark, tmp_path):
+    """CRs that come after the part of the file that is looked at; quoted ones stay, in split files too."""
+    head = "a,b\n" + "".join(f"{i},{'x' * 90}\n" for i in range(13_000))
+    tail = "\r".join(f"{i},y" for i in range(13_000, 13_050)) + '\r13050,"p\rq"\n13051,"r\r\ns\nt"\r\n13052,z'
+    (path := tmp_path / "x.csv").write_bytes((head + tail).encode())
+    want = [(i, "x" * 90) for i in range(13_000)] + [(i, "y") for i in range(13_000, 13_050)] + [(13_050, "p\rq"), (13_051, "r\r\ns\nt"), (13_052, "z")]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for split in (100_000, 1 << 27):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            t = read_csv(spark, str(path), separator=",")
+            assert sorted(rows(t)) == want and t.num_rows == len(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (path := tmp_path / "y.csv").write_bytes(head.replace("\n", "\r").encode() + b'1,"p\rq"\n2,"r\r\ns"\r\n3,u\r')
+    assert sorted(rows(read_csv(spark, str(path), separator=",")))[:5] == [(0, "x" * 90), (1, "p\rq"), (1, "x" * 90), (2, "r\r\ns"), (2, "x" * 90)]
+
+
+@pytest.mark.parametrize("ends", ["\n", "\r\n", "\r"])
+@pytest.mark.parametrize("sep, backslash", [(",", False), ("~|", False)])
+def test_mixed_ends_against_the_push_parser(spark, ends, sep, backslash):
+    """Any mixture of line ends, quotes and separators gives what the byte by byte parser gives."""
+    rng = random.Random(f"{ends}{sep}{backslash}")
+    for _ in range(12):
+        parts = ["a", '"', sep, "\n", "\r", "\r\n", '"b', '""', "c"] + ["\\"] * backslash
+        text = f"h1{sep}h2{ends}" + "".join(rng.choice(parts) for _ in range(40)) + ends
+        p = StreamingParser(separator=sep, escape_backslash=backslash, null_values="", trim_ws=False)
+        p.feed(text.encode())
+        p.finish()
+        want = [tuple(r) for b in p for r in zip(*b.columns.values())]
+        got = read_csv_text(spark, text, separator=sep, schema=[D.STRING, D.STRING], escape_backslash=backslash, null_values="", trim_ws=False, multiline=True)
+        plain = [tuple(x if x is None else x.replace("\r\n", "\n").replace("\r", "\n") for x in r) for r in rows(got)]
+        assert plain == [tuple(x if x is None else x.replace("\r\n", "\n").replace("\r", "\n") for x in r) for r in want], text
+
+
+def test_opening_reads_the_start_alone(spark, tmp_path):
+    (path := tmp_path / "x.csv").write_text('A,B\n1,"x"\n2,"y\nz"\n')
+    jobs = spark.sparkContext.statusTracker()
+    seen = len(jobs.getJobIdsForGroup(None))
+    t = read_csv(spark, str(path), cache=True)
+    assert t.names == ["A", "B"] and kinds(t) == ["INT32", "STRING"] and len(jobs.getJobIdsForGroup(None)) == seen
+    assert t.num_rows == 2 and len(jobs.getJobIdsForGroup(None)) > seen
+    # rows, and whether records go over lines, are in the side-car now
+    seen = len(jobs.getJobIdsForGroup(None))
+    assert read_csv(spark, str(path), cache=True).num_rows == 2 and len(jobs.getJobIdsForGroup(None)) == seen
+    assert rows(read_csv(spark, str(path), cache=True)) == [(1, "x"), (2, "y\nz")]
+
+
+def test_errors_beyond_the_most(spark):
+    t = read_csv_text(spark, "A,B\n" + "1\n" * 7 + "2,x\n", separator=",", error_mode="best_effort", max_errors=3)
+    assert (t.errors.count(), t.error_count, t.suppressed_count) == (3, 7, 4)
+
+
+def test_null_bytes(spark):
+    t = read_csv_text(spark, "A,B\n1,a\0b\0\n", separator=",", error_mode="permissive", schema=[D.INT32, D.STRING])
+    assert [(r.code, r.line) for r in t.errors.collect()] == [("NULL_BYTE", 2)] * 2
+
+
 def test_line_ends_in_quotes_between_long_separators(spark):
     t = read_csv_text(spark, 'A~|B\n1~|x "y\nz" w\n2~|"p~|q"\n', separator="~|")
     assert rows(t) == [(1, 'x "y\nz" w'), (2, "p~|q")]
@@ -209,6 +291,15 @@ def test_numbers_as_text(spark):
     assert cells(spark.createDataFrame([(None,)], "v double")).first()[0] is None
 
 
+def test_dictionaries_where_they_pay(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    df = spark.range(20_000).selectExpr("id", "concat('v', id % 7) AS few", "concat('v', id) AS many").repartition(1)
+    write_parquet(df, str(tmp_path / "out"), ParquetOptions(enable_dictionary="auto"))
+    row = pq.ParquetFile(next((tmp_path / "out").glob("*.parquet"))).metadata.row_group(0)
+    assert {row.column(i).path_in_schema: row.column(i).has_dictionary_page for i in range(3)} == {"id": False, "few": True, "many": False}
+
+
 def test_profiles(spark):
     t = read_csv_text(spark, "n,s,e\n" + "".join(f"{i},{'ab' * (i % 3)},\n" for i in range(1, 21)), separator=",")
     found = {r["column"]: r for r in statistics(t.df).collect()}
@@ -236,6 +327,37 @@ def test_streaming_at_every_split():
         p.feed(b"x")
 
 
+def test_streaming_errors():
+    text = b'a,a\n1,2\n3\n4,x"y\n5,"p"q"\n6,"open'
+    p = StreamingParser(error_mode="permissive")
+    p.feed(text[:9])
+    assert p.has_errors() and [e.code for e in p.errors()] == ["DUPLICATE_COLUMN_NAMES"]
+    p.feed(text[9:])
+    p.finish()
+    found = [(e.code, e.line, e.column, e.byte_offset) for e in p.errors()]
+    assert found[1:3] == [("INCONSISTENT_FIELD_COUNT", 3, 0, 8), ("QUOTE_IN_UNQUOTED_FIELD", 4, 2, 10)] and found[-1][0] == "INVALID_QUOTE_ESCAPE"
+    few = StreamingParser(error_mode="best_effort", max_errors=1)
+    few.feed(text)
+    few.finish()
+    assert len(few.errors()) == 1 and few.suppressed_count == few.error_count - 1 > 0
+    fast = StreamingParser(error_mode="fail_fast")
+    fast.feed(b"a,b\n1,2\n3\n4,5\n")
+    fast.finish()
+    assert [r for b in fast for r in zip(*b.columns.values())] == [("1", "2")] and fast.errors()[0].line == 3
+    quiet = StreamingParser()
+    quiet.feed(text)
+    quiet.finish()
+    assert not quiet.has_errors()
+
+
+def test_streaming_a_large_feed():
+    data = b"a,b\n" + b"1,x\n" * 200_000
+    p = StreamingParser()
+    p.feed(data)
+    p.finish()
+    assert sum(b.num_rows for b in p) == 200_000
+
+
 def test_streaming_types(spark):
     p = StreamingParser()
     for i in range(len(TEXT)):
@@ -254,4 +376,16 @@ def test_command_line(spark, tmp_path, capsys):
         assert capsys.readouterr().out.strip() == out
     assert main(["convert", str(path), "-o", str(tmp_path / "o")]) == 0 and spark.read.parquet(str(tmp_path / "o")).count() == 3
     assert main(["select", str(path), "-c", "Q"]) == 1 and main(["version"]) == 0
+    capsys.readouterr()
+    assert main(["dialect", str(path), "-j"]) == 0
+    assert json.loads(capsys.readouterr().out)["low_confidence"] is False
+    (one := tmp_path / "one.csv").write_text("abc\n")
+    assert main(["dialect", str(one)]) == 1 and "--force" in capsys.readouterr().err
+    assert main(["dialect", str(one), "-f", "-j"]) == 0
+    shown = capsys.readouterr()
+    assert json.loads(shown.out)["low_confidence"] is True and "Low confidence" in shown.err
+    assert main(["count", str(path), "-p", "-v"]) == 0
+    shown = capsys.readouterr()
+    assert shown.out.strip() == "3" and "100%" in shown.err and "separator ," in shown.err
+    assert main(["help"]) == 0 and "dialect" in capsys.readouterr().out
     assert main(["info", str(path)]) == 0 and main(["stats", str(path), "-j"]) == 0 and main(["dialect", str(path)]) == 0 and main(["pretty", str(path)]) == 0 and main(["sample", str(path)]) == 0
