@@ -35,7 +35,7 @@ def int64(x: Column) -> Column:
 
 
 def float64(x: Column, mark: str = ".") -> Column:
-    bare = F.regexp_replace(x, r"^\+", "")
+    bare = F.when(F.startswith(x, F.lit("+")), F.substring(x, F.lit(2), F.length(x))).otherwise(x)
     number = bare if mark == "." else F.replace(bare, F.lit(mark), F.lit("."))
     return guarded(bare, floats(mark), number.try_cast("double"))
 
@@ -46,8 +46,12 @@ def boolean(x: Column, trues: list[str] | None = None, falses: list[str] | None
     return F.when(x.isin(yes), True).when(x.isin(no), False)
 
 
+def dashed(x: Column) -> Column:
+    return F.when(F.contains(x, F.lit("/")), F.translate(x, "/", "-")).otherwise(x)
+
+
 def date(x: Column) -> Column:
-    return guarded(x, DATE, F.translate(x, "/", "-").try_cast("date"))
+    return guarded(x, DATE, dashed(x).try_cast("date"))
 
 
 def part(x: Column, pattern: str, k: int) -> Column:
@@ -68,7 +72,7 @@ def timestamp(x: Column) -> Column:
     valid = x.rlike(TIMESTAMP) & (second < 60) & (F.abs(ahead) <= 14) & (F.abs(behind) <= 59) & (F.length(x) >= 15)
     general = F.when(valid, minute + F.make_dt_interval(F.lit(0), F.lit(0), -(ahead * 60 + behind), second))
     # the usual form needs no taking apart
-    return F.when(x.rlike(USUAL), F.translate(x, "/", "-").try_cast("timestamp_ntz")).otherwise(general)
+    return F.when(x.rlike(USUAL), dashed(x).try_cast("timestamp_ntz")).otherwise(general)
 
 
 def micros_ntz(micros: Column) -> Column:

@@ -60,6 +60,11 @@ def listed(spark: SparkSession, path: str) -> list:
     return sorted(found, key=lambda f: f.getPath().toString())
 
 
+def without_last(text: Column, ends: str) -> Column:
+    """A text without the end of its last line."""
+    return F.when(F.endswith(text, F.lit(ends)), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+
+
 def lines(spark: SparkSession, path: str, ends: str = "\n") -> DataFrame:
     """(file, block, index, line): block is where the line's split begins, and index, in a file's first block, how many lines come before it."""
     found = [(f.getPath().toString(), f.getLen()) for f in listed(spark, path)]
@@ -70,7 +75,7 @@ def lines(spark: SparkSession, path: str, ends: str = "\n") -> DataFrame:
         text = spark.read.option("lineSep", ends).text(parts[0]).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
         out = text.select("file", "block", F.monotonically_increasing_id().bitwiseAND(F.lit(IN_PARTITION)).alias("index"), "line")
     if parts[1]:
-        text = spark.read.text(parts[1] if parts[0] else path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", f"{literal(ends)}\\z", "").alias("text")).where("text <> ''")
+        text = spark.read.text(parts[1] if parts[0] else path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), without_last(F.col("value"), ends).alias("text")).where("text <> ''")
         cut = text.select("file", F.lit(0).cast("long").alias("block"), F.posexplode(F.split("text", literal(ends), -1)).alias("index", "line"))
         cut = cut.withColumn("index", F.col("index").cast("long"))
         out = cut if out is None else out.unionByName(cut)

@@ -389,3 +389,45 @@ def test_command_line(spark, tmp_path, capsys):
     assert shown.out.strip() == "3" and "100%" in shown.err and "separator ," in shown.err
     assert main(["help"]) == 0 and "dialect" in capsys.readouterr().out
     assert main(["info", str(path)]) == 0 and main(["stats", str(path), "-j"]) == 0 and main(["dialect", str(path)]) == 0 and main(["pretty", str(path)]) == 0 and main(["sample", str(path)]) == 0
+
+
+def test_functions_with_keywords(spark, tmp_path):
+    import tabloom
+    from tabloom import api
+
+    (path := tmp_path / "x.csv").write_text("# note\nA;B;C\n1;x;2,5\n\n2;y;3,5\n3;z;4,5\n")
+    t = tabloom.read_csv(str(path), separator=";", comment="#", decimal_mark=",", num_threads=3, usecols=["A", "C"], n_rows=2, dtype={"A": "int64"}, encoding=None)
+    assert t.names == ["A", "C"] and rows(t) == [(1, 2.5), (2, 3.5)] and t.num_rows == 2
+    assert [r["B"] for r in api.read_csv_rows(str(path), separator=";", comment="#", skip_rows=0)] == ["x", "y", "z"]
+    assert [b.num_rows for b in api.read_csv_batched(str(path), batch_size=2, separator=";", comment="#")] == [2, 1]
+    made = tabloom.to_parquet(str(path), str(tmp_path / "out"), compression="gzip", row_group_size=2, separator=";", comment="#", error_mode="permissive")
+    assert (made.rows, made.columns, made.errors) == (3, 3, 0) and spark.read.parquet(str(tmp_path / "out")).count() == 3
+    (bad := tmp_path / "bad.csv").write_text("A,B\n1\n")
+    with pytest.raises(CsvError):
+        tabloom.to_parquet(str(bad), str(tmp_path / "none"), separator=",", error_mode="fail_fast")
+    (wide := tmp_path / "x.txt").write_text("ab 12\ncd 34\n")
+    f = tabloom.read_fwf(str(wide), col_starts=[0, 3], col_ends=[2, -1], col_names=["s", "n"], guess_integer=True, num_threads=1)
+    assert f.names == ["s", "n"] and rows(f) == [("ab", 12), ("cd", 34)]
+    assert api.detect_dialect(str(path)).dialect.separator == ";"
+
+
+def test_standard_input(spark, capsys, monkeypatch):
+    import io
+    import sys
+
+    from tabloom.cli import main
+
+    monkeypatch.setattr(sys, "stdin", io.TextIOWrapper(io.BytesIO(b"A,B\n1,x\n2,y\n")))
+    assert main(["count", "-"]) == 0 and capsys.readouterr().out.strip() == "2"
+
+
+def test_streamed_files_with_headers(spark, tmp_path):
+    from tabloom.streaming.parser import read_csv_stream
+
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.csv").write_text(f"note\nA,B\n{k},x\nA,B\n{k},y\n")
+    got = read_csv_stream(spark, str(tmp_path / "in"), "note\nA,B\n", separator=",", skip=1, schema=[D.STRING, D.STRING])
+    q = got.writeStream.format("memory").queryName("headed").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(tuple(r) for r in spark.table("headed").collect()) == sorted([(str(k), v) for k in range(3) for v in "xy"] + [("A", "B")] * 3)
