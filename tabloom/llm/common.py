@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +35,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read again: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for df in tables:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -55,6 +65,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         yield batch.slice(start)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches put together to about `rows` rows; for columns of words, not of texts."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
 
@@ -63,6 +85,16 @@ def bytes_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()
 
 
+def rolled(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of `size` hashes."""
+    out = np.zeros(max(0, len(h) - size + 1), np.uint64)
+    for k in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - size + 1 + k]
+    out ^= out >> np.uint64(31)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ out >> np.uint64(29)
+
+
 def block_of(blocks: int, *keys: str | Column) -> Column:
     """A block number that depends on the row alone, so that a recomputed task gives it again."""
     return F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int")
@@ -81,3 +113,26 @@ def with_fields(df: DataFrame, added: dict[str, str]) -> StructType:
 def fields_of(ddl: str) -> dict[str, str]:
     """Names and types of a flat "a long, b string"."""
     return dict(x.split(" ", 1) for x in ddl.split(", "))
+
+
+class Buckets:
+    """Distinct sorted 64-bit keys, found by their first bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = np.uint64(64 - max(1, len(keys)).bit_length())
+        self.begins = np.searchsorted(keys >> self.shift, np.arange((1 << 64 - int(self.shift)) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 where there is none."""
+        out = np.full(len(h), -1, np.int32)
+        bucket = (h >> self.shift).astype(np.int64)
+        at, end = self.begins[bucket], self.begins[bucket + 1]
+        rows = np.flatnonzero(at < end)
+        at, end, h = at[rows], end[rows], h[rows]
+        while len(rows):
+            same = self.keys[at] == h
+            out[rows[same]] = at[same]
+            more = ~same & (at + 1 < end)
+            rows, at, end, h = rows[more], at[more] + 1, end[more], h[more]
+        return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _star(pairs: DataFrame, small: bool) -> DataFrame:
@@ -34,6 +34,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, False)
-        now, before = written(_star(large, True), "edges"), seen
+        last, now, before = now, written(_star(large, True), "edges"), seen
+        discard(last)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, slices, with_fields, written
+from .common import bytes_of, discard, rolled, slices, with_fields, written
 from .components import components
 
 BITS = 64
@@ -44,6 +44,13 @@ def shingle_hashes(text: bytes | None, words: int, seed: int = 42) -> np.ndarray
     return np.array([digest(line[a:b], seed) for a, b in cut], np.uint64)
 
 
+def run_hashes(text: bytes | None, *sizes: int) -> list[np.ndarray]:
+    """For each size, a hash of every run of so many words (of all words, if there are fewer) from one hash of each word."""
+    tokens = text.lower().split() if text else []
+    words = np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
+    return [rolled(words, min(k, max(1, len(words)))) for k in sizes]
+
+
 def fingerprint(hashes: np.ndarray) -> int:
     """Bit by bit, 1 where over half of the hashes have 1; as a signed 64-bit number."""
     ones = np.zeros(BITS, np.int64)
@@ -170,7 +177,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_column:
 
     component_id: the least id that links of at most `radius` differing bits reach, itself included.
     Null and empty texts have fingerprint zero and are linked like any other; rows with a null id
-    get a fingerprint and the least id of their component, null if it has none; repeated rows stay.
+    get a fingerprint and the least id of their component, null if it has none; repeated rows stay; texts of any length
+    are fingerprinted whole; an empty table gives no rows; further columns are left out, whatever their names.
     """
     prints = written(fingerprints(docs.select(id_column, text), words, text), "prints")
     of = groups(prints, radius, id_column)
@@ -195,7 +203,7 @@ class Group:
         return k
 
     def add(self, text: bytes | None) -> None:
-        found = np.unique(shingle_hashes(text, self.words))
+        found = np.unique(run_hashes(text, self.words)[0])
         at, n = len(self.sets), len(found)
         same = self.seen.setdefault(xxhash.xxh128_digest(found.tobytes()), at)
         self.root.append(same)
@@ -229,7 +237,7 @@ def common_shingles(docs: DataFrame, words: int, id_column: str = "doc_id", text
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            found = [np.unique(shingle_hashes(t, words)) for t in bytes_of(batch, text)]
+            found = [np.unique(run_hashes(t, words)[0]) for t in bytes_of(batch, text)]
             h, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
 
@@ -277,8 +285,9 @@ def signatures(docs: DataFrame, feature_words: int, words: int, similarity: floa
         for batch in slices(batches, "text"):
             prints, digests, sizes, prefixes = [], [], [], [np.empty(0, np.uint64)]
             for t in bytes_of(batch, "text"):
-                found = np.unique(shingle_hashes(t, words))
-                prints.append(fingerprint(shingle_hashes(t, feature_words)))
+                shingles, features = run_hashes(t, words, feature_words)
+                found = np.unique(shingles)
+                prints.append(fingerprint(features))
                 digests.append(xxhash.xxh3_64_intdigest(found.tobytes()))
                 sizes.append(len(found))
                 prefixes.append(prefix(found, held.value, similarity))
@@ -352,9 +361,9 @@ def first_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, featu
     table gives no rows; further columns stay as they are, whatever their names.
     """
     signed = written(signatures(docs, feature_words, words, similarity, id_column, text), "signatures")
-    near = written(groups(signed, radius, "id"), "groups")
-    further = components(similar_links(signed, near, similarity)).select(F.col("node").alias("component_id"), "root")
-    near = near.join(further, "component_id", "left").select("fingerprint", F.coalesce("root", "component_id").alias("component"))
+    grouped = written(groups(signed, radius, "id"), "groups")
+    further = components(similar_links(signed, grouped, similarity)).select(F.col("node").alias("component_id"), "root")
+    near = grouped.join(further, "component_id", "left").select("fingerprint", F.coalesce("root", "component_id").alias("component"))
     of = written(signed.where("id IS NOT NULL").select("id", "h", "digest", "size", "fingerprint").join(near, "fingerprint").drop("fingerprint"), "components")
     first = of.groupBy("digest").agg(F.min(F.struct("id", "h")).alias("first"))
     rows = of.join(first.hint("merge"), "digest").select("id", "h", "size", "component", (F.struct("id", "h") == F.col("first")).alias("stays"))
@@ -365,6 +374,7 @@ def first_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, featu
     # by a merge at every size: what is shuffled then grows with the input, and the size of roles needn't be known
     on = (F.col(id_column) == F.col("__id")) & (F.xxhash64(text) == F.col("__h"))
     dealt = written(docs.join(roles.hint("merge"), on, "left").where("coalesce(__stays, true)").drop("__id", "__stays"), "dealt")
+    discard(signed, grouped, of, roles)
     schema = with_fields(dealt, {"__part": "int"})
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import blocked
+from .common import rolled
 
 ANCHOR = 8
 #: Passages of an anchor, copies in a block counted once, beyond which its windows are dealt out one by one.
@@ -98,8 +99,8 @@ class Block:
         for k in long:
             t = self.words[k]
             h = of_word[np.fromiter(map(at.__getitem__, t), np.int64, len(t))]
-            short = _rolled(h, anchor)
-            full = _rolled(h, window)
+            short = rolled(h, anchor)
+            full = rolled(h, window)
             n, reach = len(full), window - anchor + 1
             least, done = short, 1
             while done < reach:
@@ -120,16 +121,6 @@ class Block:
         return tuple(np.concatenate(x) if x else np.empty(0, kind) for x, kind in zip(parts, kinds))
 
 
-def _rolled(h: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each run of `size` entries."""
-    out = np.zeros(len(h) - size + 1, np.uint64)
-    for k in range(size):
-        out = out * BASE + h[k : len(h) - size + 1 + k]
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ out >> np.uint64(29)
-
-
 def _marked(passages: list[tuple[int, list[bytes]]], window: int) -> dict[int, list[int]]:
     """place -> first words of the windows seen earlier, for (place, words) in corpus order, all distinct."""
     found: dict[int, list[int]] = {}
