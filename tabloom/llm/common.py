@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -95,6 +96,19 @@ def rolled(h: np.ndarray, size: int) -> np.ndarray:
     return out ^ out >> np.uint64(29)
 
 
+def split_words(texts: pa.Array | pa.ChunkedArray) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """(lists, words, counts): runs of anything but ASCII white space of each text, all of them in order, and how many a text has.
+
+    Null texts have none. The list of a text without words is one empty word.
+    """
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    texts = pc.ascii_trim_whitespace(pc.fill_null(texts, ""))
+    lists = pc.ascii_split_whitespace(texts)
+    counts = np.where(pc.binary_length(texts).to_numpy() == 0, 0, pc.list_value_length(lists).to_numpy()).astype(np.int64)
+    words = pc.list_flatten(lists)
+    return lists, words.filter(pc.greater(pc.binary_length(words), 0)), counts
+
+
 def block_of(blocks: int, *keys: str | Column) -> Column:
     """A block number that depends on the row alone, so that a recomputed task gives it again."""
     return F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int")

@@ -10,26 +10,31 @@ crosses a word's start, so a word's marginal is worked out once and a document's
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK_BYTES, blocked, valued
-from .common import bytes_of, slices, written
+from .common import Buckets, gathered, slices, split_words, written
 
 START = "▁"
-PRIME = np.uint64(0x100000001B3)
-#: Words of one length that are worked on at once.
-ROWS = 20_000
+PRIME = np.uint64(0x9E3779B97F4A7C15)
+#: Words that are sorted out by length together, and those of one length that are worked on at once.
+GATHERED, ROWS = 100_000, 20_000
+#: Characters from which a word is worked on by itself, and its characters whose pieces are looked up at once.
+LONG, REACH = 256, 1 << 14
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return text.lower().split() if text else []
+def lowered(texts: pa.Array | pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts in order, A-Z in lower case, and how many each text has."""
+    _, words, counts = split_words(texts)
+    return pc.ascii_lower(words).cast(pa.binary()), counts
 
 
 @lru_cache(maxsize=2)
@@ -48,11 +53,34 @@ def pieces(path: str) -> tuple[tuple[str, ...], np.ndarray]:
     return tuple(p for *_, p in found), weights - np.log(np.exp(weights).sum())
 
 
-def hashed(piece: str) -> int:
-    h = 0
+def hashes(piece: str) -> list[int]:
+    """A hash of each start of a piece, spread over all bits."""
+    h, out = 0, []
     for c in piece:
-        h = (h * int(PRIME) + ord(c) + 1) & (1 << 64) - 1
-    return h
+        h = ((h ^ ord(c)) * int(PRIME)) & (1 << 64) - 1
+        h ^= h >> 29
+        out.append(h)
+    return out
+
+
+def longer(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """hashes() of starts one character longer."""
+    h = (h ^ codes) * PRIME
+    return h ^ h >> np.uint64(29)
+
+
+@lru_cache(maxsize=2)
+def starts_of(names: tuple[str, ...]) -> tuple[Buckets, np.ndarray, int]:
+    """Starts of pieces by their hashes; the piece that each is itself, if any, with a last entry for what starts none; the longest piece's length."""
+    table: dict[int, int] = {}
+    for i, p in enumerate(names):
+        if i >= Lattice.bytes:
+            *starts, whole = hashes(p)
+            for h in starts:
+                table.setdefault(h, -1)
+            table[whole] = i
+    keys = np.array(sorted(table), np.uint64)
+    return Buckets(keys), np.array([*(table[k] for k in keys.tolist()), -1], np.int64), max(map(len, names[Lattice.bytes :]), default=1)
 
 
 class Lattice:
@@ -62,30 +90,28 @@ class Lattice:
 
     def __init__(self, names: tuple[str, ...], weights: np.ndarray):
         self.weights = weights
-        table = sorted((hashed(p), i) for i, p in enumerate(names) if i >= self.bytes)
-        self.hashes = np.array([h for h, _ in table], np.uint64)
-        self.ids = np.array([i for _, i in table], np.int64)
-        self.longest = max(map(len, names[self.bytes :]), default=1)
-
-    def look_up(self, h: np.ndarray) -> np.ndarray:
-        """Piece of each hash, -1 for none."""
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.ids[at], -1)
+        self.table, self.pieces, self.longest = starts_of(names)
 
     def edges(self, codes: np.ndarray) -> tuple[dict[tuple[int, int], tuple[np.ndarray, np.ndarray]], dict[int, list[tuple[int, bytes]]]]:
         """(from, to) -> rows and their pieces; place -> rows whose character has no piece, as bytes."""
         n, length = codes.shape
         found, spelled = {}, {}
         for i in range(length):
-            h = np.zeros(n, np.uint64)
+            h, rows = np.zeros(n, np.uint64), np.arange(n)
             for j in range(i + 1, min(length, i + self.longest) + 1):
-                h = h * PRIME + codes[:, j - 1] + np.uint64(1)
-                ids = self.look_up(h)
-                if j == i + 1 and (ids < 0).any():
-                    spelled[i] = [(int(r), chr(codes[r, i]).encode("utf-8", "surrogatepass")) for r in np.flatnonzero(ids < 0)]
-                rows = np.flatnonzero(ids >= 0)
-                if len(rows):
-                    found[i, j] = rows, ids[rows]
+                h = longer(h, codes[rows, j - 1])
+                at = self.table.find(h)
+                ids = self.pieces[at]
+                whole = ids >= 0
+                if j == i + 1 and not whole.all():
+                    spelled[i] = [(int(r), chr(codes[r, i]).encode("utf-8", "surrogatepass")) for r in np.flatnonzero(~whole)]
+                if whole.any():
+                    found[i, j] = rows[whole], ids[whole]
+                # only what starts a piece goes on
+                more = at >= 0
+                rows, h = rows[more], h[more]
+                if not len(rows):
+                    break
         return found, spelled
 
     def forward(self, codes: np.ndarray, found: dict, spelled: dict) -> np.ndarray:
@@ -114,6 +140,55 @@ class Lattice:
                     beta[i, rows] = np.logaddexp(beta[i, rows], beta[j, rows] + self.weights[ids])
         return beta
 
+    def arcs(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Pieces of one long word by where they begin, REACH places at a time: (first place, places after it, lengths, pieces, weights).
+
+        A character without a piece is an arc of piece -1 with the weight of its bytes.
+        """
+        length = len(codes)
+        for a in range(0, length, REACH):
+            n = min(REACH, length - a)
+            near = np.zeros(n + self.longest, np.uint64)
+            near[: min(len(near), length - a)] = codes[a : a + len(near)]
+            h, ids = np.zeros(n, np.uint64), np.full((n, self.longest), -1)
+            for k in range(self.longest):
+                h = longer(h, near[k : k + n])
+                within = min(n, length - a - k)
+                if within > 0:
+                    ids[:within, k] = self.pieces[self.table.find(h[:within])]
+            spelled = ids[:, 0] < 0
+            weights = np.where(ids >= 0, self.weights[ids], -np.inf)
+            weights[spelled, 0] = [sum(self.weights[b] for b in chr(c).encode("utf-8", "surrogatepass")) for c in codes[a : a + n][spelled].tolist()]
+            at, k = np.nonzero(weights > -np.inf)
+            yield a, at, k + 1, ids[at, k], weights[at, k]
+
+    def forward_long(self, codes: np.ndarray) -> np.ndarray:
+        """The forward recursion of one word: log probability of its first characters, by how many."""
+        alpha, add = [0.0] + [-math.inf] * len(codes), math.log1p
+        for a, at, k, _, w in self.arcs(codes):
+            for i, j, x in zip((at + a).tolist(), (at + a + k).tolist(), w.tolist()):
+                x += alpha[i]
+                y = alpha[j]
+                alpha[j] = x if y == -math.inf else x + add(math.exp(y - x)) if x > y else y + add(math.exp(x - y))
+        return np.array(alpha)
+
+    def expected_long(self, codes: np.ndarray, times: float) -> np.ndarray:
+        """expected() of one word."""
+        alpha, length, out = self.forward_long(codes), len(codes), np.zeros(len(self.weights))
+        beta, add = [-math.inf] * length + [0.0], math.log1p
+        for a, at, k, ids, w in reversed(list(self.arcs(codes))):
+            start, end = at + a, at + a + k
+            for i, j, x in zip(start[::-1].tolist(), end[::-1].tolist(), w[::-1].tolist()):
+                x += beta[j]
+                y = beta[i]
+                beta[i] = x if y == -math.inf else x + add(math.exp(y - x)) if x > y else y + add(math.exp(x - y))
+            share = times * np.exp(alpha[start] + w + np.array(beta)[end] - alpha[-1])
+            out += np.bincount(ids[ids >= 0], share[ids >= 0], len(out))
+            for i, x in zip(start[ids < 0].tolist(), share[ids < 0].tolist()):
+                for b in chr(int(codes[i])).encode("utf-8", "surrogatepass"):
+                    out[b] += x
+        return out
+
     def by_length(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(places of words, their characters with the start before them) for words of one length."""
         of = defaultdict(list)
@@ -129,13 +204,20 @@ class Lattice:
         """Natural log of each word's probability over all segmentations."""
         out = np.zeros(len(words))
         for at, codes in self.by_length(words):
-            out[at] = self.forward(codes, *self.edges(codes))[-1]
+            if codes.shape[1] > LONG:
+                out[at] = [self.forward_long(c)[-1] for c in codes]
+            else:
+                out[at] = self.forward(codes, *self.edges(codes))[-1]
         return out
 
     def expected(self, words: list[bytes], times: np.ndarray) -> np.ndarray:
         """Expected count of each piece over words that occur so many times."""
         out = np.zeros(len(self.weights))
         for at, codes in self.by_length(words):
+            if codes.shape[1] > LONG:
+                for n, c in zip(times[at].tolist(), codes):
+                    out += self.expected_long(c, n)
+                continue
             found, spelled = self.edges(codes)
             alpha, beta = self.forward(codes, found, spelled), self.backward(codes, found, spelled)
             total, n = alpha[-1], times[at]
@@ -149,24 +231,15 @@ class Lattice:
         return out
 
 
-class Places(dict):
-    """word -> its number; a new word gets the next one."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
-
-
 def word_counts(docs: DataFrame, train: Column, text: str = "text") -> DataFrame:
     """(word, c) over the documents of `train`; the end of a text is an empty word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, BLOCK_BYTES):
-            of = Counter()
-            for t in bytes_of(batch, text):
-                of.update(words_of(t))
-            of[b""] = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(list(of), pa.binary()), pa.array(list(of.values()), pa.int64())], ["word", "n"])
+            words, _ = lowered(batch.column(0))
+            found = pc.value_counts(words)
+            n = pa.concat_arrays([found.field("counts").cast(pa.int64()), pa.array([batch.num_rows], pa.int64())])
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([found.field("values"), pa.array([b""], pa.binary())]), n], ["word", "n"])
 
     rows = docs.where(train).select(text).mapInArrow(count, "word binary, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("c"))
@@ -185,7 +258,7 @@ def fit(counts: DataFrame, path: str, rounds: int, strength: float) -> np.ndarra
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lattice, total = Lattice(names_of(path), now.value), None
-            for batch in batches:
+            for batch in gathered(batches, GATHERED):
                 found = lattice.expected(batch.column(0).to_pylist(), np.ones(batch.num_rows))
                 total = found if total is None else total + found
             if total is not None:
@@ -213,8 +286,8 @@ def score(docs: DataFrame, path: str, train: Column, rounds: int = 2, strength:
     one arc for each whole word seen in training; these arcs have the words' counts less a discount
     (n1 / (n1 + 2 n2) of the words seen once and twice), and what the discounts leave weights the
     segmentations into pieces, whose weights are learned from distinct words.
-    Null and empty texts are an end alone; repeated rows are learned from and scored each; an empty
-    table gives no rows; without training rows every count is 0 and the pieces keep their prior.
+    Null and empty texts are an end alone; words of any length are scored whole, in time that grows with their length alone;
+    repeated rows are learned from and scored each; an empty table gives no rows; further columns are left out; without training rows every count is 0 and the pieces keep their prior.
     """
     train = F.coalesce(train, F.lit(False))
     counts = written(word_counts(docs, train, text), "counts")
@@ -226,34 +299,31 @@ def score(docs: DataFrame, path: str, train: Column, rounds: int = 2, strength:
     model = docs.sparkSession.sparkContext.broadcast(weights)
     floor = n + 0.5 * (v + 1)
 
-    def distinct(block: pa.Table) -> list[bytes]:
-        out: set[bytes] = set()
-        for t in block.column("text").cast(pa.binary()).to_pylist():
-            out.update(words_of(t))
-        return list(out)
+    def distinct(block: pa.Table) -> pa.Array:
+        return pc.unique(lowered(block.column("text"))[0])
 
     def of_block(block: pa.Table, values: pa.Table) -> pa.Table:
-        at = Places((w, i) for i, w in enumerate(values.column("word").to_pylist()))
-        known = len(at)
-        texts = [np.fromiter(map(at.__getitem__, words_of(t)), np.int32) for t in block.column("text").cast(pa.binary()).to_pylist()]
+        words, counts = lowered(block.column("text"))
+        coded = words.dictionary_encode()
+        at = pc.fill_null(pc.index_in(coded.dictionary, value_set=values.column("word").combine_chunks()), -1).to_numpy()
+        seen = at >= 0
+        c, spelled = np.zeros(len(at)), np.zeros(len(at))
+        c[seen], spelled[seen] = (values.column(x).to_numpy()[at[seen]] for x in ("c", "marginal"))
         # words that no training document has aren't in the table: they are scored here
-        new = list(at)[known:]
-        c = np.concatenate((values.column("c").to_numpy(), np.zeros(len(new))))
-        spelled = np.concatenate((values.column("marginal").to_numpy(), Lattice(names_of(path), model.value).marginals(new)))
+        spelled[~seen] = Lattice(names_of(path), model.value).marginals(coded.dictionary.filter(pa.array(~seen)).to_pylist())
         whole = np.log(np.maximum(c - discount, 1e-300) / (n + 1))
         scores = np.where(c > 0, np.logaddexp(whole, left + spelled), left + spelled) / math.log(10)
         base = np.log10((c + 0.5) / floor)
         end, end_base = math.log10((ends + 0.5) / (n + 1)), math.log10((ends + 0.5) / floor)
-        rows = []
-        for ids in texts:
-            rows.append((len(ids) + 1, int((c[ids] > 0).sum()) + (ends > 0), n, float(base[ids].sum() + end_base), float(scores[ids].sum() + end)))
-        columns = list(zip(*rows)) or [()] * 5
+        ids, doc = coded.indices.to_numpy(), np.repeat(np.arange(len(counts)), counts)
+        total = lambda x: np.bincount(doc, x[ids], len(counts))
+        columns = (counts + 1, total(c > 0).astype(np.int64) + int(ends > 0), np.full(len(counts), n), total(base) + end_base, total(scores) + end)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.Table.from_arrays([block.column("id"), block.column("held_out"), *(pa.array(x, k) for x, k in zip(columns, kinds))], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     def marginals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(names_of(path), model.value)
-        for batch in batches:
+        for batch in gathered(batches, GATHERED):
             found = pa.array(lattice.marginals(batch.column(0).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, found], ["word", "c", "marginal"])
 
