@@ -236,9 +236,25 @@ def test_quality_of_repeats(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in kneser_ney.classify(docs, labels, order=4).collect()}
     assert all(got[i].keep for i in range(80)) and not any(got[i].keep for i in (100, 101, 102))
-    words = [str(rng.randrange(30)) for _ in range(200)]
-    assert kneser_ney.variety(words) == min(len(set(words[i : i + kneser_ney.PASSAGE])) for i in range(181)) / kneser_ney.PASSAGE
-    assert kneser_ney.variety(["a", "b", "a"]) == 2 / 3
+    texts = [[rng.randrange(rng.choice([2, 30, 500])) for _ in range(rng.choice([1, 2, 3, 19, 20, 21, 40, 200]))] for _ in range(300)]
+    size = kneser_ney.PASSAGE
+    want = [min(len(set(t[i : i + size])) / min(len(t), size) for i in range(max(1, len(t) - size + 1))) for t in texts]
+    assert kneser_ney.variety(np.array(sum(texts, [])), np.array(list(map(len, texts)))).tolist() == pytest.approx(want)
+
+
+def test_quality_of_toxic_documents(spark):
+    """Words of documents labelled toxic, in any case and between signs; words that all have don't count."""
+    rng = random.Random(8)
+    good = [(i, prose(rng, 80), "en") for i in range(120)]
+    bad = [(200 + i, prose(rng, 40) + f" {rng.choice(['Vile', 'vile!', '(vile)'])} " + prose(rng, 40), "en") for i in range(60)]
+    docs = spark.createDataFrame([*good, *bad], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)] + [(200 + i, 1, 1) for i in range(40)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in kneser_ney.classify(docs, labels, order=4).where("keep").collect()}
+    assert max(kept) < 200
+    assert kneser_ney.folded("(Vile!)") == "vile" and kneser_ney.folded("--") == ""
+    # without enough documents that have it, a word says nothing
+    more = {r.doc_id for r in kneser_ney.classify(docs, labels, order=4, least=100).where("keep").collect()}
+    assert {i for i in more if i < 200} == kept and len(kept) >= 118 and len(more) - len(kept) >= 58
 
 
 def brute_contamination(rows, items, window=8):
