@@ -151,6 +151,7 @@ def candidates(options: DetectionOptions) -> list[Dialect]:
     return out
 
 
+# Fixed values of the score: the shares, floors and boosts that are written out in score(), has_header() and detect_dialect().
 def score(dialect: Dialect, text: str, options: DetectionOptions) -> Candidate:
     found = Candidate(dialect)
     rows = [fields_of(r, dialect) for r in rows_of(text, dialect, options)]
