@@ -23,12 +23,13 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import blocked
-from .common import rolled
+from .common import rolled, split_words
 
 ANCHOR = 8
 #: Passages of an anchor, copies in a block counted once, beyond which its windows are dealt out one by one.
@@ -70,55 +71,56 @@ class SuffixAutomaton:
         return length[link[now]]
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return text.split() if text else []
-
-
 class Block:
-    """The documents of a block in order of id and the text's hash, with the passages of their windows."""
+    """The documents of a block in order of id and the text's hash, with the passages of their windows.
+
+    lines: each document's words, joined by a space; counts: how many.
+    """
 
     def __init__(self, block: pa.Table, window: int):
-        ids, h, texts = block.column("id").to_pylist(), block.column("h").to_pylist(), block.column("text").cast(pa.binary()).to_pylist()
+        ids, h = block.column("id").to_pylist(), block.column("h").to_pylist()
         rank = {x: k for k, x in enumerate(sorted({i for i in ids if i is not None}))}
         order = sorted(range(len(ids)), key=lambda i: (rank.get(ids[i], len(rank)), h[i]))
-        self.ids, self.h = [ids[i] for i in order], [h[i] for i in order]
-        self.words = [words_of(texts[i]) for i in order]
-        self.window = window
+        self.ids, self.h, self.window = [ids[i] for i in order], [h[i] for i in order], window
+        lists, self.flat, self.counts = split_words(block.column("text").take(pa.array(order, pa.int64())))
+        self.lines = pc.binary_join(lists, " ").cast(pa.binary()).to_pylist()
+        self.first = np.cumsum(self.counts) - self.counts
+
+    def ends(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word of all documents begins and ends in its document's line."""
+        size = pc.binary_length(self.flat).to_numpy().astype(np.int64)
+        end = np.cumsum(size + 1) - 1
+        base = np.concatenate(([0], end + 1))[np.repeat(self.first, self.counts)]
+        return end - size - base, end - base
 
     def passages(self) -> tuple[np.ndarray, ...]:
         """(document, first window, number of windows, anchor, whether a window comes twice nearby, hash) of each passage."""
-        window, anchor = self.window, min(ANCHOR, self.window)
-        at: dict[bytes, int] = {}
-        for t in self.words:
-            for w in t:
-                if w not in at:
-                    at[w] = len(at)
-        of_word = np.fromiter((xxhash.xxh64_intdigest(w) for w in at), np.uint64, len(at))
-        long = [k for k, t in enumerate(self.words) if len(t) >= window]
-        parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
-        for k in long:
-            t = self.words[k]
-            h = of_word[np.fromiter(map(at.__getitem__, t), np.int64, len(t))]
-            short = rolled(h, anchor)
-            full = rolled(h, window)
-            n, reach = len(full), window - anchor + 1
-            least, done = short, 1
-            while done < reach:
-                step = min(done, reach - done)
-                least = np.minimum(least[:-step], least[step:])
-                done += step
-            least = least[:n]
-            starts = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-            twice = np.zeros(n, bool)
-            for d in range(1, min(reach, n - 1) + 1):
-                twice[d:] |= full[d:] == full[:-d]
-            sizes = np.diff(np.concatenate((starts, [n])))
-            near = np.logical_or.reduceat(twice, starts) | (sizes > reach)
-            print_ = (full[starts] * BASE ^ full[starts + sizes - 1]) * BASE + sizes.astype(np.uint64)
-            for out, x in zip(parts, (np.full(len(starts), k), starts, sizes, least[starts].view(np.int64), near, print_)):
-                out.append(x)
-        kinds = (np.int64, np.int64, np.int64, np.int64, bool, np.uint64)
-        return tuple(np.concatenate(x) if x else np.empty(0, kind) for x, kind in zip(parts, kinds))
+        window, anchor, n = self.window, min(ANCHOR, self.window), len(self.flat)
+        if n < window:
+            return *(np.empty(0, np.int64) for _ in range(4)), np.empty(0, bool), np.empty(0, np.uint64)
+        words = self.flat.dictionary_encode()
+        of_word = np.fromiter(map(xxhash.xxh64_intdigest, words.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(words.dictionary))
+        h = of_word[words.indices.to_numpy()]
+        doc = np.repeat(np.arange(len(self.counts)), self.counts)
+        # over all documents at once; windows that go from one into the next are left out
+        full, least, reach, done = rolled(h, window), rolled(h, anchor), window - anchor + 1, 1
+        while done < reach:
+            step = min(done, reach - done)
+            least = np.minimum(least[:-step], least[step:])
+            done += step
+        inside = np.flatnonzero(doc[: n - window + 1] == doc[window - 1 :])
+        full, least, doc = full[inside], least[inside], doc[inside]
+        place = inside - self.first[doc]
+        if not len(inside):
+            return *(np.empty(0, np.int64) for _ in range(4)), np.empty(0, bool), np.empty(0, np.uint64)
+        starts = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]))))
+        twice = np.zeros(len(full), bool)
+        for d in range(1, min(reach, len(full) - 1) + 1):
+            twice[d:] |= (full[d:] == full[:-d]) & (place[d:] >= d)
+        sizes = np.diff(np.concatenate((starts, [len(full)])))
+        near = np.logical_or.reduceat(twice, starts) | (sizes > reach)
+        print_ = (full[starts] * BASE ^ full[starts + sizes - 1]) * BASE + sizes.astype(np.uint64)
+        return doc[starts], place[starts], sizes, least[starts].view(np.int64), near, print_
 
 
 def _marked(passages: list[tuple[int, list[bytes]]], window: int) -> dict[int, list[int]]:
@@ -180,10 +182,11 @@ def without_repeats(docs: DataFrame, window: int = 20, id_column: str = "doc_id"
             wanted = np.flatnonzero(np.isin(anchor, known) | twice | near)
             spread = np.isin(anchor, known[hot])
             first: set[tuple[int, bytes]] = set()
+            begins, ends = here.ends()
             for a, k, s, m, each in zip(*(x[wanted].tolist() for x in (anchor, doc, start, n, spread))):
-                words = here.words[k]
+                base = int(here.first[k])
                 for s, m in ((i, 1) for i in range(s, s + m)) if each else ((s, m),):  # noqa: B020, PLW2901
-                    line = b" ".join(words[s : s + m + window - 1])
+                    line = here.lines[k][begins[base + s] : ends[base + s + m + window - 2]]
                     key = (int.from_bytes(xxhash.xxh64_digest(line), signed=True) if each else a), line
                     # of equal passages only the first of the block is looked at; null words: all seen earlier
                     out.append((key[0], here.ids[k], here.h[k], k, number, s, m, None if key in first else line))
@@ -229,14 +232,15 @@ def without_repeats(docs: DataFrame, window: int = 20, id_column: str = "doc_id"
 
     def keep(block: pa.Table, spans: pa.Table) -> pa.Table:
         here = Block(block, window)
-        removed = {k: np.zeros(len(here.words[k]), bool) for k in set(spans.column("row").to_pylist())}
+        removed = {k: np.zeros(here.counts[k], bool) for k in set(spans.column("row").to_pylist())}
         for row, a, b in zip(*(spans.column(c).to_pylist() for c in ("row", "start", "end"))):
             removed[row][a:b] = True
         out = []
-        for k, (key, words) in enumerate(zip(here.ids, here.words)):
+        for k, (key, line) in enumerate(zip(here.ids, here.lines)):
             gone = removed.get(k)
-            line = b" ".join(words if gone is None else [w for w, x in zip(words, gone.tolist()) if not x])
-            out.append((key, len(words), 0 if gone is None else int(gone.sum()), hashlib.sha256(line).hexdigest(), *[line] * kept_text))
+            if gone is not None:
+                line = b" ".join([w for w, x in zip(line.split(), gone.tolist()) if not x])  # noqa: PLW2901
+            out.append((key, int(here.counts[k]), 0 if gone is None else int(gone.sum()), hashlib.sha256(line).hexdigest(), *[line] * kept_text))
         kinds = (block.schema.field("id").type, pa.int64(), pa.int64(), pa.string(), pa.string())
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * (4 + kept_text), kinds)], ["id", "n_words", "n_removed", "kept_sha256", *["kept"] * kept_text])
 
