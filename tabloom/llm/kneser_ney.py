@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,38 +147,45 @@ class Model:
         self.order, self.grams, self.unknown = len(grams), grams, unknown
 
     def windows(self, lines: list[str]) -> np.ndarray:
-        """Natural log of the probability of the characters of each line after its first order - 1; lines are of one length."""
-        codes, total, lefts = codes_of(lines), np.zeros(len(lines)), []
-        for j in range(max(0, self.order - 2), codes.shape[1]):
+        """Natural log of the probability of the characters of each line after its first order - 1."""
+        sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+        by_size = np.argsort(-sizes, kind="stable")
+        sizes = sizes[by_size]
+        longest = int(sizes[0]) if len(lines) else 0
+        # the lines that go on at a place come first, so that all lengths are worked on at once
+        codes, total, lefts = codes_of([lines[i].ljust(longest) for i in by_size.tolist()]), np.zeros(len(lines)), []
+        for j in range(max(0, self.order - 2), longest):
+            n = int(np.searchsorted(-sizes, -j))
             h, now = None, []
             for k, grams in enumerate(self.grams[: j + 1], 1):
-                h = mixed(h, codes[:, j - k + 1])
+                h = mixed(h, codes[:n, j - k + 1])
                 at = grams.find(h)
                 if j >= self.order - 1:
                     found = grams.p[at]
-                    p = np.where(np.isnan(found), self.unknown if k == 1 else lefts[k - 2] + p, found)
+                    p = np.where(np.isnan(found), self.unknown if k == 1 else lefts[k - 2][:n] + p, found)
                 if k < self.order:
                     now.append(grams.left[at])
             if j >= self.order - 1:
-                total += p
+                total[:n] += p
             lefts = now
-        return total
+        out = np.empty(len(lines))
+        out[by_size] = total
+        return out
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Natural log of the probability of each word and its end."""
-        out, of = np.zeros(len(words)), defaultdict(list)
-        for k, word in enumerate(words):
-            for line in windows(word, self.order):
-                of[len(line)].append((k, line))
-        for same in of.values():
-            for start in range(0, len(same), 20_000):
-                part = same[start : start + 20_000]
-                np.add.at(out, [k for k, _ in part], self.windows([line for _, line in part]))
+        parts = sorted(((len(line), k, line) for k, word in enumerate(words) for line in windows(word, self.order)), reverse=True)
+        out = np.zeros(len(words))
+        for start in range(0, len(parts), 20_000):
+            part = parts[start : start + 20_000]
+            np.add.at(out, [k for _, k, _ in part], self.windows([line for *_, line in part]))
         return out
 
 
 def codes_of(lines: list[str]) -> np.ndarray:
     """Characters of lines of one length, a row a line."""
+    if not lines:
+        return np.empty((0, 0), np.uint64)
     return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(lines), -1).astype(np.uint64)
 
 
