@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import bytes_of, discard, rolled, slices, with_fields, written
 from .components import components
@@ -28,6 +29,8 @@ BITS = 64
 WILD = 48
 #: Rows of a bucket up to which all its pairs are tried at once.
 SMALL = 24
+#: Rows of a larger one up to which all pairs are looked at first, and a forest is grown only where many of them are links.
+SQUARE = 1024
 CHUNK = 1 << 16
 
 
@@ -93,7 +96,11 @@ def variants(fp: Column, radius: int) -> Column:
 
 
 def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among distinct fingerprints, breadth first."""
+    """Edges with the components of the links among distinct fingerprints: few links as they are, many as a spanning forest, breadth first."""
+    if len(fps) <= SQUARE:
+        i, j = np.nonzero(np.bitwise_count(fps[:, None] ^ fps) <= radius)
+        if len(i) <= 9 * len(fps):
+            return list(zip(fps[i[i < j]].tolist(), fps[j[i < j]].tolist()))
     edges, rest = [], fps
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
@@ -186,44 +193,89 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_column:
     return prints.join(of, "fingerprint").select(id_column, digits.alias("fingerprint"), "component_id")
 
 
-class Group:
-    """Documents one after another, and which of them are tied by a chain of links: sets of runs of words that are similar."""
-
-    def __init__(self, words: int, similarity: float):
-        self.words, self.similarity = words, similarity
-        self.sets: list[np.ndarray] = []
-        self.root: list[int] = []
-        self.by_prefix: dict[int, list[int]] = {}
-        self.seen: dict[bytes, int] = {}
-
-    def find(self, k: int) -> int:
-        while self.root[k] != k:
-            self.root[k] = self.root[self.root[k]]
-            k = self.root[k]
-        return k
-
-    def add(self, text: bytes | None) -> None:
-        found = np.unique(run_hashes(text, self.words)[0])
-        at, n = len(self.sets), len(found)
-        same = self.seen.setdefault(xxhash.xxh128_digest(found.tobytes()), at)
-        self.root.append(same)
-        self.sets.append(found if same == at else found[:0])
-        if same != at:
-            return
-        # similar sets share one of their first shingles in any order common to all, here that of the hashes
-        first = found[: n - math.ceil(self.similarity * n - 1e-9) + 1].tolist()
-        for k in dict.fromkeys(k for h in first for k in self.by_prefix.get(h, ())):
-            a, b, m = self.find(k), self.find(at), len(self.sets[k])
-            if a != b and min(n, m) >= self.similarity * max(n, m) - 1e-9:
-                shared = len(np.intersect1d(found, self.sets[k], assume_unique=True))
-                if shared >= self.similarity * (n + m - shared) - 1e-9:
-                    self.root[max(a, b)] = min(a, b)
-        for h in first:
-            self.by_prefix.setdefault(h, []).append(at)
-
-    def firsts(self) -> list[int]:
-        """The first document of each group."""
-        return [k for k, r in enumerate(self.root) if k == r]
+def shingle_set(text: bytes | None, words: int) -> np.ndarray:
+    """Sorted hashes of a text's different runs of `words` words."""
+    return np.unique(run_hashes(text, words)[0])
+
+
+#: Of so many sets one has a frequent shingle.
+FREQUENT = 8
+
+
+def tied(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each sorted set the first one that a chain of similar sets ties it to, itself included. Equal sets are similar.
+
+    Similar sets share one of their first shingles in any order common to all, here from the rarest among these sets on. Rare ones
+    are met one by one; what sets share of those that one in FREQUENT of them has is a product of matrices. Of the sets that
+    meet, those not tied yet that may share enough are compared, many at once.
+    """
+    n, seen = len(sets), {}
+    same = np.array([seen.setdefault(xxhash.xxh128_digest(s.tobytes()), k) for k, s in enumerate(sets)], np.int64)
+    if len(seen) < 2:
+        return same
+    sizes = np.where(same == np.arange(n), [len(s) for s in sets], 0)
+    ends = np.cumsum(sizes)
+    begins, owner = ends - sizes, np.repeat(np.arange(n), sizes)
+    _, codes, counts = np.unique(np.concatenate([s[:m] for s, m in zip(sets, sizes)]), return_inverse=True, return_counts=True)
+    order = np.argsort(counts, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    codes = rank[codes]
+    codes = codes[np.lexsort((codes, owner))]
+    several, often = np.searchsorted(counts[order], 2), np.searchsorted(counts[order], max(4, n / FREQUENT))
+    rare = np.bincount(owner[(codes >= several) & (codes < often)], minlength=n)  # shingles that others may share, of the rare ones
+    matrix = np.zeros((n, len(order) - often), np.float32)
+    matrix[owner[codes >= often], codes[codes >= often] - often] = 1
+    firsts = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+    meets = np.flatnonzero((np.arange(len(codes)) - begins[owner] < firsts[owner]) & (codes >= several) & (codes < often))
+    by_code = meets[np.argsort(codes[meets], kind="stable")]  # of each shingle the sets in order
+    members, key = owner[by_code], codes[by_code]
+    start = np.searchsorted(key, key)
+    by_set = np.argsort(members, kind="stable")
+    cuts = np.searchsorted(members[by_set], np.arange(n + 1))
+    label, held = np.arange(n), {}
+    mark = np.zeros(len(order), bool)
+    rows, both = max(1, min(256, (1 << 22) // n)), None
+    for k in range(n):
+        if matrix.shape[1]:
+            if k % rows == 0:
+                both = matrix[k : k + rows] @ matrix[: k + rows].T
+            shared = both[k % rows, :k]
+            most = shared + np.minimum(rare[:k], rare[k])
+            met = np.flatnonzero((shared > 0) & (label[:k] != label[k]) & (most >= similarity * (sizes[:k] + sizes[k] - most) - 1e-6))
+        else:
+            met = np.empty(0, np.int64)
+        at = by_set[cuts[k] : cuts[k + 1]]
+        if len(at):
+            hits = members[_ranges(start[at], at - start[at])]  # earlier sets with one of the first shingles
+            hits = hits[label[hits] != label[k]]
+            low, high = np.minimum(sizes[hits], sizes[k]), np.maximum(sizes[hits], sizes[k])
+            met = np.union1d(met, hits[low >= similarity * high - 1e-9])
+        if not len(met):
+            continue
+        mark[codes[begins[k] : ends[k]]] = True
+        most = 8
+        while len(met):
+            now, met = met[:most], met[most:]
+            inside = mark[codes[_ranges(begins[now], sizes[now])]]
+            shared = np.add.reduceat(inside, np.cumsum(sizes[now]) - sizes[now], dtype=np.int64)
+            for x in now[shared >= similarity * (sizes[now] + sizes[k] - shared) - 1e-9].tolist():
+                a, b = int(label[x]), int(label[k])
+                if a != b:
+                    less, more = sorted((held.pop(a, [a]), held.pop(b, [b])), key=len)
+                    label[less] = to = int(label[more[0]])
+                    held[to] = more + less
+            met = met[label[met] != label[k]]
+            most = min(2 * most, 1024)
+        mark[codes[begins[k] : ends[k]]] = False
+    _, first, of = np.unique(label[same], return_index=True, return_inverse=True)
+    return first[of]
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, as many as its size says, one after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 #: Share of the documents in which common shingles are counted, and how many of them are broadcast. Both bear on the order of shingles alone.
@@ -344,7 +396,7 @@ def similar_links(signed: DataFrame, of: DataFrame, similarity: float) -> DataFr
     return same.unionByName(near).distinct()
 
 
-#: Shingles of a component's documents that meet in one place; a larger component meets in several first.
+#: Shingles of a component's documents that meet in one place; a larger component meets in several, two parts of about so many in each.
 MEETING = 1 << 20
 
 
@@ -355,7 +407,7 @@ def first_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, featu
     what links connect, and its least id stays. Candidates are the components of SimHash links (fingerprints over
     runs of feature_words words, up to `radius` differing bits) and of links among documents that share their
     rarest shingles, which all similar ones do whatever their fingerprints. Equal sets are one document. A
-    component of more than `meeting` shingles meets in parts first, of which each group's least id goes on, and then as one.
+    component of more than `meeting` shingles meets in parts, every two of them in one place, so that all its pairs are compared at any size.
     Equal texts are similar, texts without words (null, empty) too; of repeated rows one stays, and of rows with one id but
     different texts each is judged; rows with a null id all stay. Texts are compared whole; an empty
     table gives no rows; further columns stay as they are, whatever their names.
@@ -369,7 +421,7 @@ def first_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, featu
     rows = of.join(first.hint("merge"), "digest").select("id", "h", "size", "component", (F.struct("id", "h") == F.col("first")).alias("stays"))
     total = rows.where("stays").groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
     rows = rows.distinct().join(total.hint("merge"), "component").where("NOT stays OR n > 1")
-    parts = (F.floor(F.col("total") / meeting) + 1).cast("int")
+    parts = F.least(F.floor(F.col("total") / meeting) + 1, "n").cast("int")
     roles = written(rows.select(F.col("id").alias("__id"), F.col("h").alias("__h"), "stays", F.col("component").alias("__component"), parts.alias("__parts")).withColumnsRenamed({"stays": "__stays"}), "roles")
     # by a merge at every size: what is shuffled then grows with the input, and the size of roles needn't be known
     on = (F.col(id_column) == F.col("__id")) & (F.xxhash64(text) == F.col("__h"))
@@ -377,30 +429,52 @@ def first_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, featu
     discard(signed, grouped, of, roles)
     schema = with_fields(dealt, {"__part": "int"})
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group, held = None, Group(words, similarity), []
+    def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[pa.RecordBatch, int]], np.ndarray]]:
+        """The rows of each component and part, and for each row the first of its group."""
+        now, sets, held = None, [], []
         for batch in batches:
             component, part = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("__component", "__part"))
             for i, (key, t) in enumerate(zip(zip(component, part), bytes_of(batch, text))):
                 if key != now:
-                    yield from chosen(held, group.firsts())
-                    now, group, held = key, Group(words, similarity), []
-                group.add(t)
+                    yield held, tied(sets, similarity)
+                    now, sets, held = key, [], []
+                sets.append(shingle_set(t, words))
                 held.append((batch, i))
-        yield from chosen(held, group.firsts())
-
-    def chosen(held: list[tuple[pa.RecordBatch, int]], firsts: list[int]) -> Iterator[pa.RecordBatch]:
-        for _, run in groupby((held[k] for k in firsts), lambda x: id(x[0])):
-            run = list(run)
-            yield run[0][0].take(pa.array([i for _, i in run], pa.int64()))
-
-    def met(rows: DataFrame, part: Column) -> DataFrame:
-        dealt_out = rows.withColumn("__part", part.cast("int")).repartition("__component", "__part")
-        return dealt_out.sortWithinPartitions("__component", "__part", id_column, "__h").mapInArrow(keep, schema)
+        yield held, tied(sets, similarity)
 
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, first in groups_of(batches):
+            for _, run in groupby((held[k] for k in np.unique(first).tolist()), lambda x: id(x[0])):
+                run = list(run)
+                yield run[0][0].take(pa.array([i for _, i in run], pa.int64()))
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, first in groups_of(batches):
+            if len(later := np.flatnonzero(first != np.arange(len(first)))):
+                columns = []
+                for ends in (first[later], later):
+                    for c in (id_column, "__h"):
+                        columns.append(pa.concat_arrays([held[k][0].column(held[k][0].schema.get_field_index(c)).slice(held[k][1], 1) for k in ends.tolist()]))
+                yield pa.RecordBatch.from_arrays(columns, linked.names)
+
+    def dealt_out(rows: DataFrame, part: Column) -> DataFrame:
+        rows = rows.withColumn("__part", part.cast("int")).repartition("__component", "__part")
+        return rows.sortWithinPartitions("__component", "__part", id_column, "__h")
+
+    node = F.struct(F.col(id_column).alias("id"), F.col("__h").alias("h"))
     alone = dealt.where("__component IS NULL")
-    small = met(dealt.where("__parts = 1"), F.lit(0))
-    large = met(dealt.where("__parts > 1"), F.pmod(F.xxhash64("__h", id_column), F.col("__parts")))
-    large = met(large.drop("__part"), F.lit(0))
-    kept = alone.unionByName(small.drop("__part")).unionByName(large.drop("__part"))
+    small = dealt_out(dealt.where("__parts = 1"), F.lit(0)).mapInArrow(keep, schema)
+    # every two parts of a large component meet, and so all its pairs, whatever else is in it
+    large = dealt.where("__parts > 1")
+    mine = F.pmod(F.xxhash64("__h", id_column), F.col("__parts")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("__parts") - 1), lambda k: k != mine)
+    pair = F.explode(F.transform(others, lambda k: F.least(k, mine) * F.col("__parts") + F.greatest(k, mine)))
+    meets = dealt_out(large.select(F.col(id_column), F.col(text), "__h", "__component", pair.alias("__pair")), F.col("__pair")).drop("__pair")
+    linked = StructType([StructField(name, meets.schema[c].dataType) for name, c in (("a", id_column), ("ah", "__h"), ("b", id_column), ("bh", "__h"))])
+    links_met = meets.mapInArrow(link, linked).select(F.struct(F.col("a").alias("id"), F.col("ah").alias("h")).alias("a"), F.struct(F.col("b").alias("id"), F.col("bh").alias("h")).alias("b"))
+    later = components(links_met).where("node <> root").select(F.col("node").alias("__node"))
+    firsts = large.withColumn("__at", node).join(later.hint("merge"), F.col("__at") == F.col("__node"), "left_anti").drop("__at")
+    # of repeated rows one stays
+    once = dealt_out(firsts, F.hash("__h", id_column)).mapInArrow(keep, schema)
+    kept = alone.unionByName(small.drop("__part")).unionByName(once.drop("__part"))
     return kept.select(*docs.columns)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 from functools import lru_cache
 
@@ -405,6 +406,37 @@ def test_first_copies_of_chains(spark):
     assert [str(x.doc_id) for x in got] == brute_firsts(rows) == ["0"]
 
 
+def test_first_copies_of_a_large_group(spark):
+    """Copies of one text with so many words replaced that no two are alike, and some that are: all pairs in one place, in time."""
+    r = random.Random(3)
+    base = [f"w{r.randrange(300)}" for _ in range(300)]
+    rows = []
+    for k in range(2000):
+        words = base[:]
+        for i in r.sample(range(300), 8):
+            words[i] = f"v{r.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    rows += [(5000 + k, rows[k][1] + " end") for k in range(0, 2000, 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.monotonic()
+    assert sorted(r.doc_id for r in simhash.first_copies(docs).collect()) == list(range(2000))
+    assert time.monotonic() - began < 50
+
+
+@pytest.mark.parametrize("universe", [12, 60, 400])
+def test_tied(universe):
+    r = random.Random(universe)
+    for size in (0, 1, 7, 40, 90):
+        base, sets = r.sample(range(universe), 12), []
+        for _ in range(size):
+            now = {*base} - {*r.sample(base, r.randrange(3))} | {r.randrange(universe) for _ in range(r.randrange(4))}
+            sets.append(now if r.random() < 0.9 else set(r.sample(range(universe), r.randrange(12))))
+            base = sorted(now) if r.random() < 0.4 and len(now) > 3 else base
+        pairs = [(a, b) for a in range(size) for b in range(a) if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+        want = [root for _, root in classes(range(size), pairs)]
+        assert simhash.tied([np.array(sorted(s), np.uint64) for s in sets], 0.8).tolist() == want
+
+
 def test_first_copies_beyond_the_radius(spark):
     """Copies with one long passage replaced: five words alike at 0.8 and more, their fingerprints at over 7 bits."""
     rows, far = [], 0
