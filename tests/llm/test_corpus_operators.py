@@ -437,6 +437,21 @@ def test_tied(universe):
         assert simhash.tied([np.array(sorted(s), np.uint64) for s in sets], 0.8).tolist() == want
 
 
+@pytest.mark.parametrize("meeting, common", [(400, 500_000)])
+def test_first_copies_at_any_size(spark, monkeypatch, meeting, common):
+    """What stays depends neither on how many common shingles are known nor on whether a component meets in parts."""
+    monkeypatch.setattr(simhash, "MOST_COMMON", common)
+    r, rows = random.Random(11), []
+    for g in range(3):
+        words = [f"w{r.randrange(200)}" for _ in range(90)]
+        for k in range(30):
+            rows.append((g + 3 * (k * 7 % 30), " ".join(words)))
+            words = words[4:] + [f"w{r.randrange(200)}" for _ in range(4)]
+    rows += rows[:5] + [(7, rows[40][1]), (None, rows[0][1])]
+    got = simhash.first_copies(spark.createDataFrame(rows, "doc_id long, text string"), meeting=meeting).collect()
+    assert sorted(str(x.doc_id) for x in got if x.doc_id is not None) + ["None"] * sum(x.doc_id is None for x in got) == brute_firsts(rows)
+
+
 def test_first_copies_beyond_the_radius(spark):
     """Copies with one long passage replaced: five words alike at 0.8 and more, their fingerprints at over 7 bits."""
     rows, far = [], 0
