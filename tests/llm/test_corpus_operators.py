@@ -452,6 +452,23 @@ def test_first_copies_at_any_size(spark, monkeypatch, meeting, common):
     assert sorted(str(x.doc_id) for x in got if x.doc_id is not None) + ["None"] * sum(x.doc_id is None for x in got) == brute_firsts(rows)
 
 
+@pytest.mark.parametrize("common", [500_000, 0])
+def test_first_copies_whatever_shingles_are_common(spark, monkeypatch, common):
+    """Chains below a passage that all have: where no common shingle is known, the passage makes them one component, which meets in parts."""
+    monkeypatch.setattr(simhash, "MOST_COMMON", common)
+    r, rows = random.Random(5), []
+    passage = [f"p{k}" for k in range(20)]
+    for g in range(12):
+        words = [f"w{r.randrange(300)}" for _ in range(80)]
+        for k in range(10):
+            rows.append((g + 12 * (k * 7 % 10), " ".join(passage + words)))
+            words = words[4:] + [f"w{r.randrange(300)}" for _ in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert (len(simhash.common_shingles(docs, 5)[0]) > 0) == (common > 0)
+    got = simhash.first_copies(docs, meeting=2000).collect()
+    assert sorted(str(x.doc_id) for x in got) == brute_firsts(rows) == sorted(map(str, range(12)))
+
+
 def test_first_copies_beyond_the_radius(spark):
     """Copies with one long passage replaced: five words alike at 0.8 and more, their fingerprints at over 7 bits."""
     rows, far = [], 0
