@@ -61,7 +61,7 @@ def table_of(rows: DataFrame, head: str, o: FwfOptions, encoding: Encoding, ends
     if o.skip_empty_rows:
         found = found.where(F.length("line") > 0)
     if o.max_rows >= 0:
-        found = (found if in_order else found.orderBy("file", "place")).limit(o.max_rows)
+        found = found.orderBy("file", "place").limit(o.max_rows)
     nulls = tokens(o.null_values)
     values = []
     for (a, b), kind in zip(spans, kinds):

@@ -431,3 +431,23 @@ def test_streamed_files_with_headers(spark, tmp_path):
     q = got.writeStream.format("memory").queryName("headed").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(tuple(r) for r in spark.table("headed").collect()) == sorted([(str(k), v) for k in range(3) for v in "xy"] + [("A", "B")] * 3)
+
+
+def top_by_place(df):
+    """Are rows limited by their place in the file? What a plain limit gets from a shuffle comes in any order."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "TakeOrderedAndProject" in plan and "GlobalLimit" not in plan and "CollectLimit" not in plan
+
+
+@pytest.fixture
+def small_splits(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_first_rows_of_a_split_fixed_width_file(spark, tmp_path, small_splits):
+    (path := tmp_path / "x.txt").write_text("".join(f"{i:6}\n" for i in range(2000)))
+    t = read_fwf(spark, str(path), schema=[D.INT32], col_starts=[0], col_ends=[6], max_rows=300)
+    assert top_by_place(t.df) and rows(t) == [(i,) for i in range(300)]
