@@ -17,6 +17,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -278,14 +279,19 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
-#: Share of the documents in which common shingles are counted, and how many of them are broadcast. Both bear on the order of shingles alone.
-COUNTED, MOST_COMMON = 8, 500_000
+#: Share of the documents in which common shingles are counted; bytes of the table of how common they are, at most, and for each of them below that.
+#: All bear on the order of shingles alone.
+COUNTED, MOST_COMMON, CELLS = 8, 1 << 25, 4
 #: Documents that share a prefix shingle up to which all their pairs are counted.
 PAIRED = 64
 
 
-def common_shingles(docs: DataFrame, words: int, id_column: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that several documents of a share of docs have, and in how many."""
+def common_shingles(docs: DataFrame, words: int, id_column: str = "doc_id", text: str = "text") -> tuple[np.ndarray, int]:
+    """(table, shift): how common shingles are that several documents of a share of docs have, by the first bits of their hashes.
+
+    All of them are in the table, however many: which ones are known doesn't depend on the size of docs. Of those in one
+    cell the most common one counts; a rare one in such a cell comes late in the order, as it does for all documents.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
@@ -295,16 +301,15 @@ def common_shingles(docs: DataFrame, words: int, id_column: str = "doc_id", text
 
     share = docs.where(F.pmod(F.xxhash64(id_column), F.lit(COUNTED)) == 0).select(text)
     counts = share.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2")
-    counts = written(counts.withColumn("n", F.least("n", F.lit(10_000))), "common")
-    least, total = 10_001, 0
-    for n, rows in counts.groupBy("n").count().orderBy(F.desc("n")).collect():
-        if (total := total + rows) > MOST_COMMON:
-            break
-        least = n
-    got = counts.where(F.col("n") >= least).toArrow()
-    h, n = got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
+    counts = written(counts, "common")
+    bits = min((CELLS * counts.count()).bit_length(), max(1, MOST_COMMON).bit_length() - 1)
+    if not bits:
+        return np.empty(0, np.uint8), 0
+    level = F.least(F.floor(12 * F.log2("n")), F.lit(255)).cast("short")
+    got = counts.groupBy(F.shiftrightunsigned("h", 64 - bits).cast("int").alias("cell")).agg(F.max(level).alias("level")).toArrow()
+    found = np.zeros(1 << bits, np.uint8)
+    found[got.column("cell").to_numpy()] = got.column("level").to_numpy()
+    return found, 64 - bits
 
 
 def shared_least(n: int) -> int:
@@ -312,17 +317,14 @@ def shared_least(n: int) -> int:
     return 1 + n // 20
 
 
-def prefix(found: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+def prefix(found: np.ndarray, common: tuple[np.ndarray, int], similarity: float) -> np.ndarray:
     """The rarest of a sorted set's shingles, of which sets of that similarity share shared_least or more.
 
     Similar sets share `similarity` of the larger one; in one order for all sets, those shared ones that
     come first are no further back than the shingles not shared, and so in the prefixes of both.
     """
-    n, (keys, counts) = len(found), common
-    rarity = np.zeros(n, np.int64)
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-        rarity = np.where(keys[at] == found, counts[at], 0)
+    n, (table, shift) = len(found), common
+    rarity = table[found >> np.uint64(shift)] if len(table) else np.zeros(n, np.uint8)
     most = min(n, n - math.ceil(similarity * n - 1e-9) + shared_least(n))
     return found[np.lexsort((found, rarity))[:most]]
 
@@ -396,6 +398,34 @@ def similar_links(signed: DataFrame, of: DataFrame, similarity: float) -> DataFr
     return same.unionByName(near).distinct()
 
 
+#: Bits of a table of keys for each of them, and at most.
+MARKS, MOST_MARKS = 8, 1 << 28
+
+
+def marks(rows: DataFrame, key: Column) -> np.ndarray:
+    """A table with a bit set for each key, at the key's first bits."""
+    bits = max(3, min((MARKS * rows.count()).bit_length(), MOST_MARKS.bit_length() - 1))
+    cells = rows.select(F.shiftrightunsigned(key, 64 - bits).cast("int").alias("cell")).distinct().toArrow().column("cell").to_numpy()
+    found = np.zeros(1 << bits - 3, np.uint8)
+    np.bitwise_or.at(found, cells >> 3, np.left_shift(1, cells & 7).astype(np.uint8))
+    return found
+
+
+def marked(docs: DataFrame, key: Column, held: Broadcast, wanted: bool) -> DataFrame:
+    """The rows whose key has its bit set in a table of marks, all keys of the table among them; wanted False: the others."""
+    name = "__key"
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = held.value
+        shift = np.uint64(61 - (len(table).bit_length() - 1))
+        for batch in batches:
+            cells = batch.column(batch.num_columns - 1).to_numpy().view(np.uint64) >> shift
+            found = (table[cells >> np.uint64(3)] >> (cells & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(found == wanted))
+
+    return docs.withColumn(name, key).mapInArrow(choose, docs.schema)
+
+
 #: Shingles of a component's documents that meet in one place; a larger component meets in several, two parts of about so many in each.
 MEETING = 1 << 20
 
@@ -423,9 +453,11 @@ def first_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, featu
     rows = rows.distinct().join(total.hint("merge"), "component").where("NOT stays OR n > 1")
     parts = F.least(F.floor(F.col("total") / meeting) + 1, "n").cast("int")
     roles = written(rows.select(F.col("id").alias("__id"), F.col("h").alias("__h"), "stays", F.col("component").alias("__component"), parts.alias("__parts")).withColumnsRenamed({"stays": "__stays"}), "roles")
-    # by a merge at every size: what is shuffled then grows with the input, and the size of roles needn't be known
+    # documents that surely have no role stay where they are; for others by a merge at every size: what is shuffled then grows with the input, and the size of roles needn't be known
+    held = docs.sparkSession.sparkContext.broadcast(marks(roles, F.xxhash64("__id", "__h")))
+    key = F.xxhash64(F.col(id_column), F.xxhash64(text))
     on = (F.col(id_column) == F.col("__id")) & (F.xxhash64(text) == F.col("__h"))
-    dealt = written(docs.join(roles.hint("merge"), on, "left").where("coalesce(__stays, true)").drop("__id", "__stays"), "dealt")
+    dealt = written(marked(docs, key, held, True).join(roles.hint("merge"), on, "left").where("coalesce(__stays, true)").drop("__id", "__stays"), "dealt")
     discard(signed, grouped, of, roles)
     schema = with_fields(dealt, {"__part": "int"})
 
@@ -462,7 +494,7 @@ def first_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, featu
         return rows.sortWithinPartitions("__component", "__part", id_column, "__h")
 
     node = F.struct(F.col(id_column).alias("id"), F.col("__h").alias("h"))
-    alone = dealt.where("__component IS NULL")
+    alone = marked(docs, key, held, False).unionByName(dealt.where("__component IS NULL").select(*docs.columns))
     small = dealt_out(dealt.where("__parts = 1"), F.lit(0)).mapInArrow(keep, schema)
     # every two parts of a large component meet, and so all its pairs, whatever else is in it
     large = dealt.where("__parts > 1")
@@ -476,5 +508,4 @@ def first_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, featu
     firsts = large.withColumn("__at", node).join(later.hint("merge"), F.col("__at") == F.col("__node"), "left_anti").drop("__at")
     # of repeated rows one stays
     once = dealt_out(firsts, F.hash("__h", id_column)).mapInArrow(keep, schema)
-    kept = alone.unionByName(small.drop("__part")).unionByName(once.drop("__part"))
-    return kept.select(*docs.columns)
+    return alone.unionByName(small.select(*docs.columns)).unionByName(once.select(*docs.columns))

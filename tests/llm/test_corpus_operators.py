@@ -469,6 +469,29 @@ def test_first_copies_whatever_shingles_are_common(spark, monkeypatch, common):
     assert sorted(str(x.doc_id) for x in got) == brute_firsts(rows) == sorted(map(str, range(12)))
 
 
+def test_common_shingles_however_many(spark):
+    """More than half a million shingles that three documents have: the prefix has those that none has."""
+    ids = [r.id for r in spark.range(200).where(F.pmod(F.xxhash64("id"), F.lit(simhash.COUNTED)) == 0).limit(3).collect()]
+    line = " ".join(map(str, range(600_000)))
+    common = simhash.common_shingles(spark.createDataFrame([(i, line) for i in ids], "doc_id long, text string"), 5)
+    known = simhash.shingle_set(line.encode(), 5)[:10_000:100]
+    new = simhash.shingle_set(" ".join(f"x{i}" for i in range(100)).encode(), 5)
+    first = simhash.prefix(np.sort(np.concatenate((known, new))), common, 0.8)
+    assert len(first) == 49 and not set(first.tolist()) & set(known.tolist())
+
+
+@pytest.mark.parametrize("most", [8, 1 << 28])
+def test_marks(spark, monkeypatch, most):
+    """A document with a role always has its mark, and each is on one side, however crowded the table."""
+    monkeypatch.setattr(simhash, "MOST_MARKS", most)
+    docs = spark.createDataFrame([(i if i % 9 else None, f"t{i}" if i % 7 else None) for i in range(900)], "doc_id long, text string")
+    key = F.xxhash64("doc_id", F.xxhash64("text"))
+    held = spark.sparkContext.broadcast(simhash.marks(docs.where("doc_id < 50"), key))
+    inside, outside = (sorted(map(str, simhash.marked(docs, key, held, x).collect())) for x in (True, False))
+    assert set(map(str, docs.where("doc_id < 50").collect())) <= set(inside)
+    assert sorted(inside + outside) == sorted(map(str, docs.collect())) and (most == 8 or len(outside) > 600)
+
+
 def test_first_copies_beyond_the_radius(spark):
     """Copies with one long passage replaced: five words alike at 0.8 and more, their fingerprints at over 7 bits."""
     rows, far = [], 0
